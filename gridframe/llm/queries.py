@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridframe.llm import common, token_output
+from gridframe.llm import (
+    common,
+    decontaminate,
+    language_id,
+    license_scan,
+    mixing,
+    pii,
+    quality_knn,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_output,
+)
 
 #: The end id that op2 appends to each document.
 END_ID = 2
 
+#: Target weights of op10 and of the pipeline's mix; sources that aren't named are pooled with weight 1.
+MIX = {"src0": 8, **{f"src{i}": 4 for i in range(1, 8)}, **{f"src{i}": 2 for i in range(8, 20)}}
+
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -22,5 +38,59 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark, path)
 
 
-QUERIES = {"op2_token_output": op2_token_output}
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(common.table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.documents(common.table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.pages(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), distance=2)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.placed(common.table(spark, sf_dir, "documents"), MIX)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "mix_source", "block", "in_block", "slot", "release", "deadline")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.apply_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_token_output": op2_token_output,
+    "op3_license_scan": op3_license_scan,
+    "op4_simhash": op4_simhash,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_quality_knn": op6_quality_knn,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
+    "language_id_pages": language_id_pages,
+}
 ORACLES: dict = {}
