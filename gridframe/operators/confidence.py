@@ -14,7 +14,8 @@ def finding(name: str, high: Column, cost: Column, pages: Column, detail: Column
     return [F.lit(name).alias("check"), F.when(high, "high").otherwise("low").alias("severity"), cost.alias("cost"), pages.alias("pages"), detail.alias("detail")]
 
 
-NO_PAGES = F.array().cast("array<int>")
+def no_pages() -> Column:
+    return F.array().cast("array<int>")
 
 
 def unidentified(columns: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def unlabelled(rows: DataFrame, cells: DataFrame) -> DataFrame:
     bad = F.coalesce(F.col("has"), F.lit(False)) & (F.trim("label") == "")
     sums = rows.where("kind = 'assessment'").join(with_cells, [*KEYS, "id"], "left").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).where("bad > 0")
     share = F.col("bad") / F.col("n")
-    return sums.select(*KEYS, *finding("unlabelled-rows", share > 0.15, F.least(F.lit(0.3), 1.5 * share), NO_PAGES, F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("rows"))))
+    return sums.select(*KEYS, *finding("unlabelled-rows", share > 0.15, F.least(F.lit(0.3), 1.5 * share), no_pages(), F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("rows"))))
 
 
 def unlinked(targets: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def unlinked(targets: DataFrame) -> DataFrame:
     sums = per.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if("loose").alias("bad"))
     share = F.col("bad") / F.col("n")
     out = sums.where((F.col("bad") >= 2) & (share >= 0.5))
-    return out.select(*KEYS, *finding("unlinked-footnotes", share >= 0.55, F.least(F.lit(0.35), 0.45 * share), NO_PAGES, F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("footnotes"))))
+    return out.select(*KEYS, *finding("unlinked-footnotes", share >= 0.55, F.least(F.lit(0.35), 0.45 * share), no_pages(), F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("footnotes"))))
 
 
 def sparse(columns: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def sparse(columns: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
     r = rows.where("kind = 'assessment'").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
     x = cells.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cells"))
     share = F.coalesce("cells", F.lit(0)) / (F.col("cols") * F.col("rows"))
-    return c.join(r, KEYS).join(x, KEYS, "left").where(share < 0.08).select(*KEYS, *finding("sparse-grid", F.lit(False), F.lit(0.2), NO_PAGES, F.concat_ws(" ", F.coalesce("cells", F.lit(0)), F.lit("cells"))))
+    return c.join(r, KEYS).join(x, KEYS, "left").where(share < 0.08).select(*KEYS, *finding("sparse-grid", F.lit(False), F.lit(0.2), no_pages(), F.concat_ws(" ", F.coalesce("cells", F.lit(0)), F.lit("cells"))))
 
 
 def findings(columns: DataFrame, rows: DataFrame, cells: DataFrame, targets: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def assess(tables: DataFrame, found: DataFrame) -> DataFrame:
     product = F.aggregate(F.coalesce("costs", F.array().cast("array<struct<o:bigint,cost:double>>")), F.lit(1.0), lambda a, c: a * (1 - c["cost"]))
     return joined.select(
         *KEYS, T.round2(product).alias("confidence"), F.when(F.coalesce("high", F.lit(False)), "fallback").when(F.col("costs").isNotNull(), "check").otherwise("trust").alias("verdict"),
-        F.array_join(F.transform(F.coalesce("fallback", NO_PAGES), lambda p: p.cast("string")), ",").alias("fallback_pages"), F.coalesce("checks", F.lit("")).alias("checks"),
+        F.array_join(F.transform(F.coalesce("fallback", no_pages()), lambda p: p.cast("string")), ",").alias("fallback_pages"), F.coalesce("checks", F.lit("")).alias("checks"),
     )
 
 

@@ -116,8 +116,8 @@ def marker_in(value: Column, marker: Column) -> Column:
     """Whether a cell's value carries the marker: alone, after a mark, in brackets, or right behind a mark or digit."""
     m = escaped(marker)
     return (
-        value.rlike(F.concat(F.lit(r"^[Xx✓●•]\s*"), m, F.lit("$"))) | value.rlike(F.concat(F.lit("^"), m, F.lit("$"))) | value.contains(F.concat(F.lit("("), marker, F.lit(")")))
-        | value.rlike(F.concat(F.lit(r"[Xx0-9]\s*"), m, F.lit(r"([^A-Za-z0-9_]|$)")))
+        F.regexp_like(value, F.concat(F.lit(r"^[Xx✓●•]\s*"), m, F.lit("$"))) | (value == marker) | value.contains(F.concat(F.lit("("), marker, F.lit(")")))
+        | F.regexp_like(value, F.concat(F.lit(r"[Xx0-9]\s*"), m, F.lit(r"([^A-Za-z0-9_]|$)")))
     )
 
 
@@ -137,7 +137,7 @@ def applies_to(notes: DataFrame, row_links: DataFrame, cell_links: DataFrame, ke
 
 def link_trailing(labels: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
     """Labels and column facts that end (or begin, before a space) in a known marker: the longest such marker."""
-    ends = F.col("text").endswith(F.col("marker")) & (F.length("text") > F.length("marker")) & (~F.col("marker").rlike("^[a-z]") | F.col("text").rlike(F.concat(F.lit(r"[^a-z]"), escaped(F.col("marker")), F.lit("$"))))
+    ends = F.col("text").endswith(F.col("marker")) & (F.length("text") > F.length("marker")) & (~F.col("marker").rlike("^[a-z]") | F.regexp_like(F.col("text"), F.concat(F.lit(r"[^a-z]"), escaped(F.col("marker")), F.lit("$"))))
     begins = F.col("text").startswith(F.concat(F.col("marker"), F.lit(" ")))
     found = labels.join(markers, keys).where(ends | begins)
     return found.groupBy(*keys, "target", "id", "text").agg(F.max_by("marker", F.struct(F.length("marker"), "marker")).alias("marker"))

@@ -65,7 +65,7 @@ def unescape(s: Column) -> Column:
     """Literal \\uXXXX sequences to their characters."""
     parts = F.regexp_extract_all(s, F.lit(r"\\u[0-9a-fA-F]{4}"), F.lit(0))
     between = F.split(s, r"\\u[0-9a-fA-F]{4}", -1)
-    chars = F.transform(parts, lambda p: F.decode(F.unhex(F.substring(p, 3, 4)), F.lit("UTF-16BE")))
+    chars = F.transform(parts, lambda p: F.decode(F.unhex(F.substring(p, 3, 4)), "UTF-16BE"))
     return F.array_join(F.flatten(F.zip_with(between, chars, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 

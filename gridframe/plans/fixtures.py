@@ -26,18 +26,18 @@ class Fixture:
     columns: str
     rows: list[tuple]
 
-    def _typed(self, kind) -> str:
-        pairs = [c.split() for c in self.columns.split(",")]
+    def _typed(self, kind, quote: str) -> str:
+        pairs = [(quote + n + quote, kind(t)) for n, t in (c.split() for c in self.columns.split(","))]
         names = ", ".join(n for n, _ in pairs)
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        return "select " + ", ".join(f"cast({n} as {kind(t)}) as {n}" for n, t in pairs) + f" from (values {values}) as t({names})"
+        return "select " + ", ".join(f"cast({n} as {t}) as {n}" for n, t in pairs) + f" from (values {values}) as t({names})"
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.sql(self._typed(lambda t: {"long": "bigint"}.get(t, t)))
+        return spark.sql(self._typed(lambda t: {"long": "bigint"}.get(t, t), "`"))
 
     @property
     def sql(self) -> str:
-        return f"({self._typed(DUCK.__getitem__)})"
+        return f"({self._typed(DUCK.__getitem__, '"')})"
 
 
 K = "doc_id string, cand int"

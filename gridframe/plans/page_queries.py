@@ -237,5 +237,7 @@ ORACLES = {
     "event_signatures": """with g as (select user_id, event_type, count(*) as n from events where user_id < 50 group by 1, 2), s as (select user_id, string_agg(event_type || '=' || n, '|' order by event_type || '=' || n) as signature from g group by 1)
       select signature, count(*) as n, min(user_id) as first_user from s group by 1""",
 }
-ORACLES["label_split"] = f"""with {STAR_MARKS}, stacks as ({ORACLES["mark_stacks"].replace("with " + STAR_MARKS + ",", "with", 1)}), lead as (select page, arg_min(stack_left, stack_ix) as grid_left from stacks group by page)
+STACKS = ORACLES["mark_stacks"].removeprefix(f"with {STAR_MARKS},")
+ORACLES["label_split"] = f"""with {STAR_MARKS.replace("marks as", "every_mark as")}, marks as (select * from (select *, count(*) over (partition by page, y) as n from every_mark) where n >= 2),
+  stacks as (with {STACKS}), lead as (select page, arg_min(stack_left, stack_ix) as grid_left from stacks group by page)
   select page, count(*) filter (x + w <= grid_left + 2) as labels, count(*) filter (not x + w <= grid_left + 2) as marks, 0::bigint as others, max(grid_left)::double as grid_left from star join lead using (page) group by page"""
