@@ -1,0 +1,60 @@
+import re
+
+from gridframe.llm import pii
+
+TEXTS = [
+    (1, "Mail anna.lee7@mail3.example.com or Anna.Lee7@Mail3.Example.com today."),
+    (2, "Call +1 (743) 555-3824 or (743) 555-3824; card 4024007103939509, host 152.143.123.131."),
+    (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and Mrs. Maria Lopez met Herr Jürgen Weiß'),
+    (4, "No data here, only 12 numbers."),
+    (5, None),
+    (6, ""),
+    (7, "Mail anna.lee7@mail3.example.com again, and Mrs. Maria Lopez; 4024-0071-0393-9509"),
+    (7, "Mail anna.lee7@mail3.example.com again, and Mrs. Maria Lopez; 4024-0071-0393-9509"),
+    (None, "10.20.30.40 " * 500),
+    (8, "078-05-1120 and DE89 3704 0044 0532 0130 00"),
+]
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def run(spark, key="k"):
+    frame = spark.createDataFrame([(*t, "x") for t in TEXTS], "doc_id long, text string, kinds string")
+    return pii.replace(frame, key).collect()
+
+
+def test_surrogates_keep_type_format_and_reference(spark):
+    rows = run(spark)
+    assert len(rows) == len(TEXTS)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[4]["text"] == TEXTS[3][1] and by[5]["text"] is None and by[6]["text"] == "" and by[4]["n_entities"] == 0
+    gone = ["anna.lee7", "555-3824", "4024007103939509", "152.143.123.131", "24be64439e", "Maria Lopez", "Jürgen", "10.20.30.40", "078-05-1120", "0532 0130"]
+    assert not [g for g in gone for r in rows if r["text"] and g.lower() in r["text"].lower()]
+    one = re.findall(r"\S+@\S+", by[1]["text"])
+    assert one[0].lower() == one[1].lower() and one[0] != one[1] and one[0].endswith(".com")
+    assert one[0] in by[7]["text"]
+    two = by[2]["text"]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} or \(\d{3}\) \d{3}-\d{4};", two)
+    card = re.search(r"card (\d{16})", two)[1]
+    assert luhn(card) and card[0] == "4" and re.search(r"(\d{4}-){3}\d{4}", by[7]["text"])[0].replace("-", "") == card
+    assert all(0 < int(x) < 256 for x in re.search(r"host (\d+)\.(\d+)\.(\d+)\.(\d+)\.", two).groups())
+    three = by[3]["text"]
+    assert re.search(r'token = "[0-9a-f]{40}"', three)
+    name = re.search(r"Mrs\. [A-Z][a-z]+a [A-Z][a-z]+", three)[0]
+    assert name in by[7]["text"] and re.search(r"Herr \w{6} \w{4}", three)
+    assert len(set(by[None]["text"].split())) == 1 and by[None]["n_entities"] == 500
+    assert by[7]["kinds"] == "card,email,name"
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4} and DE\d\d( \d{4}){4} \d\d", by[8]["text"])
+    assert sorted(map(repr, run(spark))) == sorted(map(repr, rows)) != sorted(map(repr, run(spark, "other")))
+    assert pii.replace(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_small_domains_stay_distinct(spark):
+    """Many entities of one short format: collisions are certain, and none may stay."""
+    rows = [(i, f"Mr. Bo{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    new = [r["text"] for r in got]
+    assert len(set(new)) == 300 and not set(new) & {t for _, t in rows}
