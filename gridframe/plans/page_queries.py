@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.functions import text as T
-from gridframe.operators import audit, cells, footnotes, geometry, locate, review, rows
+from gridframe.operators import audit, cells, columns, footnotes, geometry, locate, review, rows, tables
 from gridframe.operators import lines as L
 from gridframe.sources import layout
 
@@ -159,6 +159,48 @@ def cells_from_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page", "row_id", F.col("band_ix").cast("long").alias("band_ix"), "value")
 
 
+def star_document(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The star words as one ruled page per document: words, rules and pages."""
+    flat = layout.star_words(spark, sf_dir).select(F.col("page").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("r") * 10 + F.col("c") + 1).cast("int").alias("word_ix"), "text", "x", "y", "w", "h")
+    docs = flat.select("doc_id").distinct()
+    vertical = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("doc_id", F.lit(1).alias("page"), F.lit("V").alias("orient"), F.col("i").alias("rule_ix"), (170.0 + 60 * F.col("i")).alias("pos"), F.lit(111.0).alias("lo"), F.lit(279.0).alias("hi"))
+    across = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(13))).alias("i")).select("doc_id", F.lit(1).alias("page"), F.lit("H").alias("orient"), F.col("i").alias("rule_ix"), (97.0 + 14 * F.col("i")).alias("pos"), F.lit(20.0).alias("lo"), F.lit(470.0).alias("hi"))
+    return flat, vertical.unionByName(across), docs.select("doc_id", F.lit(1).alias("page"), F.lit(600).alias("width"))
+
+
+def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole extraction over the star pages: the cells with their rows' names and columns' places."""
+    got = tables.extract(*star_document(spark, sf_dir))
+    named = got.rows.select("doc_id", "cand", F.col("id").alias("row_id"), "label")
+    return got.cells.join(named, ["doc_id", "cand", "row_id"]).select(F.col("doc_id").cast("int").alias("page"), "label", F.regexp_extract("col_id", r"c(\d+)$", 1).cast("long").alias("c"), "value")
+
+
+def extract_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tables.extract(*star_document(spark, sf_dir)).assessments
+    return got.select("doc_id", "cand", "verdict", "checks")
+
+
+def audit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed grid rebuilt from its rules alone: what the audit compares the extraction with."""
+    words, rules, _ = star_document(spark, sf_dir)
+    matrix = audit.grid_words(words, audit.grid_edges(rules, ["doc_id", "page"]), ["doc_id", "page"])
+    return matrix.select(F.col("doc_id").cast("int").alias("page"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "text")
+
+
+def drawn_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from_page = ["doc_id", "page"]
+    words, rules, _ = star_document(spark, sf_dir)
+    extent = rows.grid_left(words, from_page, "y").select(*from_page, F.lit(114.0).alias("top"), F.lit(278.0).alias("bottom"), "grid_left")
+    out = columns.drawn_columns(rules, extent, from_page)
+    return out.select(F.col("doc_id").cast("int").alias("page"), F.col("band_ix").cast("long").alias("band_ix"), F.col("left").alias("band_left"), F.col("right").alias("band_right"))
+
+
+def drawn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, rules, pages = star_document(spark, sf_dir)
+    out = rows.drawn_rows(rules.join(pages, ["doc_id", "page"]), rows.grid_left(words, ["doc_id", "page"], "y"), ["doc_id", "page"])
+    return out.select(F.col("doc_id").cast("int").alias("page"), F.col("row_ix").cast("long").alias("row_ix"), "top", "bottom")
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.event_grid(spark, sf_dir)
 
@@ -200,6 +242,7 @@ QUERIES = {
     "page_scores": page_scores, "page_mark_density": page_mark_density, "page_footnote_lines": page_footnote_lines, "page_kinds": page_kinds, "document_candidates": document_candidates, "doc_words": doc_words, "doc_lines": doc_lines, "page_text": page_text,
     "footnote_parse": footnote_parse, "vocabulary": vocabulary_size, "grounding_validate": grounding_validate, "star_words": star_words, "mark_columns": mark_columns, "mark_stacks": mark_stacks, "label_split": label_split, "cells_from_marks": cells_from_marks,
     "audit_column_pairs": audit_column_pairs, "audit_greedy_pairs": audit_greedy_pairs, "audit_multiset": audit_multiset, "event_signatures": event_signatures,
+    "extract_tables": extract_tables, "extract_assessments": extract_assessments, "audit_grid": audit_grid, "drawn_columns": drawn_columns, "drawn_rows": drawn_rows,
 }
 
 ORACLES = {
@@ -241,3 +284,7 @@ STACKS = ORACLES["mark_stacks"].removeprefix(f"with {STAR_MARKS},")
 ORACLES["label_split"] = f"""with {STAR_MARKS.replace("marks as", "every_mark as")}, marks as (select * from (select *, count(*) over (partition by page, y) as n from every_mark) where n >= 2),
   stacks as (with {STACKS}), lead as (select page, arg_min(stack_left, stack_ix) as grid_left from stacks group by page)
   select page, count(*) filter (x + w <= grid_left + 2) as labels, count(*) filter (not x + w <= grid_left + 2) as marks, 0::bigint as others, max(grid_left)::double as grid_left from star join lead using (page) group by page"""
+ORACLES["extract_tables"] = f"with {STAR} select page, 'Panel' || chr(96 + r::int) || 'q' as label, c::bigint as c, text as value from star where c >= 0"
+ORACLES["audit_grid"] = f"with {STAR} select page, (r - 1)::bigint as r, c::bigint as c, text from star where c >= 0"
+ORACLES["drawn_columns"] = f"with {STAR} select page, i::bigint as band_ix, (170 + 60 * i)::double as band_left, (230 + 60 * i)::double as band_right from (select distinct page from star), range(5) t(i)"
+ORACLES["drawn_rows"] = f"with {STAR} select page, i::bigint as row_ix, (111 + 14 * i)::double as top, (125 + 14 * i)::double as bottom from (select distinct page from star), range(12) t(i)"
