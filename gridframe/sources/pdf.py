@@ -1,0 +1,299 @@
+"""PDF files to words, rules and pages: objects, flate streams, text and path operators; no library is needed.
+
+What is covered: classic and compressed object tables (objects are found by scanning, object streams are unpacked),
+flate streams, simple fonts with their widths and ToUnicode maps, text operators with their matrices, rectangles and
+straight lines under the graphics stack, and page rotation.  Encrypted files give no rows.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridframe.operators.rules import classify_paths, merge_rules
+from gridframe.sources.stages import cut
+
+TOKEN = re.compile(rb"\s*(?:(%[^\r\n]*)|(<<|>>|\[|\])|(/[^\s/<>\[\](){}%]*)|(\()|(<[0-9A-Fa-f\s]*>)|([+-]?(?:\d+\.?\d*|\.\d+))|([^\s/<>\[\](){}%]+))")
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+Matrix = tuple[float, float, float, float, float, float]
+
+
+class Ref(int):
+    """A reference to an object by its number."""
+
+
+class Op(bytes):
+    """An operator or keyword."""
+
+
+def string_at(data: bytes, at: int) -> tuple[bytes, int]:
+    """The literal string that begins behind a bracket."""
+    out, depth = bytearray(), 1
+    while at < len(data):
+        c = data[at : at + 1]
+        if c == b"\\":
+            octal = re.match(rb"[0-7]{1,3}", data[at + 1 : at + 4])
+            if octal:
+                out.append(int(octal[0], 8) & 255)
+                at += 1 + len(octal[0])
+                continue
+            out += ESCAPES.get(data[at + 1 : at + 2], data[at + 1 : at + 2].strip(b"\r\n"))
+            at += 2
+            continue
+        depth += (c == b"(") - (c == b")")
+        if not depth:
+            return bytes(out), at + 1
+        out += c
+        at += 1
+    return bytes(out), at
+
+
+def items(data: bytes) -> Iterator:
+    """Objects and operators of a content stream or object body, one after the other."""
+    at = 0
+    open_: list[list] = []
+    top: list = []
+    while m := TOKEN.match(data, at):
+        at = m.end()
+        comment, bracket, name, paren, hexa, number, word = m.groups()
+        if comment is not None:
+            continue
+        if bracket in (b"<<", b"["):
+            open_.append([bracket])
+            continue
+        if bracket:
+            if not open_:
+                continue
+            done = open_.pop()
+            value = done[1:] if done[0] == b"[" else {k: v for k, v in zip(done[1::2], done[2::2], strict=False) if isinstance(k, str)}
+        elif name is not None:
+            value = name[1:].decode("latin-1")
+        elif paren:
+            value, at = string_at(data, at)
+        elif hexa is not None:
+            digits = re.sub(rb"\s", b"", hexa[1:-1])
+            value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        elif number is not None:
+            value = float(number) if b"." in number else int(number)
+        else:
+            into = open_[-1] if open_ else top
+            if word == b"R" and len(into) >= 2 and isinstance(into[-2], int):
+                into[-2:] = [Ref(into[-2])]
+                continue
+            value = {b"true": True, b"false": False, b"null": None}.get(word, Op(word))
+        if open_:
+            open_[-1].append(value)
+        elif isinstance(value, Op):
+            yield from top
+            top = []
+            yield value
+        else:
+            top.append(value)
+    yield from top
+
+
+class Document:
+    def __init__(self, data: bytes):
+        self.objects: dict[int, tuple[object, bytes]] = {}
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data):
+            end = data.find(b"endobj", m.end())
+            body = data[m.end() : end if end >= 0 else len(data)]
+            start = re.search(rb"stream\r?\n", body)
+            head = next(items(body[: start.start()] if start else body), None)
+            self.objects[int(m[1])] = (head, body[start.end() : body.rfind(b"endstream")] if start else b"")
+        self.encrypted = b"/Encrypt" in data
+        for head, _ in list(self.objects.values()):
+            if isinstance(head, dict) and head.get("Type") == "ObjStm":
+                self._unpack(head, self.stream((head, _)))
+
+    def _unpack(self, head: dict, data: bytes) -> None:
+        first, n = self.get(head["First"]), self.get(head["N"])
+        places = [int(x) for x in data[:first].split()[: 2 * n]]
+        for number, offset in zip(places[::2], places[1::2], strict=True):
+            self.objects.setdefault(number, (next(items(data[first + offset :]), None), b""))
+
+    def get(self, x):
+        return self.objects.get(int(x), (None, b""))[0] if isinstance(x, Ref) else x
+
+    def stream(self, x) -> bytes:
+        head, raw = self.objects.get(int(x), ({}, b"")) if isinstance(x, Ref) else x
+        filters = self.get(head.get("Filter")) if isinstance(head, dict) else None
+        if filters in ("FlateDecode", ["FlateDecode"]):
+            return zlib.decompressobj().decompress(raw)
+        return raw if not filters else b""
+
+    def pages(self) -> Iterator[dict]:
+        root = next((h for h, _ in self.objects.values() if isinstance(h, dict) and h.get("Type") == "Catalog"), None)
+        if root and not self.encrypted:
+            yield from self._kids(root.get("Pages"), {})
+
+    def _kids(self, ref, above: dict) -> Iterator[dict]:
+        node = self.get(ref) or {}
+        own = {**above, **{k: node[k] for k in ("Resources", "MediaBox", "Rotate") if k in node}}
+        if "Kids" in node:
+            for kid in self.get(node["Kids"]):
+                yield from self._kids(kid, own)
+        elif node:
+            yield {**own, **node}
+
+
+def times(a: Matrix, b: Matrix) -> Matrix:
+    """First ``a``, then ``b``."""
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+class Font:
+    def __init__(self, doc: Document, ref):
+        font = doc.get(ref) or {}
+        self.first, self.widths = doc.get(font.get("FirstChar")) or 0, [doc.get(w) for w in doc.get(font.get("Widths")) or []]
+        self.wide = font.get("Subtype") == "Type0"
+        self.map: dict[int, str] = {}
+        if "ToUnicode" in font:
+            data = doc.stream(font["ToUnicode"])
+            for block in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
+                got = [x for x in items(block) if isinstance(x, bytes)]
+                self.map.update({int.from_bytes(a, "big"): b.decode("utf-16-be", "replace") for a, b in zip(got[::2], got[1::2], strict=False)})
+            for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
+                got = list(items(block))
+                for a, b, c in zip(got[::3], got[1::3], got[2::3], strict=False):
+                    for i in range(int.from_bytes(a, "big"), min(int.from_bytes(b, "big"), int.from_bytes(a, "big") + 65535) + 1):
+                        k = i - int.from_bytes(a, "big")
+                        self.map[i] = c[k].decode("utf-16-be", "replace") if isinstance(c, list) else chr(int.from_bytes(c, "big") + k)
+
+    def show(self, s: bytes) -> tuple[str, float, int]:
+        """Text, width in thousandths of the size, and number of codes."""
+        codes = [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s), 2)] if self.wide else list(s)
+        width = sum(self.widths[c - self.first] if 0 <= c - self.first < len(self.widths) else 500 for c in codes)
+        return "".join(self.map.get(c, bytes([c]).decode("cp1252", "replace") if c < 256 else "") for c in codes), width, len(codes)
+
+
+def read_page(doc: Document, page: dict) -> tuple[dict, list[dict], list[dict]]:
+    """Size, words and drawn boxes of a page, in upright page space with y going down."""
+    box = [float(doc.get(x)) for x in doc.get(page.get("MediaBox")) or [0, 0, 612, 792]]
+    turn = int(doc.get(page.get("Rotate")) or 0) % 360
+    w, h = box[2] - box[0], box[3] - box[1]
+    view: Matrix = {0: (1, 0, 0, -1, -box[0], box[3]), 90: (0, 1, 1, 0, -box[1], -box[0]), 180: (-1, 0, 0, 1, box[2], -box[1]), 270: (0, -1, -1, 0, box[3], box[2])}[turn]
+    fonts = {k: Font(doc, v) for k, v in (doc.get((doc.get(page.get("Resources")) or {}).get("Font")) or {}).items()}
+    contents = page.get("Contents")
+    data = b"\n".join(doc.stream(x) for x in (doc.get(contents) if isinstance(doc.get(contents), list) else [contents]) if x is not None)
+    words: list[dict] = []
+    boxes: list[dict] = []
+    ctm: Matrix = (1, 0, 0, 1, 0, 0)
+    stack: list = []
+    font, size, leading, char, space = None, 1.0, 0.0, 0.0, 0.0
+    tm = line = (1, 0, 0, 1, 0, 0)
+    path: list[tuple[float, float]] = []
+    segments: list[list[tuple[float, float]]] = []
+    args: list = []
+
+    def show(s: bytes) -> None:
+        nonlocal tm
+        if font is None:
+            return
+        at = times(times((size, 0, 0, size, 0, 0), tm), times(ctm, view))
+        text, width, n = font.show(s)
+        across = width / 1000 * size + n * char + s.count(b" ") * space
+        height, scale = math.hypot(at[2], at[3]), math.hypot(tm[0], tm[1]) * math.hypot(ctm[0], ctm[1])
+        begin, per = 0, across * scale / max(1, len(text))
+        for m in re.finditer(r"\S+", text):
+            begin = m.start()
+            along = math.hypot(at[0], at[1]) or 1.0
+            words.append({"text": m[0], "x": at[4] + at[0] / along * per * begin, "y": at[5] - height, "w": per * len(m[0]), "h": height})
+        tm = times((1, 0, 0, 1, across, 0), tm)
+
+    def move(x: float, y: float) -> None:
+        nonlocal tm, line
+        line = times((1, 0, 0, 1, x, y), line)
+        tm = line
+
+    for x in items(data):
+        if not isinstance(x, Op):
+            args.append(x)
+            continue
+        op, a, args = bytes(x), args, []
+        try:
+            if op == b"q":
+                stack.append(ctm)
+            elif op == b"Q":
+                ctm = stack.pop() if stack else ctm
+            elif op == b"cm":
+                ctm = times(tuple(a[-6:]), ctm)
+            elif op == b"BT":
+                tm = line = (1, 0, 0, 1, 0, 0)
+            elif op == b"Tf":
+                font, size = fonts.get(a[0]), float(a[1])
+            elif op == b"TL":
+                leading = a[0]
+            elif op == b"Tc":
+                char = a[0]
+            elif op == b"Tw":
+                space = a[0]
+            elif op in (b"Td", b"TD"):
+                leading = -a[1] if op == b"TD" else leading
+                move(a[0], a[1])
+            elif op == b"Tm":
+                tm = line = tuple(a[-6:])
+            elif op == b"T*":
+                move(0, -leading)
+            elif op == b"Tj":
+                show(a[0])
+            elif op in (b"'", b'"'):
+                move(0, -leading)
+                show(a[-1])
+            elif op == b"TJ":
+                for part in a[0]:
+                    if isinstance(part, bytes):
+                        show(part)
+                    else:
+                        tm = times((1, 0, 0, 1, -part / 1000 * size, 0), tm)
+            elif op == b"re":
+                px, py, pw, ph = a[-4:]
+                segments.append([(px, py), (px + pw, py + ph)])
+            elif op == b"m":
+                path = [tuple(a[-2:])]
+                segments.append(path)
+            elif op == b"l" and path:
+                path.append(tuple(a[-2:]))
+            elif op in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n"):
+                if op != b"n":
+                    for points in segments:
+                        placed = [(p[0] * m[0] + p[1] * m[2] + m[4], p[0] * m[1] + p[1] * m[3] + m[5]) for m in [times(ctm, view)] for p in points]
+                        xs, ys = zip(*placed, strict=True)
+                        boxes.append({"min_x": min(xs), "max_x": max(xs), "min_y": min(ys), "max_y": max(ys)})
+                path, segments = [], []
+        except (IndexError, TypeError, ValueError):
+            continue  # an operator with wrong operands is passed over, as viewers do
+    size_of = {"width": round(h if turn in (90, 270) else w), "height": round(w if turn in (90, 270) else h), "rotated": turn != 0}
+    return size_of, words, boxes
+
+
+PARTS = "doc_id string, page int, kind string, ix int, text string, x double, y double, w double, h double, min_x double, max_x double, min_y double, max_y double, width int, height int, rotated boolean"
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """words, rules and pages of all files that a path glob names; a file is one document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                doc, out = Document(bytes(content)), []
+                for number, page in enumerate(doc.pages(), 1):
+                    size, words, boxes = read_page(doc, page)
+                    base = {"doc_id": name.rsplit("/", 1)[-1], "page": number}
+                    out.append({**base, "kind": "page", "ix": 0, **size})
+                    out += [{**base, "kind": "word", "ix": i, **{k: v if k == "text" else math.floor(v * 100 + 0.5) / 100 for k, v in x.items()}} for i, x in enumerate(words)]
+                    out += [{**base, "kind": "box", "ix": i, **x} for i, x in enumerate(boxes)]
+                yield pd.DataFrame(out, columns=names).astype({"width": "Int32", "height": "Int32", "rotated": "boolean"})
+
+    parts = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PARTS))
+    words = parts.where("kind = 'word'").select("doc_id", "page", F.col("ix").alias("word_ix"), "text", "x", "y", "w", "h")
+    boxes = parts.where("kind = 'box'").select("doc_id", "page", F.col("ix").alias("path_ix"), "min_x", "max_x", "min_y", "max_y")
+    pages = parts.where("kind = 'page'").select("doc_id", "page", "width", "height", "rotated")
+    return words, merge_rules(classify_paths(boxes), ["doc_id", "page", "orient"]), pages
