@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions import text as T
-from gridframe.operators import audit, cells, columns, confidence, footnotes, geometry, lines, locate, publish, reconcile, review, rows, rules
+from gridframe.operators import audit, cells, columns, confidence, footnotes, geometry, header, lines, locate, publish, reconcile, review, rows, rules, tables
 from gridframe.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -529,3 +529,83 @@ def publish_footnotes(spark):
 @query("merge_footnotes")
 def merge_footnotes(spark):
     return publish.merge_footnotes(X.NOTES.frame(spark).select("doc_id", "cand", "ord", "marker", "text", F.array("page").alias("pages"))).select("doc_id", "cand", "marker", "text", joined("pages").alias("pages"))
+
+
+NAMED = f"line_ix < 12 and length(text) < 120 and {any_of(T.TITLE_WORDS, 'contains(' + LOW + ', {0!r})')} and {HEADING}"
+
+
+@query("title_pick", f"select doc_id, page, arg_min(text, line_ix) as title from {X.PAGE_LINES.sql} where {NAMED} group by doc_id, page")
+def title_pick(spark):
+    return tables.title_of(X.PAGE_LINES.frame(spark), ["doc_id", "page"])
+
+
+@query("second_table", f"""with s as (select l.*, t.title from {X.PAGE_LINES.sql} l left join {X.TITLES.sql} t using (doc_id, page) where line_ix < 14 and regexp_matches(text, '{T.NEW_TABLE}') and not contains(lower(text), 'continued'))
+  select doc_id, page, arg_min(text, line_ix) as another_title, arg_min(y, line_ix) as another_y from s where title is null or substring({KEY.format('text')}, 1, 24) <> substring({KEY.format('title')}, 1, 24) group by doc_id, page""")
+def second_table(spark):
+    return tables.next_table(X.PAGE_LINES.frame(spark), X.TITLES.frame(spark), ["doc_id", "page"])
+
+
+@query("page_crop", f"""select doc_id, page, orient, rule_ix, pos, case when coalesce(cut, 0) = 0 or orient = 'H' then lo else greatest(lo, cut - 1) end as lo, hi from {X.CUTS.sql}
+  where coalesce(cut, 0) = 0 or case when orient = 'H' then pos >= cut - 1 else hi >= cut - 1 end""")
+def page_crop(spark):
+    return lines.rules_below(X.CUTS.frame(spark), F.col("cut")).select("doc_id", "page", "orient", "rule_ix", "pos", "lo", "hi")
+
+
+@query("work_queue", f"select doc_id, cand_ix from {X.RANKED.sql} where cand_ix = 0 or (cand_ix < 3 and score >= 12)")
+def work_queue(spark):
+    return tables.queue(X.RANKED.frame(spark)).select("doc_id", "cand_ix")
+
+
+@query("accepted_tables", f"""with c as (select doc_id, cand, count(*) as cols, count(*) filter (coalesce(nullif(visit_number, ''), nullif(study_day, ''), nullif(study_week, ''), nullif(visit_window, '')) is not null) as facts from {X.T_COLUMNS.sql} group by 1, 2)
+  select doc_id, cand from c where cols >= 2 and exists (select 1 from {X.T_ROWS.sql} r where r.doc_id = c.doc_id and r.cand = c.cand)""")
+def accepted_tables(spark):
+    n = X.T_ROWS.frame(spark).groupBy("doc_id", "cand").agg(F.count(F.lit(1)).alias("n_rows"))
+    return tables.accept(X.T_COLUMNS.frame(spark), n, spark.sql("select 'x' as doc_id, 0 as cand, 'x' as title"))
+
+
+@query("raised_markers", f"""with b as (select doc_id, row, list_sort(list(h) filter (length(text) > 1)) as hs from {X.LABEL_WORDS.sql} group by 1, 2), m as (select doc_id, row, hs[cast(floor(len(hs) / 2) as int) + 1] as body from b)
+  select doc_id, row, word_ix, lower(text) as marker from {X.LABEL_WORDS.sql} join m using (doc_id, row) where regexp_matches(text, '^[A-Za-z*†‡§¶#]$') and h < body - 0.4""")
+def raised_markers(spark):
+    return rows.raised_markers(X.LABEL_WORDS.frame(spark), ["doc_id", "row"])
+
+
+@query("heading_continuation", """select * from (values ('a', 1, 0, 'End of Treat-ment'), ('a', 1, 1, 'Follow up period'), ('a', 1, 2, 'Visit')) t(doc_id, page, head_ix, text)""")
+def heading_continuation(spark):
+    return header.continue_headings(X.PIECES_X.frame(spark), X.HEADINGS_X.frame(spark), ["doc_id", "page"], 20.0).select("doc_id", "page", "head_ix", "text")
+
+
+@query("header_cells", f"""with h as (select h.*, (x0 + x1) / 2 as mid from {X.HEADS.sql} h), g as (select h.doc_id, h.page, h.row, h.head_ix, h.text, b.band_ix, abs(b.centre - mid) as gap, row_number() over (partition by h.doc_id, h.page, h.row, h.head_ix order by abs(b.centre - mid), b.band_ix) as n
+    from h join {X.HEAD_BANDS.sql} b on b.doc_id = h.doc_id and b.page = h.page) select doc_id, page, row, band_ix, string_agg(text, ' ' order by head_ix) as text from g where n = 1 and gap <= 33 group by 1, 2, 3, 4""")
+def header_cells(spark):
+    bands = X.HEAD_BANDS.frame(spark).withColumn("left", F.col("centre")).withColumn("right", F.col("centre"))
+    words = X.HEADS.frame(spark).select("doc_id", "page", "row", F.col("head_ix").alias("word_ix"), "text", F.col("x0").alias("x"), (F.col("x1") - F.col("x0")).alias("w"))
+    return header.place_words(words, bands, ["doc_id", "page"], ["row"]).select("doc_id", "page", "row", "band_ix", "text")
+
+
+@query("audit_label_columns", f"""with s as (select doc_id, page, c, avg(regexp_matches(text, '[A-Za-z]{{3}}')::int) as share from {X.MATRIX.sql} group by 1, 2, 3)
+  select doc_id, page, coalesce(min(c) filter (share < 0.5), max(c) + 1) as label_columns from s group by 1, 2""")
+def audit_label_columns(spark):
+    return audit.label_columns(X.MATRIX.frame(spark), ["doc_id", "page"])
+
+
+@query("audit_header_rows", f"""with t as (select doc_id, page, r, count(*) filter (regexp_matches(text, '(?i)^(x|✓|●|•)$')) as ticks, arg_min(text, c) as label from {X.MATRIX.sql} group by 1, 2, 3)
+  select doc_id, page, coalesce(min(r) filter (ticks >= 3 or exists (select 1 from {X.KNOWN_ROWS.sql} k where k.doc_id = t.doc_id and k.page = t.page and {KEY.format('k.label')} = {KEY.format('t.label')})), max(r) + 1) as header_rows from t group by 1, 2""")
+def audit_header_rows(spark):
+    return audit.header_rows(X.MATRIX.frame(spark), X.KNOWN_ROWS.frame(spark), ["doc_id", "page"])
+
+
+@query("audit_phrases", f"""select doc_id, page, row, phrase from {X.PHRASES.sql} p where not exists (select 1 from {X.PRINTED.sql} x where x.doc_id = p.doc_id and x.page = p.page and x.row = p.row and contains({KEY.format('x.text')}, {KEY.format('p.phrase')}))""")
+def audit_phrases(spark):
+    return audit.phrase_placement(X.PHRASES.frame(spark), X.PRINTED.frame(spark), ["doc_id", "page"])
+
+
+@query("audit_foreign_grids", f"select doc_id, page, (n_drawn >= 4 and n_paired < 0.5 * n_drawn) or starts_another as foreign_grid from {X.GRIDS.sql}")
+def audit_foreign_grids(spark):
+    return audit.foreign(X.GRIDS.frame(spark), ["doc_id", "page"]).withColumnRenamed("foreign", "foreign_grid")
+
+
+@query("source_lines", f"select doc_id, string_agg(page || ':' || n, ',' order by page) as pages from (select doc_id, page, count(*) as n from {X.PAGE_LINES.sql} where page <= 2 group by 1, 2) group by 1")
+def source_lines(spark):
+    got = publish.source_lines(X.PAGE_LINES.frame(spark), X.PAGE_LINES.frame(spark).where("page <= 2"))
+    entries = F.array_sort(F.transform(F.map_entries("source_pages"), lambda e: F.concat_ws(":", e["key"], F.size(e["value"]))))
+    return got.select("doc_id", F.array_join(entries, ",").alias("pages"))

@@ -246,3 +246,35 @@ RAW_ROWS = Fixture("doc_id string, cand int, ord int, id string, kind string, la
 RAW_NOTES = Fixture("doc_id string, cand int, ord int, marker string, printed string, text string, continued boolean, n_pages int, n_targets int", [
     ("a", 0, 0, "a", "a.", "one  two", None, 1, 2), ("a", 0, 1, "abbreviations", "", "ECG = x", False, 2, 0), ("a", 0, 2, "X", None, "required", True, 1, 0), ("a", 0, 3, "b", None, "loose", False, 1, 0),
 ])
+
+PAGE_LINES = Fixture("doc_id string, page int, line_ix int, y double, text string", [
+    ("a", 1, 0, 20, "Protocol 12 page 3"), ("a", 1, 1, 40, "Table 2 Schedule of Events"), ("a", 1, 2, 60, "Visit 1 2 3"), ("a", 2, 0, 20, "Table 2 Schedule of Events continued"), ("a", 2, 3, 80, "X X"), ("a", 2, 5, 120, "APPENDIX II Schedule of Assessments"),
+    ("a", 3, 2, 44, "Figure 1. Flow chart"), ("a", 3, 13, 300, "Table 9 other"), ("b", 1, 20, 400, "Schedule of Events"), ("b", 1, 21, 420, "Appendix 3 more"),
+])
+
+TITLES = Fixture("doc_id string, page int, title string", [("a", 1, "Table 2 Schedule of Events"), ("a", 2, "Table 2 Schedule of Events")])
+
+CUTS = Fixture("doc_id string, page int, orient string, rule_ix int, pos double, lo double, hi double, pieces int, cut double", [
+    ("a", 1, "H", 0, 99, 10, 90, 1, 100), ("a", 1, "H", 1, 98.9, 10, 90, 1, 100), ("a", 1, "V", 0, 50, 20, 200, 2, 100), ("a", 1, "V", 1, 60, 20, 80, 1, 100), ("b", 1, "H", 0, 5, 0, 9, 1, 0), ("b", 2, "V", 0, 5, 1, 9, 1, None),
+])
+
+LABEL_WORDS = Fixture("doc_id string, row int, word_ix int, text string, h double", [
+    ("a", 1, 0, "Physical", 10), ("a", 1, 1, "exam", 10), ("a", 1, 2, "a", 6), ("a", 2, 0, "Vital", 10), ("a", 2, 1, "B", 10), ("a", 3, 0, "ECG", 9), ("a", 3, 1, "*", 8.7), ("a", 3, 2, "†", 8.5),
+])
+
+HEADINGS_X = Fixture("doc_id string, page int, head_ix int, text string, x0 double, x1 double", [("a", 1, 0, "End of Treat-", 100, 160), ("a", 1, 1, "Follow", 200, 240), ("a", 1, 2, "Visit", 300, 330)])
+PIECES_X = Fixture("doc_id string, page int, piece_ix int, text string, x0 double, x1 double", [("a", 1, 0, "ment", 120, 140), ("a", 1, 1, "up", 215, 225), ("a", 1, 2, "period", 243, 270), ("a", 1, 3, "lost", 400, 420)])
+
+MATRIX = Fixture("doc_id string, page int, r int, c int, text string", [
+    ("a", 1, 0, 0, "Activity"), ("a", 1, 0, 1, "Note"), ("a", 1, 0, 2, "Visit 1"), ("a", 1, 0, 3, "Visit 2"), ("a", 1, 1, 0, "Study Day"), ("a", 1, 1, 2, "1"), ("a", 1, 1, 3, "8"), ("a", 1, 2, 0, "Physical exam"), ("a", 1, 2, 1, "full one"), ("a", 1, 2, 2, "X"), ("a", 1, 2, 3, "X"),
+    ("a", 1, 3, 0, "Labs"), ("a", 1, 3, 1, "fasting"), ("a", 1, 3, 2, "X"), ("b", 1, 0, 0, "Item"), ("b", 1, 0, 1, "1"), ("b", 1, 1, 0, "unknown"), ("b", 1, 1, 1, "x"), ("b", 1, 1, 2, "X"), ("b", 1, 1, 3, "X"),
+])
+
+KNOWN_ROWS = Fixture("doc_id string, page int, label string", [("a", 1, "PHYSICAL EXAM"), ("a", 1, "Labs")])
+
+PHRASES = Fixture("doc_id string, page int, row int, phrase string", [("a", 1, 1, "Prior to Day 4"), ("a", 1, 1, "weekly"), ("a", 1, 2, "monthly"), ("a", 1, 9, "no row")])
+PRINTED = Fixture("doc_id string, page int, row int, text string", [("a", 1, 1, "prior to"), ("a", 1, 1, "prior to day 4 only"), ("a", 1, 2, "weekly"), ("a", 1, 2, "X")])
+
+GRIDS = Fixture("doc_id string, page int, n_drawn int, n_paired int, starts_another boolean", [("a", 1, 8, 3, False), ("a", 2, 8, 4, False), ("a", 3, 3, 0, False), ("a", 4, 9, 9, True)])
+
+RANKED = Fixture("doc_id string, cand_ix int, score double", [("a", 0, 9.5), ("a", 1, 9.4), ("b", 0, 20), ("b", 1, 14), ("b", 2, 12), ("b", 3, 12), ("c", 0, 30), ("c", 1, 11.9)])
