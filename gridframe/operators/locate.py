@@ -14,17 +14,17 @@ def is_heading(line: Column) -> Column:
     return (F.length(s) <= 110) & ~s.rlike(T.TOC_LEADER) & ~(s.rlike(T.TOC_NUMBER) & (F.length(s) < 80)) & ~s.rlike(T.CROSS_REFERENCE)
 
 
-def names_table(line: Column) -> Column:
-    low = T.norm(line)
+def names_table(line: Column, low: Column | None = None) -> Column:
+    """A heading that has one of the table's names; ``low`` is the normalised line where it is at hand."""
+    low = T.norm(line) if low is None else low
     out = F.lit(False)
     for name in T.TITLE_WORDS:
         out = out | low.contains(name)
     return out & is_heading(line)
 
 
-def heads_row(line: Column) -> Column:
-    """Starts with a header word, or has one between spaces."""
-    low = T.norm(line)
+def heads_row(low: Column) -> Column:
+    """A normalised line that starts with a header word, or has one between spaces."""
     out = F.lit(False)
     for name in T.HEADER_WORDS:
         out = out | low.startswith(name) | low.contains(f" {name} ")
@@ -35,9 +35,12 @@ def line_facts(lines: DataFrame) -> DataFrame:
     """What each line tells: title, header row, marks, footnote definition.  ``tokens`` are its words' texts."""
     marks = F.size(F.filter("tokens", lambda t: t.rlike(T.CELL_MARK)))
     numbers = F.size(F.filter("tokens", lambda t: t.rlike(T.HEADER_NUMBER)))
-    return lines.select(
-        "doc_id", "page", "line_ix", "text", F.size("tokens").alias("n_tokens"), marks.alias("marks"), names_table(F.col("text")).alias("is_title"),
-        (heads_row(F.col("text")) & (numbers >= 3)).alias("is_header"), ((marks >= 3) & (marks > 0.4 * F.size("tokens"))).alias("is_grid"), F.col("text").rlike(T.FOOTNOTE_LINE).alias("is_footnote"),
+    # The normalised line and the counts are columns of their own: they are used many times.
+    counted = lines.withColumns({"low": T.norm(F.col("text")), "marks": marks, "numbers": numbers})
+    marks, numbers = F.col("marks"), F.col("numbers")
+    return counted.select(
+        "doc_id", "page", "line_ix", "text", "low", F.size("tokens").alias("n_tokens"), "marks", names_table(F.col("text"), F.col("low")).alias("is_title"),
+        ((numbers >= 3) & heads_row(F.col("low"))).alias("is_header"), ((marks >= 3) & (marks > 0.4 * F.size("tokens"))).alias("is_grid"), F.col("text").rlike(T.FOOTNOTE_LINE).alias("is_footnote"),
     )
 
 
@@ -47,8 +50,7 @@ def page_scores(lines: DataFrame) -> DataFrame:
     A title gives 6; up to three header rows 2 each; two or more period names up to 4; eight or more marks an eighth
     each up to 6; three or more grid rows a half each up to 5; three or more footnote lines a third each up to 3.
     """
-    low = T.norm(F.col("text"))
-    periods = [F.max(low.contains(name).cast("int")) for name in T.PERIOD_WORDS]
+    periods = [F.max(F.col("low").contains(name).cast("int")) for name in T.PERIOD_WORDS]
     n_periods = periods[0]
     for p in periods[1:]:
         n_periods = n_periods + p
