@@ -165,8 +165,9 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, size: int, k: int) -> DataFrame:
     """doc, text_key and the word spans [start, stop) of repeated windows, overlapping where windows do."""
-    found = paths(docs, size, k).join(minimiser_counts(docs, size, k), "anchor", "left_semi")
-    found = common.written(found, "paths")
+    # Written on its own, so that the join's sides are plain exchanges and a frequent minimiser's can be split.
+    repeated = common.written(minimiser_counts(docs, size, k), "minimisers")
+    found = common.written(paths(docs, size, k).join(repeated, "anchor", "left_semi"), "paths")
     kinds = found.groupBy("anchor", "path").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "text_key", "place")).alias("first")
     )
