@@ -31,12 +31,12 @@ MOST_SCHEDULE_ROWS = 1_000_000
 REST = "(rest)"
 
 
-def _with_source(docs: DataFrame, weights: dict[str, int], seed: int) -> DataFrame:
-    """``row``, the mix source and the shuffle key of each row."""
+def _with_source(docs: DataFrame, weights: dict[str, int], seed: int, carry: list[str]) -> DataFrame:
+    """``row`` (the columns to carry), the mix source and the shuffle key of each row."""
     known = F.coalesce(F.col("source").cast("string"), F.lit(""))
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.select(
-        F.struct("*").alias("row"),
+        F.struct(*[F.col(c) for c in carry]).alias("row"),
         F.when(known.isin(*weights), known).otherwise(F.lit(REST)).alias("mix_source") if weights else F.lit(REST).alias("mix_source"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), tie).alias("shuffle"),
     )
@@ -118,13 +118,15 @@ def schedule(sizes: DataFrame, weights: dict[str, int], rest_weight: int, block_
     )
 
 
-def placed(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_rows: int = 16, seed: int = 42) -> DataFrame:
-    """``row`` and its mix source, block, slot, release, deadline (in slots) and place within the block."""
+def placed(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_rows: int = 16, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns to carry, all by default), its mix source, block, slot, release, deadline (in slots) and
+    place within the block.
+    """
     if any(w < 1 for w in [*weights.values(), rest_weight]) or REST in weights:
         raise ValueError("weights are whole numbers from 1 on")
     if (len(weights) + 1) * (sum(weights.values()) + rest_weight) > MOST_SCHEDULE_ROWS:
         raise ValueError("the weights have too large a sum for a period's schedule")
-    rows, sizes = numbered(_with_source(docs, weights, seed))
+    rows, sizes = numbered(_with_source(docs, weights, seed, docs.columns if carry is None else carry))
     plan = schedule(sizes, weights, rest_weight, block_rows)
     rows = rows.withColumn("block", F.floor(F.col("nth") / block_rows)).withColumn("in_block", (F.col("nth") % block_rows).cast("int"))
     w = F.lit(rest_weight)

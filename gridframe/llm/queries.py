@@ -71,7 +71,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.placed(common.table(spark, sf_dir, "documents"), MIX)
+    out = mixing.placed(common.table(spark, sf_dir, "documents"), MIX, carry=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "mix_source", "block", "in_block", "slot", "release", "deadline")
 
 
