@@ -93,4 +93,26 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "language_id_pages": language_id_pages,
 }
-ORACLES: dict = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PLAIN = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP5_SQL = f"""with d as (select row_number() over () as r, doc_id, {PLAIN} as ws from documents),
+b as (select item_id, {PLAIN} as ws from benchmark), k as (select item_id, ws, least({decontaminate.WINDOW}, len(ws)) as k from b where len(ws) > 0),
+iw as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as w from (select *, unnest(range(1, len(ws) - k + 2)) as i from k)),
+dw as (select r, k, i, array_to_string(ws[i:i + k - 1], ' ') as w from (select r, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, (select distinct k from k))),
+h as (select r, i, dw.k, item_id from dw join iw on iw.k = dw.k and iw.w = dw.w),
+n as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from h) group by r),
+t as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join t using (r)"""
+
+OP7_SQL = f"""with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents),
+w as (select r, i, md5(array_to_string(ws[i:i + {substring_dedup.SIZE - 1}], ' ')) as w from (select r, ws, unnest(range(1, len(ws) - {substring_dedup.SIZE - 2})) as i from d where len(ws) >= {substring_dedup.SIZE})),
+again as (select w from w group by w having count(*) > 1),
+hit as (select distinct r, unnest(range(i, i + {substring_dedup.SIZE})) as p from w where w in (select w from again)),
+each as (select r, generate_subscripts(ws, 1) as p, unnest(ws) as x from d),
+kept as (select r, string_agg(x, ' ' order by p) as t from each anti join hit using (r, p) group by r), n as (select r, count(*) as n from hit group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (r) left join n using (r)"""
+
+#: The others are trained models, connected components, schedules and encodings, which SQL can't state.
+ORACLES: dict = {"op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL}
