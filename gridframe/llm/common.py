@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +75,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def arrow_rows(schema: pa.Schema, columns: dict) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_pydict(columns, schema=schema)
-
-
 class WordHashes(dict):
     """Word bytes to eight bytes of a 64-bit hash; emptied when ``limit`` words are held."""
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.llm import common
@@ -65,7 +65,7 @@ def train(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
 class Likelihoods(dict):
     """A word to its row in a growing table of mean log likelihoods."""
 
-    def __init__(self, table: np.ndarray, limit: int = 200_000):
+    def __init__(self, table: np.ndarray, limit: int = 100_000):
         super().__init__()
         self.table, self.limit = table, limit
         self.values = np.zeros((1024, table.shape[1]), np.float32)
@@ -74,7 +74,7 @@ class Likelihoods(dict):
         at = len(self)
         if at == len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[at] = self.table[trigrams(word[:256])].sum(axis=0)
+        self.values[at] = self.table[trigrams(word)].sum(axis=0)
         self[word] = at
         return at
 
@@ -84,28 +84,55 @@ class Likelihoods(dict):
             return 0, np.zeros(self.table.shape[1], np.float32)
         if len(self) >= self.limit:
             self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.values[at].sum(axis=0, dtype=np.float64)
+        total = np.zeros(self.table.shape[1])
+        # Scripts without spaces make long words: they count like any other, but aren't held.
+        long = [w for w in words if len(w) > 64]
+        for w in long:
+            total += self.table[trigrams(w)].sum(axis=0)
+        held = [w for w in words if len(w) <= 64] if long else words
+        at = np.fromiter(map(self.__getitem__, held), np.int64, len(held))
+        total += self.values[at].sum(axis=0, dtype=np.float64)
         return len(words), (total * (DAMP / (DAMP + len(words)))).astype(np.float32)
 
 
+class Model:
+    """What is sent to the executors; the words that were met stay with it in a worker for its next tasks."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.met = table, None
+
+    def likelihoods(self) -> Likelihoods:
+        if self.met is None:
+            self.met = Likelihoods(self.table)
+        return self.met
+
+
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` texts for each declared language, and at most LANGUAGES languages: the commonest."""
+    """At most ``per_language`` texts for each declared language, and at most LANGUAGES languages: the commonest.
+
+    A language's rows are thinned by their hash to about twice what is wanted before any is ranked, so what meets
+    in one task or goes to the driver is bounded by the sample, whatever the table's size.
+    """
     named = docs.where("declared is not null and declared != '' and text != ''")
-    names = [r["declared"] for r in named.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
-    out: list[tuple[str, bytes]] = []
-    for name in names:
-        picked = named.where(F.col("declared") == name).orderBy(F.xxhash64("row_id", "text")).limit(per_language).select(F.col("text").cast("binary").alias("text"))
-        out += [(name, bytes(r["text"])) for r in picked.collect()]
-    return out
+    counts = {r["declared"]: r["count"] for r in named.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()}
+    if not counts:
+        return []
+    share = F.lit(0.0)
+    for name, n in counts.items():
+        share = F.when(F.col("declared") == name, F.lit(2.0 * per_language / n)).otherwise(share)
+    hashed = named.withColumn("h", F.xxhash64("row_id", "text"))
+    thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
+    place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
+    picked = thin.withColumn("place", place).where(F.col("place") <= per_language).select("declared", "h", F.col("text").cast("binary").alias("text"))
+    return [(r["declared"], bytes(r["text"])) for r in sorted(picked.collect(), key=lambda r: (r["declared"], r["h"]))]
 
 
 def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
     """row columns without the text, with n_letters_words and the log likelihood of each language."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(Model(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Likelihoods(shared.value)
+        model = shared.value.likelihoods()
         for batch in batches:
             found = [model.of(t) for t in common.texts(batch)]
             yield pa.RecordBatch.from_arrays(

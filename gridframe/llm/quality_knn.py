@@ -18,6 +18,7 @@ separate rows; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,15 +40,19 @@ SHAPES = bytes(
 )
 
 
+@functools.lru_cache(maxsize=1)
+def terms_met() -> "Terms":
+    """Kept for the tasks that a Python worker runs in turn."""
+    return Terms()
+
+
 def shape(word: bytes) -> bytes:
-    """Each run of a sign is written once; at most twelve signs."""
+    """Each run of a sign is written once."""
     out, last = bytearray(), -1
     for b in word.translate(SHAPES):
         if b != last:
             out.append(b)
             last = b
-        if len(out) == 12:
-            break
     return bytes(out)
 
 
@@ -148,7 +153,11 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
     """The space of at most ``sample`` labelled documents: those with the least hashes of their ids."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    learnt = known.where(~held_out())
+    n = learnt.count()
+    # Thinned by hash to about twice the sample before ranking, so that what meets in one task is bounded.
+    thin = learnt.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < 2.0 * sample / max(n, 1) * float(1 << 30))
+    chosen = thin.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` ids.
     rows = common.id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text"), "quality")
     found = sorted(rows.orderBy("h").limit(sample).collect(), key=lambda r: (r["h"], r["doc_id"], bytes(r["text"])))
@@ -161,7 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbour
     space = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+        terms = terms_met()
         for batch in batches:
             score = space.value.scores(terms, common.texts(batch), neighbours)
             yield pa.RecordBatch.from_arrays(
