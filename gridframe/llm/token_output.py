@@ -11,7 +11,11 @@ ids come first; an empty table gives an empty folder with a schema; other column
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,30 +40,87 @@ WRITER = {
 }
 
 
-class ChunkIds(dict):
-    """Bytes between white space to the little-endian bytes of their ids.
+def byte_signs() -> dict[int, int]:
+    """The signs that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: 256 + i for i, b in enumerate(rest)}
 
-    The tokenizer drops white space and no piece of it spans any, so the ids of a text are those of its chunks in
-    turn; a chunk is encoded by the library when it is first met.  Long chunks aren't held, and the table is
-    emptied at ``limit`` chunks, so its memory is bounded.
+
+BYTE_SIGNS = byte_signs()
+
+
+class Remembered(dict):
+    """What ``make`` gave for short keys, in two generations: when the young one has ``limit`` entries it becomes the
+    old one, and what is asked for again returns, so memory is bounded and frequent keys stay.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, limit: int):
         super().__init__()
-        from tokenizers import Tokenizer
+        self.limit, self.old = limit, {}
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+    def make(self, key: bytes) -> bytes:
+        raise NotImplementedError
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        value = np.asarray(ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = value
+            self[key] = value
         return value
 
 
+class ChunkIds(Remembered):
+    """Bytes between white space, and the pieces of such, to the little-endian bytes of their ids.
+
+    The tokenizer drops white space, makes letters small and starts a new piece wherever letters end or begin, but
+    for apostrophes and special tokens.  So the ids of a text are those of its chunks in turn, and those of a chunk
+    the ids of its runs of letters and of other signs; chunks where that isn't plain (apostrophes, signs that turn
+    into other kinds of signs when made small) go to the library whole.
+    """
+
+    RUNS = re.compile(rb"[a-zA-Z\x80-\xff]+|[^a-zA-Z\x80-\xff]+")
+
+    def __init__(self, path: str, limit: int = 250_000):
+        super().__init__(limit)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def make(self, key: bytes) -> bytes:
+        if not key.isalpha() and b"'" not in key and b"<|" not in key:
+            runs = self.RUNS.findall(key)
+            if len(runs) > 1 and (key.isascii() or all(x.isascii() or x.decode().lower().isalpha() for x in runs)):
+                return b"".join(map(self.__getitem__, runs))
+        return self.piece(key)
+
+    def piece(self, key: bytes) -> bytes:
+        text = key.decode().lower()
+        if text.isalpha() and (text.isascii() or max(text) < "\u0250"):
+            # One piece: normalising and splitting would leave it as it is, so the library's model is asked at once.
+            signs = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = array("I", [t.id for t in self.model.tokenize(signs)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            return ids.tobytes()
+        return np.asarray(self.tokenizer.encode(key.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def of(self, text: bytes) -> bytes:
+        # A special token is one only as it is written.
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
+
+@functools.lru_cache(maxsize=1)
+def chunk_ids(path: str) -> ChunkIds:
+    """Kept for the tasks that a Python worker runs in turn."""
+    return ChunkIds(path)
+
+
 def encoder(tokenizer_path: str, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
     arrow = pa.schema(
@@ -67,9 +128,9 @@ def encoder(tokenizer_path: str, end_id: int):
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, at = ChunkIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids, part, at = chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = [b"".join(map(ids.__getitem__, text.split())) + end for text in common.texts(batch)]
+            rows = [ids.of(text) + end for text in common.texts(batch)]
             n = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
             upto = np.concatenate([[0], np.cumsum(n)])
             tokens = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))

@@ -31,7 +31,6 @@ def texts():
 
 def test_chunks_give_the_ids_of_whole_texts():
     ids = token_output.ChunkIds(PATH, limit=7)
-    ids.pieces.limit = 5
     for text in texts():
         assert np.frombuffer(ids.of((text or "").encode()), "<u4").tolist() == library(text), text
 
