@@ -262,28 +262,33 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """``docs`` without benchmark passages: spans of occurring windows are cut out of the texts, and a document goes
-    when more than ``coverage`` of its words are hit.  Texts without a hit stay as they are, byte for byte; in the
+    when more than ``coverage`` of its words are hit, by the items of all blocks together.  Texts without a hit stay as they are, byte for byte; in the
     others the words around a cut stay as they were, with what separates them.  All columns stay.
     """
     common.tune(docs.sparkSession)
     spark = docs.sparkSession
-    out, schema = docs, docs.schema
-    for block in blocks(benchmark, block_words):
+    held = "spans"
+    while held in {c.lower() for c in docs.columns}:
+        held += "_"
+    out = docs.withColumn(held, F.array().cast("array<int>"))
+    for block, last in with_last(blocks(benchmark, block_words)):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("text")
-                texts, stay = [], []
-                for text in batch.column(at).cast(pa.binary()).to_pylist():
-                    spans, _ = shared.value.matches(words_of(text or b""))
-                    kept = cut_out(text, spans, coverage) if spans else text
-                    stay.append(kept is not None or text is None)
-                    texts.append(kept)
+                at, to = batch.schema.get_field_index("text"), batch.schema.get_field_index(held)
+                originals = batch.column(at).cast(pa.binary()).to_pylist()
+                # Spans are of the original words in all blocks; only the last block cuts.
+                spans = [before + [x for span in shared.value.matches(words_of(text or b""))[0] for x in span] for text, before in zip(originals, batch.column(to).to_pylist(), strict=True)]
+                if not last:
+                    yield batch.set_column(to, batch.schema.field(to), pa.array(spans, batch.schema.field(to).type))
+                    continue
+                texts = [cut_out(text, list(zip(found[::2], found[1::2], strict=True)), coverage) if found else text for text, found in zip(originals, spans, strict=True)]
+                stay = [kept is not None or text is None for text, kept in zip(originals, texts, strict=True)]
                 new = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                yield batch.set_column(at, batch.schema.field(at), new).filter(pa.array(stay))
+                yield batch.set_column(at, batch.schema.field(at), new).remove_column(to).filter(pa.array(stay, pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, docs.schema) if last else common.written(out.mapInArrow(run, out.schema), "spans")
     return out
 
 
