@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridframe.llm import common, decontaminate, language_id, mixing, simhash, token_output
+from gridframe.llm import common, decontaminate, language_id, mixing, near_copies, token_output
 from gridframe.llm.queries import END_ID, MIX, tokenizer_file
 
 
@@ -20,7 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, distance=2)
+    """One document of each group whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    return near_copies.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens in the order in which the mix left the rows, so that ``start`` ascends with its slots."""
     path = common.scratch(spark, "tokens")
-    token_output.write_tokens(docs, path, tokenizer_file(), END_ID)
+    token_output.write_tokens(token_output.as_stored(docs), path, tokenizer_file(), END_ID, token_output.STORED)
     return token_output.digests(spark, path)
 
 

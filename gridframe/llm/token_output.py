@@ -1,8 +1,8 @@
-"""Token-ID output: whole texts as lists of token ids in Parquet, in ascending id order.
+"""Token-ID output: whole texts as lists of token ids in Parquet, in ascending id order or in the order of the input.
 
 File format: one Parquet folder.  ``tokens`` (list of int) is dictionary-encoded; ``doc_id``, ``start_in_part`` and
 ``n_tokens`` are plain columns without a dictionary, which the version-2 writer packs as deltas.  Row groups and
-pages have set sizes, and since the rows of a file ascend by ``doc_id``, the page index lets a reader of a few
+pages have set sizes, and where the rows of a file ascend by ``doc_id``, the page index lets a reader of a few
 documents, or of the metadata alone, skip the rest.
 
 Inputs: null texts count as empty (the end id only); rows that share an id are separate rows, ordered by the text's hash; null
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,14 +144,32 @@ def encoder(tokenizer_path: str, end_id: int):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
-    """Encodes all texts and writes them under ``path``.  Ranges of ids are dealt out, so one task never has them all."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, order: list[str] | None = None) -> None:
+    """Encodes all texts and writes them under ``path``, by ``order`` (columns of ``docs``; by default the id and the
+    text's hash).  Ranges of the order are dealt out, so one task never has them all.
+    """
     common.tune(docs.sparkSession)
-    rows = common.id_and_text(docs).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = common.id_and_text(docs, *(order or [])).withColumn("tie", F.xxhash64("text"))
+    by = order or ["doc_id", "tie"]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     ordered.mapInArrow(encoder(tokenizer_path, end_id), SCHEMA).write.options(**WRITER).parquet(path)
 
 
+STORED = ["stored_part", "stored_file", "stored_row"]
+
+
+def as_stored(docs: DataFrame) -> DataFrame:
+    """Ids and texts with the columns ``STORED``: the place of each row in the files that ``docs`` was read from, whose
+    numbers ascend as the rows did when Spark wrote them.  What isn't read from files is written first.
+    """
+    place = [F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0)), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        return docs.select("doc_id", "text", *[c.alias(n) for c, n in zip(place, STORED, strict=True)])
+    except AnalysisException:
+        docs = common.written(docs.select("doc_id", "text"), "stored")
+        return docs.select("doc_id", "text", *[c.alias(n) for c, n in zip(place, STORED, strict=True)])
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows; columns and row groups that aren't asked for aren't read."""
     return spark.read.schema(SCHEMA).parquet(path)
