@@ -11,7 +11,7 @@ The posterior is the product.  A row is rejected when it has no letter, or when
 below ``least`` or isn't wanted.
 
 The text model is trained on a bounded sample: at most ``SAMPLE`` rows of each declared language, those with the
-least hashes.  It is a table of FEATURES x languages numbers.
+least hashes.  Every declared language is a candidate.  The model is a table of FEATURES x languages numbers.
 
 Inputs: null and empty texts have no letter and are rejected; a null declaration, suffix or host is a value of its
 own; rows that share an id are separate rows; an empty table gives no rows, and without any declared language in the
@@ -21,7 +21,7 @@ sample every row is rejected; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 
 from gridframe.llm import common
 
-#: Rows of each declared language that train the model, at most; languages at most; trigram classes.
+#: Rows of each declared language that train the model, at most; trigram classes.
 SAMPLE = 500
-LANGUAGES = 64
 FEATURES = 1 << 16
 
 #: A word's likelihoods aren't independent of the next word's: their sum is damped by this many words.
@@ -47,27 +46,35 @@ def trigrams(word: bytes) -> list[int]:
     return [zlib.crc32(w[i : i + 3].encode()) % FEATURES for i in range(max(1, len(w) - 2))]
 
 
-def train(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
+def train(rows: Iterable[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
     """Languages, and the logarithm of each trigram class's share in each of them."""
-    names = sorted({lang for lang, _ in rows})
-    counts = np.full((FEATURES, max(1, len(names))), 0.1, np.float64)
+    counts: dict[str, np.ndarray] = {}
     seen: dict[bytes, list[int]] = {}
     for lang, text in rows:
-        at = names.index(lang)
+        if lang not in counts:
+            counts[lang] = np.zeros(FEATURES, np.int32)
+        if len(seen) >= 300_000:
+            seen.clear()
+        found: list[int] = []
         for word in text.translate(BREAKS).split():
             if word not in seen:
                 seen[word] = trigrams(word)
-            for t in seen[word]:
-                counts[t, at] += 1
-    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+            found += seen[word]
+        np.add.at(counts[lang], found, 1)
+    names = sorted(counts)
+    table = np.zeros((FEATURES, max(1, len(names))), np.float32)
+    for at, name in enumerate(names):
+        smoothed = counts.pop(name) + 0.1
+        table[:, at] = np.log(smoothed / smoothed.sum())
+    return names, table
 
 
 class Likelihoods(dict):
     """A word to its row in a growing table of mean log likelihoods."""
 
-    def __init__(self, table: np.ndarray, limit: int = 100_000):
+    def __init__(self, table: np.ndarray, limit: int = 100_000, most_values: int = 6_400_000):
         super().__init__()
-        self.table, self.limit = table, limit
+        self.table, self.limit = table, max(1, min(limit, most_values // table.shape[1]))
         self.values = np.zeros((1024, table.shape[1]), np.float32)
 
     def __missing__(self, word: bytes) -> int:
@@ -107,24 +114,21 @@ class Model:
         return self.met
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` texts for each declared language, and at most LANGUAGES languages: the commonest.
+def sample(docs: DataFrame, per_language: int = SAMPLE) -> Iterator[tuple[str, bytes]]:
+    """At most ``per_language`` texts for each declared language, one after the other.
 
     A language's rows are thinned by their hash to about twice what is wanted before any is ranked, so what meets
-    in one task or goes to the driver is bounded by the sample, whatever the table's size.
+    in one task is bounded by the sample, whatever the table's size.
     """
     named = docs.where("declared is not null and declared != '' and text != ''")
-    counts = {r["declared"]: r["count"] for r in named.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()}
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("declared") == name, F.lit(2.0 * per_language / n)).otherwise(share)
-    hashed = named.withColumn("h", F.xxhash64("row_id", "text"))
-    thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
+    # One row for each declared language.
+    counts = F.broadcast(named.groupBy("declared").agg(F.count(F.lit(1)).alias("of")))
+    hashed = named.withColumn("h", F.xxhash64("row_id", "text")).join(counts, "declared")
+    thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * per_language) / F.col("of") * float(1 << 30))
     place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
-    picked = thin.withColumn("place", place).where(F.col("place") <= per_language).select("declared", "h", F.col("text").cast("binary").alias("text"))
-    return [(r["declared"], bytes(r["text"])) for r in sorted(picked.collect(), key=lambda r: (r["declared"], r["h"]))]
+    picked = thin.withColumn("place", place).where(F.col("place") <= per_language).select("declared", F.col("text").cast("binary").alias("text"))
+    for row in common.written(picked, "language-sample").toLocalIterator():
+        yield row["declared"], bytes(row["text"])
 
 
 def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
