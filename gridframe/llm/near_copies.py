@@ -139,7 +139,8 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
     texts = common.written(plain.join(heads.select("h", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("h", "text").dropDuplicates(["h"]), "near-texts")
     full = common.written(entries.join(heads.select("h", "n", "sketch"), "h"), "near-keys")
 
-    first = full.groupBy("key").agg(F.min(F.struct("h", "n", "sketch")).alias("one"))
+    # Each key has its own one of a crowd, so that what a crowd's many keys find connects it.
+    first = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("by"), "h", "n", "sketch")).alias("one"))
     star = full.join(first, "key").select(F.struct("h", "n", "sketch").alias("a"), F.col("one").alias("b")).where("a.h != b.h").where(may_reach("a", "b", share))
     found = common.written(verified(star.select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct(), texts, size, share), "near-links")
     parts = common.written(components(found), "near-parts")
