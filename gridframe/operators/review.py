@@ -46,13 +46,28 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     return words.unionByName(lines.select("doc_id", T.clean(F.col("text")).alias("term"))).where("term != ''").distinct()
 
 
+def vocabulary_arrays(lines: DataFrame) -> DataFrame:
+    """The words and whole lines of each document as one array: one shuffle on the document."""
+    each = F.concat("tokens", F.array(T.clean(F.col("text"))))
+    return lines.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(each))).alias("terms"))
+
+
 def grounded(cells: DataFrame, terms: DataFrame) -> DataFrame:
-    """Cells with ``kept``: the value, or every piece of it between white space, is printed in the document."""
-    pieces = F.filter(F.split(T.clean(F.col("value")), " "), lambda p: p != "")
-    each = cells.select("doc_id", "cell_ix", "value", F.explode_outer(F.concat(F.array(F.struct(F.lit(True).alias("whole"), T.clean(F.col("value")).alias("term"))), F.transform(pieces, lambda p: F.struct(F.lit(False).alias("whole"), p.alias("term"))))).alias("p"))
-    each = each.select("doc_id", "cell_ix", "value", "p.whole", "p.term").join(terms.withColumn("known", F.lit(True)), ["doc_id", "term"], "left")
-    known = F.coalesce("known", F.lit(False))
-    return each.groupBy("doc_id", "cell_ix", "value").agg((F.bool_or(F.col("whole") & known) | F.bool_and(F.col("whole") | known)).alias("kept"))
+    """Cells with ``kept``: the value, or every piece of it between white space, is printed in the document.
+
+    ``terms`` has a row for each term (``term``) or one array for each document (``terms``).  What a document's cells
+    say and what it prints meet in one row, where the terms that aren't printed are found once for all its cells.
+    """
+    if "terms" not in terms.columns:
+        terms = terms.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    value = F.coalesce(F.col("value").cast("string"), F.lit(""))
+    pieces = F.filter(F.split(T.clean(value), " "), lambda p: p != "")
+    asked = cells.select("doc_id", F.struct("cell_ix", "value", T.clean(value).alias("whole"), pieces.alias("pieces")).alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("cs"))
+    met = asked.join(terms, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    said = F.array_distinct(F.concat(F.flatten(F.transform("cs", lambda c: c["pieces"])), F.transform("cs", lambda c: c["whole"])))
+    met = met.select("doc_id", "cs", F.array_except(said, F.col("terms")).alias("missing"))
+    judged = F.transform("cs", lambda c: F.struct(c["cell_ix"].alias("cell_ix"), c["value"].alias("value"), (~F.array_contains("missing", c["whole"]) | ~F.arrays_overlap(c["pieces"], F.col("missing"))).alias("kept")))
+    return met.select("doc_id", F.explode(judged).alias("c")).select("doc_id", "c.cell_ix", "c.value", "c.kept")
 
 
 def rejects(checked: DataFrame, n: int = 6) -> DataFrame:

@@ -114,8 +114,8 @@ def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grounding_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document's successor as answers: what isn't printed in the document itself is rejected."""
     ls = lines_of(spark, sf_dir)
-    asked = ls.where("text != ''").select((F.col("doc_id") - 1).alias("doc_id"), F.col("line_ix").alias("cell_ix"), F.array_join(F.slice("tokens", 1, 3), " ").alias("value"))
-    out = review.grounded(asked, review.vocabulary(ls))
+    asked = ls.where("text != ''").select((F.col("doc_id") - 1).alias("doc_id"), F.col("line_ix").alias("cell_ix"), F.array_join("tokens", " ").alias("value"))
+    out = review.grounded(asked, review.vocabulary_arrays(ls))
     return out.select("doc_id", F.col("cell_ix").cast("long").alias("cell_ix"), "kept")
 
 
@@ -207,14 +207,14 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_column_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types' sets of users, of the first and the second half of the event ids, paired as columns."""
-    events = layout.table(spark, sf_dir, "events").where("user_id < 50")
+    events = layout.table(spark, sf_dir, "events")
     half = lambda k: events.where(F.col("event_id") % 2 == k).select(F.lit(1).alias("page"), F.col("event_type").alias("col"), F.col("user_id").alias("row"))
     out = audit.column_scores(half(0), half(1), ["page"])
     return out.select("a", "b", (F.floor(F.col("score") * 1_000_000 + 0.5) / 1_000_000).alias("score"))
 
 
 def audit_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = layout.table(spark, sf_dir, "events").where("user_id < 50")
+    events = layout.table(spark, sf_dir, "events")
     half = lambda k: events.where(F.col("event_id") % 2 == k).select(F.lit(1).alias("page"), F.col("event_type").alias("col"), F.col("user_id").alias("row"))
     return audit.greedy_pairs(audit.column_scores(half(0), half(1), ["page"]), ["page"]).select("a", "b")
 
@@ -261,7 +261,7 @@ ORACLES = {
       select doc_id, line_ix::bigint as line_ix, lower(regexp_replace(case when s <> '' then s else m end, '[()]', '', 'g')) as marker, body from p where body <> ''""",
     "vocabulary": f"""with {DOC_LINES} select doc_id, count(distinct term) as terms from (select doc_id, unnest(tokens) as term from doc_lines union all select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) from doc_lines) where term <> '' group by doc_id""",
     "grounding_validate": f"""with {DOC_LINES}, vocab as (select distinct doc_id, term from (select doc_id, unnest(tokens) as term from doc_lines union all select doc_id, trim(text) from doc_lines) where term <> ''),
-      asked as (select doc_id - 1 as doc_id, line_ix, array_to_string(tokens[1:3], ' ') as value, tokens[1:3] as pieces from doc_lines where text <> ''),
+      asked as (select doc_id - 1 as doc_id, line_ix, array_to_string(tokens, ' ') as value, tokens as pieces from doc_lines where text <> ''),
       each as (select a.doc_id, a.line_ix, value, unnest(pieces) as piece from asked a),
       ok as (select e.doc_id, e.line_ix, bool_and(v.term is not null) as every_piece from each e left join vocab v on v.doc_id = e.doc_id and v.term = e.piece group by 1, 2)
       select a.doc_id, a.line_ix::bigint as cell_ix, coalesce(o.every_piece, true) or exists (select 1 from vocab v where v.doc_id = a.doc_id and v.term = a.value) as kept from asked a left join ok o on o.doc_id = a.doc_id and o.line_ix = a.line_ix""",
@@ -272,12 +272,12 @@ ORACLES = {
       runs as (select *, sum(case when step > near then 1 else 0 end) over (partition by page order by centre, x, y rows unbounded preceding) as stack_ix from s)
       select page, stack_ix::bigint as stack_ix, min(x)::double as stack_left, count(*) as n from runs group by page, stack_ix having count(*) >= 3""",
     "cells_from_marks": f"with {STAR_MARKS} select page, 'r' || r as row_id, c::bigint as band_ix, text as value from marks",
-    "audit_column_pairs": """with e as (select distinct event_id % 2 as half, event_type, user_id from events where user_id < 50), n as (select half, event_type, count(*) as n from e group by 1, 2),
+    "audit_column_pairs": """with e as (select distinct event_id % 2 as half, event_type, user_id from events), n as (select half, event_type, count(*) as n from e group by 1, 2),
       b as (select x.event_type as a, y.event_type as b, count(*) as shared from e x join e y on x.user_id = y.user_id and x.half = 0 and y.half = 1 group by 1, 2)
       select a, b, floor((shared / (p.n + q.n - shared) + case when a = b then 0.5 else 0 end) * 1000000 + 0.5) / 1000000 as score from b join n p on p.half = 0 and p.event_type = a join n q on q.half = 1 and q.event_type = b""",
     "audit_multiset": """with a as (select user_id, event_type as token, count(*) as printed from events where event_id % 2 = 0 group by 1, 2), b as (select user_id, event_type as token, count(*) as ours from events where event_id % 2 = 1 group by 1, 2)
       select * from (select user_id, token, coalesce(printed, 0) as printed, coalesce(ours, 0) as ours, case when coalesce(printed, 0) > coalesce(ours, 0) then 'lost' when coalesce(printed, 0) = 0 then 'extra' end as kind from a full join b using (user_id, token)) where kind is not null""",
-    "event_signatures": """with g as (select user_id, event_type, count(*) as n from events where user_id < 50 group by 1, 2), s as (select user_id, string_agg(event_type || '=' || n, '|' order by event_type || '=' || n) as signature from g group by 1)
+    "event_signatures": """with g as (select user_id, event_type, count(*) as n from events group by 1, 2), s as (select user_id, string_agg(event_type || '=' || n, '|' order by event_type || '=' || n) as signature from g group by 1)
       select signature, count(*) as n, min(user_id) as first_user from s group by 1""",
 }
 STACKS = ORACLES["mark_stacks"].removeprefix(f"with {STAR_MARKS},")

@@ -55,5 +55,5 @@ def star_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.unionByName(labels).select("page", "r", "c", "text", "x", (100.0 + 14 * F.col("r")).alias("y"), "w", F.lit(10.0).alias("h"))
 
 
-def event_grid(spark: SparkSession, sf_dir: str, below: int = 50) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("user_id") < below).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
