@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts can be long, so a batch is kept far below the default of 10,000 rows.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
+
+#: Keys with more than a HEAVY-th of the rows (and LIGHT rows) are heavy: there are fewer than HEAVY of them.
+HEAVY, LIGHT = 10_000, 100_000
 
 #: Bytes of the word class [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z were lower-cased: the rest becomes a space.
 #: A byte of 0x80 or more is always a part of a word character, so working on UTF-8 bytes gives the same words.
@@ -29,8 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches, so that the memory of a Python worker doesn't hang on the length of texts."""
+    """Smaller Arrow batches, in rows and in bytes, so that the memory of a Python worker doesn't hang on the length
+    of texts: a batch ends with the text that makes it reach ``BATCH_BYTES``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +68,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", heavy: int = HEAVY, light: int = LIGHT) -> DataFrame:
+    """``rows`` (a written table) with ``table``, which has one row for each key: no key's rows meet in one task.
+
+    Heavy keys are counted first (with partial sums).  Fewer than ``heavy`` keys can hold more than that share of the
+    rows, so their rows of ``table`` are broadcast whatever the input's size; all others are shuffled by key.
+    """
+    least = max(rows.count() / heavy, light)
+    crowded = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*keys))
+    few = rows.join(crowded, keys, "left_anti").join(table, keys, how)
+    hot = rows.join(crowded, keys, "left_semi").join(F.broadcast(table.join(crowded, keys, "left_semi")), keys, how)
+    return few.unionByName(hot)
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the id and the whole text (null: empty), so that no other column can clash."""
     return docs.select(

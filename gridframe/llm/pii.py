@@ -2,15 +2,24 @@
 
 Entities are found by one pattern per kind.  Each distinct entity (kind and canonical form, so that spellings of one
 phone number or capitalisations of one address are the same entity) gets a keyed replacement of its kind; its
-characters keep their class, so script, case, grouping and length stay, a card number keeps a valid check digit and
-a titled name the gender of its title.  Every occurrence in the corpus gets the same replacement, in its own format.
+characters keep their class, so script, case, grouping and length stay; a card number keeps a valid check digit, an
+IBAN valid check digits.  Every occurrence in the corpus gets the same replacement, in its own format.
+
+Names are found by a title.  Each word of a name is an entity of its own, the first of several as a given name of the
+title's gender (in Latin letters its surrogate ends in "a" after a feminine title and in another letter after a
+masculine one), the others as surnames.  A text's titled mentions give it its name words, and these are replaced
+wherever they stand in that text as whole words, with a title or without: "Mrs. Maria Lopez", "Mrs. Lopez" and "Maria
+Lopez" stay one person.  A phone number with the country code 1 is the entity that its last ten digits are without it.
 
 Distinctness: replacements are proposed from a keyed SHA-512 of the entity.  A proposal that equals any entity of the
 corpus, or one already given, or that two entities share, is drawn again for all but the first of them, until none
-is left.  What the loop keeps is one row per distinct entity, in the shared folder.
+is left.  From the fifth draw on a proposal grows (a letter or digit every fourth draw; an address of four numbers
+becomes a longer one), so every entity ends with one, however many short entities of one shape there are.  What the
+loop keeps is one row per distinct entity, in the shared folder.
 
 Inputs: null texts stay null; texts without entities stay as they are; rows that repeat get the same text; null ids
-are allowed; an empty table gives no rows; other columns are ignored.
+are allowed; equal proposals go to the least entity in text order; very long texts are scanned whole, by patterns
+whose repeats are bounded; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +36,24 @@ _ALL = "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True))
 
 #: Kind and pattern, in the order in which they are tried at a place.  Groups don't capture.
 KINDS = [
-    ("email", r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}"),
+    ("email", r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,16}[A-Za-z]{2,24}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<!\d)(?:\d{4}[ \-]?){3}\d{4}(?!\d)|(?<!\d)3[47]\d{13}(?!\d)"),
     ("phone", r"(?<![\dA-Za-z])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<!\d)\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)"),
-    ("name", rf"(?<![\p{{L}}])(?:{_ALL})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}"),
 ]
 
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 
-#: A quick test for places where an entity can begin or must pass: most texts end here.
-HINT = r"[@\d]|\b(?:" + _ALL + r")\.? \p{Lu}"
+#: A title and up to three words of a name after it.
+NAME = rf"(?<![\p{{L}}])(?:{_ALL})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}"
+
+#: A quick test that ``PATTERN`` implies: every kind holds a digit or an @, but for secrets that are letters alone.
+HINT = r"[@0-9]|[a-f]{40}|AKIA[A-Z]{16}|gh[pousr]_[A-Za-z]{36}"
 
-#: Letters of a script and a case, to draw from; a letter outside all of them stays.
+#: Letters of a script and a case, to draw from.
 ALPHABETS = [
     ("0123456789", "digit"),
     ("aeiou", "vowel"),
@@ -66,46 +77,77 @@ MEMBERS = {
     "cyrillic consonant": "бвгджзйклмнпрстфхцчшщ",
 }
 
+#: Draws before a proposal begins to grow, and between one more sign and the next.
+GROWS_AFTER = 4
+
+
+def name_words(text: Column) -> Column:
+    """word and form of each name word of a text's titled mentions: ``g:f:`` or ``g:m:`` for a given name, ``s:``
+    for a surname, then the word.  Sorted, so that of a word's forms the first is taken.
+    """
+
+    def of(raw: Column) -> Column:
+        words = F.split(F.regexp_replace(raw, rf"^(?:{_ALL})\.? ", ""), "[ \\-]")
+        gender = F.when(raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), F.lit("f")).otherwise(F.lit("m"))
+        return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.concat(F.when((i == 0) & (F.size(words) > 1), F.concat(F.lit("g:"), gender, F.lit(":"))).otherwise(F.lit("s:")), w).alias("form")))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), of))))
+
+
+def pattern_of(names: Column) -> Column:
+    """What is looked for in a text: the kinds, and its name words as whole words (they are letters alone)."""
+    words = F.array_join(F.array_distinct(F.transform(names, lambda n: n["word"])), "|")
+    return F.when(F.size(names) == 0, F.lit(PATTERN)).otherwise(F.concat(F.lit(f"{PATTERN}|(?<![\\p{{L}}])(?:"), words, F.lit(")(?![\\p{L}])")))
+
 
 def kind_of(raw: Column) -> Column:
     out = F.lit("name")
-    for kind, pattern in reversed(KINDS[:-1]):
+    for kind, pattern in reversed(KINDS):
         out = F.when(raw.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
 
 
-def title_of(raw: Column) -> Column:
-    return F.regexp_extract(raw, rf"^(?:{_ALL})\.? ", 0)
+def digits_of(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"\D", "")
 
 
-def gender_of(raw: Column) -> Column:
-    return F.when(raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), F.lit("f")).otherwise(F.lit("m"))
+def has_code(raw: Column) -> Column:
+    """A number of ten digits after the country code 1."""
+    return raw.startswith("+1") & (F.length(digits_of(raw)) == 11)
 
 
-def canonical(kind: Column, raw: Column) -> Column:
-    """One form for all spellings: digits alone, small letters, no title but its gender."""
-    name = F.concat(gender_of(raw), F.lit(":"), F.substring(raw, F.length(title_of(raw)) + 1, F.length(raw)))
+def canonical(kind: Column, raw: Column, names: Column) -> Column:
+    """One form for all spellings: digits alone, small letters, a name word with its role."""
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, r"\D", ""))
+        F.when(kind == "name", F.get(F.filter(names, lambda n: n["word"] == raw), F.lit(0))["form"])
+        .when((kind == "phone") & has_code(raw), F.substring(digits_of(raw), 2, 10))
+        .when(kind.isin("phone", "card", "ssn"), digits_of(raw))
         .when(kind == "email", F.lower(raw))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .when(kind == "name", name)
         .otherwise(raw)
     )
 
 
+def core_of(kind: Column, form: Column) -> Column:
+    """The form as it stands in texts: what a surrogate must not be."""
+    return F.when(kind == "name", F.regexp_replace(form, "^(?:g:[fm]|s):", "")).otherwise(form)
+
+
 def _drawn(digest: Column, i: Column, n) -> Column:
-    """A number below n from the i-th (of 63) pair of hex digits and its successor."""
+    """A number below n from the i-th (of 62) pair of hex digits and its successor."""
     return F.conv(F.substr(digest, (i % 62) * 2 + 1, F.lit(4)), 16, 10).cast("int") % n
 
 
 def _like(digest: Column, text: Column, hex_only: bool = False) -> Column:
-    """The text with each character replaced by a drawn one of its class."""
+    """The text with each character replaced by a drawn one of its class; a letter of another script by one of the
+    letters that the text has, in its own case."""
+    own = F.array_distinct(F.filter(F.split(F.lower(text), ""), lambda x: x.rlike(r"\p{L}")))
 
     def one(c: Column, i: Column) -> Column:
         if hex_only:
             return F.when(c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), _drawn(digest, i, 16) + 1, F.lit(1))).otherwise(c)
-        out = c
+        letter = F.get(own, _drawn(digest, i, F.greatest(F.size(own), F.lit(1))))
+        out = F.when(c.rlike(r"\p{L}"), F.when(c != F.lower(c), F.upper(letter)).otherwise(letter)).otherwise(c)
         for letters, name in reversed(ALPHABETS):
             out = F.when((c != "") & (F.instr(F.lit(MEMBERS[name]), c) > 0), F.substr(F.lit(letters), _drawn(digest, i, len(letters)) + 1, F.lit(1))).otherwise(out)
         return out
@@ -125,98 +167,118 @@ def _luhn(number: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
+def iban_remainder(iban: Column) -> Column:
+    """The number that an IBAN stands for, modulo 97: 1 if its check digits are right."""
+    turned = F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4)), "")
+    step = lambda a, c: F.when(c == "", a).when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(turned, F.lit(0), step)
+
+
+def _checked(country: Column, account: Column) -> Column:
+    """The IBAN of an account, with its check digits."""
+    digits = F.lpad((98 - iban_remainder(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+    return F.concat(country, digits, account)
+
+
 def proposal(kind: Column, form: Column, key: str, attempt: int) -> Column:
     """A canonical replacement of the entity."""
     digest = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, form, F.lit(str(attempt))), 512)
+    more = attempt // GROWS_AFTER
+    core = core_of(kind, form)
+    rest = lambda c, begin: F.substring(c, F.lit(begin), F.length(c))
+    zeros = F.lit("0" * more)
     host = F.substring_index(form, "@", -1)
     host_digest = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("host"), host), 512)
     tld = F.substring_index(host, ".", -1)
-    email = F.concat(
-        _like(digest, F.substring_index(form, "@", 1)), F.lit("@"), _like(host_digest, F.substring(host, F.lit(1), F.length(host) - F.length(tld) - 1)), F.lit("."), tld
-    )
+    local = _like(digest, F.concat(F.substring_index(form, "@", 1), F.lit("a" * more)))
+    email = F.concat(local, F.lit("@"), _like(host_digest, F.substring(host, F.lit(1), F.length(host) - F.length(tld) - 1)), F.lit("."), tld)
     octets = F.array_join(F.transform(F.array(*[F.lit(i * 2) for i in range(4)]), lambda i: (_drawn(digest, i, 254) + 1).cast("string")), ".")
-    first = F.substring(form, F.lit(1), F.lit(1))
-    card = _luhn(F.concat(first, F.substring(_like(digest, form), F.lit(2), F.length(form))))
+    groups = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(digest, 1, 2)), *[F.substring(digest, 3 + 4 * i, 4) for i in range(7)])
+    card = _luhn(F.concat(F.substring(form, 1, 1), rest(_like(digest, F.concat(form, zeros)), 2)))
     # What stands before the last ten digits is the country code.
     code = F.greatest(F.length(form) - 10, F.lit(0))
-    phone = F.concat(F.substring(form, F.lit(1), code), (_drawn(digest, F.lit(40), 8) + 2).cast("string"), F.substring(_like(digest, form), code + 2, F.length(form)))
-    iban = F.concat(F.substring(form, 1, 2), F.substring(_like(digest, form), F.lit(3), F.length(form)))
-    # A name keeps its gender's mark, and the last letter where names of that gender end alike in many languages.
-    name = F.concat(
-        F.substring(form, 1, 2), _like(digest, F.substring(form, F.lit(3), F.length(form) - 3)), F.when(F.substring(form, -1, 1).isin("a", "o"), F.substring(form, -1, 1)).otherwise(_like(digest, F.substring(form, -1, 1)))
+    phone = F.concat(F.substring(form, F.lit(1), code), (_drawn(digest, F.lit(40), 8) + 2).cast("string"), F.substring(_like(digest, F.concat(form, zeros)), code + 2, F.length(form) + more))
+    iban = _checked(F.substring(form, 1, 2), rest(_like(digest, F.concat(form, zeros)), 5))
+    # A surname keeps its last letter where names end alike in many languages; a given name ends as its gender's do.
+    head = _like(digest, F.concat(F.substring(core, F.lit(1), F.length(core) - 1), F.substring(F.repeat(F.lower(core), F.lit(more)), 1, more)))
+    tail, drawn = F.substring(core, -1, 1), _like(digest, F.concat(core, F.lit(""))).substr(F.length(core), F.lit(1))
+    latin = F.instr(F.lit(MEMBERS["vowel"] + MEMBERS["consonant"]), tail) > 0
+    tail = (
+        F.when(latin & form.startswith("g:f:"), F.lit("a"))
+        .when(latin & form.startswith("g:m:"), F.substr(F.lit("bdklmnorst"), _drawn(digest, F.lit(45), 10) + 1, F.lit(1)))
+        .when(tail.isin("a", "o"), tail)
+        .otherwise(drawn)
     )
-    ssn = F.concat((_drawn(digest, F.lit(41), 8) + 1).cast("string"), F.substring(_like(digest, form), F.lit(2), F.lit(8)))
+    ssn = F.concat((_drawn(digest, F.lit(41), 8) + 1).cast("string"), rest(_like(digest, F.concat(form, zeros)), 2))
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", octets)
+        .when(kind == "ip", groups if more else octets)
         .when(kind == "card", card)
         .when(kind == "phone", phone)
         .when(kind == "iban", iban)
-        .when(kind == "name", name)
+        .when(kind == "name", F.concat(head, tail))
         .when(kind == "ssn", ssn)
-        .when(form.rlike("^[0-9a-f]+$"), _like(digest, form, hex_only=True))
-        .otherwise(F.concat(F.substring(form, 1, 4), _like(digest, F.substring(form, F.lit(5), F.length(form)))))
+        .when(form.rlike("^[0-9a-f]+$"), _like(digest, F.concat(form, zeros), hex_only=True))
+        .otherwise(F.concat(F.substring(form, 1, 4), rest(_like(digest, F.concat(form, zeros)), 5)))
     )
 
 
+def _laid(raw: Column, form: Column, place: str, other: str) -> Column:
+    """The form's signs at the places of the occurrence that match ``place``; what is left of it follows."""
+    seen = lambda i: F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), other, ""))
+    filled = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike(place), F.substr(form, seen(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(filled, F.substring(form, F.length(F.regexp_replace(raw, other, "")) + 1, F.length(form)))
+
+
 def poured(kind: Column, raw: Column, form: Column) -> Column:
     """The canonical replacement in the format of an occurrence."""
-    digits = F.array_join(
-        F.transform(
-            F.split(raw, ""),
-            lambda c, i: F.when(c.rlike("[0-9]"), F.substr(form, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c),
-        ),
-        "",
-    )
-    spaced = F.array_join(
-        F.transform(F.split(raw, ""), lambda c, i: F.when(c != " ", F.substr(form, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), " ", "")), F.lit(1))).otherwise(c)), ""
-    )
-    cased = F.array_join(
-        F.transform(F.split(raw, ""), lambda c, i: F.when(c != F.lower(c), F.upper(F.substr(form, i + 1, F.lit(1)))).otherwise(F.substr(form, i + 1, F.lit(1)))), ""
-    )
+    number = F.when((kind == "phone") & has_code(raw), F.concat(F.lit("1"), form)).otherwise(form)
+    cased = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(F.substr(raw, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), digits)
+        F.when(kind.isin("phone", "card", "ssn"), _laid(raw, number, "[0-9]", r"\D"))
         .when(kind == "email", cased)
-        .when(kind == "iban", spaced)
-        .when(kind == "name", F.concat(title_of(raw), F.substring(form, F.lit(3), F.length(form))))
+        .when(kind == "iban", _laid(raw, form, "[^ ]", " "))
         .otherwise(form)
     )
 
 
-def surrogates(entities: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, form, surrogate of each distinct entity; no surrogate is shared or is itself an entity."""
-    pending, given = entities, None
-    for attempt in range(most_rounds):
+    own = entities.select("kind", core_of(F.col("kind"), F.col("form")).alias("surrogate")).distinct()
+    pending, given, attempt = entities, None, 0
+    while True:
         drawn = pending.withColumn("surrogate", proposal(F.col("kind"), F.col("form"), key, attempt))
-        own = entities.select("kind", F.col("form").alias("surrogate"))
         free = drawn.join(own, ["kind", "surrogate"], "left_anti")
         if given is not None:
             free = free.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("form").alias("form")).select("kind", "form", "surrogate")
         given = common.written(won if given is None else given.unionByName(won), "surrogates")
-        pending = entities.join(given, ["kind", "form"], "left_anti")
+        pending, attempt = entities.join(given, ["kind", "form"], "left_anti"), attempt + 1
         if pending.isEmpty():
             return given
-    raise ValueError("the domain of a kind of entity is too small for distinct surrogates")
 
 
 def replace(docs: DataFrame, key: str = "gridframe") -> DataFrame:
     """doc_id, text with surrogates, number of entities, and their kinds (sorted, comma-joined) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = rows.withColumn("found", found)
+    named = rows.withColumn("names", name_words(F.col("text")))
+    hinted = F.col("text").rlike(HINT) | (F.size("names") > 0)
+    found = F.when(hinted, F.regexp_extract_all("text", pattern_of(F.col("names")), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    marked = named.withColumn("found", found)
     plain = marked.where("text is null or size(found) = 0").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
     holding = marked.where("text is not null and size(found) > 0").withColumn("text_key", F.xxhash64("text"))
     holding = common.written(holding, "texts-with-entities")
-    spots = holding.select("doc_id", "text_key", F.posexplode("found").alias("at", "raw"))
-    spots = spots.select("doc_id", "text_key", "at", "raw", kind_of(F.col("raw")).alias("kind"))
-    spots = common.written(spots.withColumn("form", canonical(F.col("kind"), F.col("raw"))), "entities")
-    given = surrogates(spots.select("kind", "form").distinct(), key)
+    spots = holding.select("doc_id", "text_key", "names", F.posexplode("found").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw")))
+    spots = spots.select("doc_id", "text_key", "at", "raw", "kind", canonical(F.col("kind"), F.col("raw"), F.col("names")).alias("form"))
+    spots = common.written(spots, "entities")
+    entities = common.written(spots.select("kind", "form").distinct(), "distinct-entities")
+    given = surrogates(entities, key)
     # Rows of equal id and text have the same entities: a place counts once.
-    placed = spots.join(given, ["kind", "form"]).select("doc_id", "text_key", F.struct("at", poured(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"), "kind").alias("e"))
+    met = common.join_by_key(spots, given, ["kind", "form"])
+    placed = met.select("doc_id", "text_key", F.struct("at", poured(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"), "kind").alias("e"))
     news = placed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("e")).alias("news"))
     joined = holding.join(news.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    pieces = F.split("text", PATTERN, -1)
+    pieces = F.split("text", pattern_of(F.col("names")), -1)
     whole = F.array_join(F.flatten(F.zip_with(pieces, F.col("news.new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     changed = joined.select(
         "doc_id", whole.alias("text"), F.size("news").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("news.kind")), ",").alias("kinds")
