@@ -6,10 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts can be long, so a batch is kept far below the default of 10,000 rows.
@@ -68,19 +69,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", heavy: int = HEAVY, light: int = LIGHT) -> DataFrame:
-    """``rows`` (a written table) with ``table``, which has one row for each key: no key's rows meet in one task.
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", heavy: int = HEAVY, light: int = LIGHT, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``table``, which has one row for each key: no key's rows meet in one task.  ``rows``, or
+    ``counted`` with the same keys, is a written table.
 
     Heavy keys are counted first (with partial sums).  Fewer than ``heavy`` keys can hold more than that share of the
     rows, so their rows of ``table`` are broadcast whatever the input's size; all others are shuffled by key.
     """
-    least = max(rows.count() / heavy, light)
-    crowded = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*keys))
+    counted = rows if counted is None else counted
+    least = max(counted.count() / heavy, light)
+    crowded = F.broadcast(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*keys))
     few = rows.join(crowded, keys, "left_anti").join(table, keys, how)
     hot = rows.join(crowded, keys, "left_semi").join(F.broadcast(table.join(crowded, keys, "left_semi")), keys, how)
     return few.unionByName(hot)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the id and the whole text (null: empty), so that no other column can clash."""
     return docs.select(

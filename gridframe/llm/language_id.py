@@ -7,21 +7,28 @@ last three aren't trusted as given: grouped aggregation over all rows of what th
 - how often each declaration goes with each language (with smoothing), and
 - a prior for each host, smoothed towards its suffix's, which is smoothed towards the whole corpus's.
 
-The posterior is the product.  A row is rejected when it has no letter, or when its best language's posterior is
-below ``least`` or isn't wanted.
+From each of these sums a row's own vote is taken out before they judge it.  The posterior is the product.  A row is
+rejected when it has no letter, or when its best language's posterior is below ``least`` or isn't wanted.
 
 The text model is trained on a bounded sample: at most ``SAMPLE`` rows of each declared language, those with the
-least hashes.  Every declared language is a candidate.  The model is a table of FEATURES x languages numbers.
-
-Inputs: null and empty texts have no letter and are rejected; a null declaration, suffix or host is a value of its
-own; rows that share an id are separate rows; an empty table gives no rows, and without any declared language in the
-sample every row is rejected; other columns are ignored.
+least hashes, counted where they are: only sums by language and trigram class reach the driver.  Every declared
+language is a candidate.  The model is a table of trigram classes x languages of at most ``MODEL`` numbers: 65,536
+classes up to 1,024 languages, coarser ones beyond.  In a documents table the declaration is the column that also
+names the training rows; it is weighed by how often the texts agree with it.
+
+Inputs: null and empty texts have no letter and are rejected, as are texts of digits, signs, emoji and the like; very
+long texts are read whole, and the weight of their words is damped; of languages with equal posteriors the first by
+name is taken; a null declaration, suffix or host is a value of its own; rows that share an id, or are equal, are
+separate rows; an empty table gives no rows, and without any declared language in the sample every row is rejected;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import html
+import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,76 +37,125 @@ from pyspark.sql import functions as F
 
 from gridframe.llm import common
 
-#: Rows of each declared language that train the model, at most; trigram classes.
+#: Rows of each declared language that train the model, at most; trigram classes; numbers of the whole table.
 SAMPLE = 500
 FEATURES = 1 << 16
+MODEL = 1 << 26
 
 #: A word's likelihoods aren't independent of the next word's: their sum is damped by this many words.
 DAMP = 40.0
 
-#: Letters and marks; what isn't one separates words.
+#: Bytes of letters and marks, and those that may be; what isn't one separates words.
 BREAKS = bytes(b if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def trigrams(word: bytes) -> list[int]:
-    w = f" {word.decode('utf-8', 'replace').lower()} "
-    return [zlib.crc32(w[i : i + 3].encode()) % FEATURES for i in range(max(1, len(w) - 2))]
-
-
-def train(rows: Iterable[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
-    """Languages, and the logarithm of each trigram class's share in each of them."""
-    counts: dict[str, np.ndarray] = {}
-    seen: dict[bytes, list[int]] = {}
-    for lang, text in rows:
-        if lang not in counts:
-            counts[lang] = np.zeros(FEATURES, np.int32)
-        if len(seen) >= 300_000:
-            seen.clear()
-        found: list[int] = []
-        for word in text.translate(BREAKS).split():
-            if word not in seen:
-                seen[word] = trigrams(word)
-            found += seen[word]
-        np.add.at(counts[lang], found, 1)
-    names = sorted(counts)
-    table = np.zeros((FEATURES, max(1, len(names))), np.float32)
-    for at, name in enumerate(names):
-        smoothed = counts.pop(name) + 0.1
-        table[:, at] = np.log(smoothed / smoothed.sum())
-    return names, table
+def letters(word: bytes) -> list[str]:
+    """The runs of letters and marks of a word, made small; a run of marks alone is none."""
+    text = word.decode("utf-8", "replace").lower()
+    if text.isascii():
+        return [text]
+    runs = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text).split()
+    return [r for r in runs if any(map(str.isalpha, r))]
+
+
+def trigrams(word: bytes, features: int) -> list[int]:
+    """The trigram classes of a word, none if it has no letter."""
+    padded = [f" {run} " for run in letters(word)]
+    return [zlib.crc32(w[i : i + 3].encode()) % features for w in padded for i in range(len(w) - 2)]
+
+
+def features_for(languages: int) -> int:
+    """A power of two, so that the whole table has at most MODEL numbers."""
+    return min(FEATURES, 1 << max(0, (MODEL // max(1, languages)).bit_length() - 1))
+
+
+def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
+    """declared and text of at most ``per_language`` rows for each declared language.
+
+    A language's rows are thinned by their hash to about twice what is wanted before any is ranked, so what meets
+    in one task is bounded by the sample, whatever the table's size.
+    """
+    named = docs.where("declared is not null and declared != '' and text != ''")
+    counts = named.groupBy("declared").agg(F.count(F.lit(1)).alias("of"))
+    # One row for each declared language.
+    hashed = named.withColumn("h", F.xxhash64("row_id", "text")).join(F.broadcast(counts), "declared")
+    thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * per_language) / F.col("of") * float(1 << 30))
+    place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
+    return thin.withColumn("place", place).where(F.col("place") <= per_language).select("declared", "text")
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Languages, and the logarithm of each trigram class's share in each of them, from rows with a declaration."""
+    common.tune(docs.sparkSession)
+    picked = common.written(sample(docs, per_language), "language-sample")
+    names = sorted(r["declared"] for r in picked.select("declared").distinct().collect())
+    features = features_for(len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), common.texts(batch), strict=True):
+                if len(seen) >= 300_000:
+                    seen.clear()
+                found: list[int] = []
+                for word in text.translate(BREAKS).split():
+                    if word not in seen:
+                        seen[word] = trigrams(word, features)
+                    found += seen[word]
+                sums[lang] = sums.get(lang, 0) + np.bincount(np.array(found, np.int64), minlength=features)
+            for lang, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["declared", "class", "n"])
+
+    counts = picked.mapInArrow(run, "declared string, class int, n long").groupBy("declared", "class").agg(F.sum("n").alias("n"))
+    table = np.zeros((features, max(1, len(names))), np.float32)
+    # One row for each language, with its classes' sums.
+    for row in counts.groupBy("declared").agg(F.collect_list("class").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
+        table[np.array(row["at"], np.int64), names.index(row["declared"])] = row["n"]
+    table += 0.1
+    return names, np.log(table / table.sum(axis=0, dtype=np.float64)).astype(np.float32)
 
 
 class Likelihoods(dict):
-    """A word to its row in a growing table of mean log likelihoods."""
+    """A word to its row in a growing table of mean log likelihoods, and whether it has a letter."""
 
     def __init__(self, table: np.ndarray, limit: int = 100_000, most_values: int = 6_400_000):
         super().__init__()
         self.table, self.limit = table, max(1, min(limit, most_values // table.shape[1]))
-        self.values = np.zeros((1024, table.shape[1]), np.float32)
+        self.values, self.lexical = np.zeros((1024, table.shape[1]), np.float32), np.zeros(1024, bool)
 
     def __missing__(self, word: bytes) -> int:
         at = len(self)
         if at == len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[at] = self.table[trigrams(word)].sum(axis=0)
+            self.lexical = np.concatenate([self.lexical, np.zeros_like(self.lexical)])
+        self.values[at], self.lexical[at] = self.likelihood(word)
         self[word] = at
         return at
 
+    def likelihood(self, word: bytes) -> tuple[np.ndarray, bool]:
+        found = trigrams(word, len(self.table))
+        return self.table[found].sum(axis=0), bool(found)
+
     def of(self, text: bytes) -> tuple[int, np.ndarray]:
+        """How many words with a letter the text has, and its damped log likelihoods."""
+        total, n = np.zeros(self.table.shape[1]), 0
         words = text.translate(BREAKS).split()
-        if not words:
-            return 0, np.zeros(self.table.shape[1], np.float32)
         if len(self) >= self.limit:
             self.clear()
-        total = np.zeros(self.table.shape[1])
         # Scripts without spaces make long words: they count like any other, but aren't held.
         long = [w for w in words if len(w) > 64]
         for w in long:
-            total += self.table[trigrams(w)].sum(axis=0)
+            value, lexical = self.likelihood(w)
+            total += value
+            n += lexical
         held = [w for w in words if len(w) <= 64] if long else words
-        at = np.fromiter(map(self.__getitem__, held), np.int64, len(held))
-        total += self.values[at].sum(axis=0, dtype=np.float64)
-        return len(words), (total * (DAMP / (DAMP + len(words)))).astype(np.float32)
+        if held:
+            at = np.fromiter(map(self.__getitem__, held), np.int64, len(held))
+            total += self.values[at].sum(axis=0, dtype=np.float64)
+            n += int(self.lexical[at].sum())
+        return n, (total * (DAMP / (DAMP + n))).astype(np.float32)
 
 
 class Model:
@@ -114,31 +170,20 @@ class Model:
         return self.met
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE) -> Iterator[tuple[str, bytes]]:
-    """At most ``per_language`` texts for each declared language, one after the other.
+def text_evidence(rows: DataFrame, table: np.ndarray, entities: bool) -> DataFrame:
+    """row columns without the text, with the number of words with a letter and the log likelihood of each language.
 
-    A language's rows are thinned by their hash to about twice what is wanted before any is ranked, so what meets
-    in one task is bounded by the sample, whatever the table's size.
+    With ``entities``, character entities of markup are decoded first.
     """
-    named = docs.where("declared is not null and declared != '' and text != ''")
-    # One row for each declared language.
-    counts = F.broadcast(named.groupBy("declared").agg(F.count(F.lit(1)).alias("of")))
-    hashed = named.withColumn("h", F.xxhash64("row_id", "text")).join(counts, "declared")
-    thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * per_language) / F.col("of") * float(1 << 30))
-    place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
-    picked = thin.withColumn("place", place).where(F.col("place") <= per_language).select("declared", F.col("text").cast("binary").alias("text"))
-    for row in common.written(picked, "language-sample").toLocalIterator():
-        yield row["declared"], bytes(row["text"])
-
-
-def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """row columns without the text, with n_letters_words and the log likelihood of each language."""
     shared = rows.sparkSession.sparkContext.broadcast(Model(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.likelihoods()
         for batch in batches:
-            found = [model.of(t) for t in common.texts(batch)]
+            texts = common.texts(batch)
+            if entities:
+                texts = [html.unescape(t.decode()).encode("utf-8", "replace") if b"&" in t else t for t in texts]
+            found = [model.of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "text_key", "declared", "suffix", "host")], pa.array([n for n, _ in found], pa.int64()), pa.array([x.tolist() for _, x in found], pa.list_(pa.float32()))],
                 names=["row_id", "text_key", "declared", "suffix", "host", "n_lexical", "likelihood"],
@@ -147,11 +192,20 @@ def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataF
     return rows.select("row_id", F.xxhash64("text").alias("text_key"), "declared", "suffix", "host", "text").mapInArrow(run, "row_id long, text_key long, declared string, suffix string, host string, n_lexical long, likelihood array<float>")
 
 
-def normalised(logs: Column, n: int) -> Column:
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def normalised(logs: Column) -> Column:
     """Probabilities from an array of logarithms."""
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp((x - top).cast("double")))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+    shares = lambda powers: common.let(total(powers), lambda s: F.transform(powers, lambda p: p / s))
+    raised = lambda logs: common.let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp((x - top).cast("double"))))
+    return common.let(common.let(logs, raised), shares)
+
+
+def smoothed(counts: Column, prior: Column, strength: float) -> Column:
+    """Shares of the counts, with ``strength`` more that are dealt as the prior says."""
+    return common.let(counts, lambda c: common.let(total(c) + strength, lambda n: F.zip_with(c, prior, lambda x, p: (x + strength * p) / n)))
 
 
 def _sums(of: DataFrame, n: int, *by: str) -> DataFrame:
@@ -159,33 +213,36 @@ def _sums(of: DataFrame, n: int, *by: str) -> DataFrame:
     return of.groupBy(*by).agg(F.array(*[F.sum(F.get("said", F.lit(i))) for i in range(n)]).alias("counts"))
 
 
-def identify(rows: DataFrame, names: list[str], table: np.ndarray, strength: float = 20.0, least: float = 0.7, wanted: list[str] | None = None) -> DataFrame:
+def identify(rows: DataFrame, names: list[str], table: np.ndarray, strength: float = 20.0, least: float = 0.7, wanted: list[str] | None = None, entities: bool = False) -> DataFrame:
     """row_id, text_key, lang, posterior, text_lang, n_lexical, kept of each row of (row_id, text, declared, suffix, host)."""
     n = len(names)
     if not n:
         return rows.select("row_id", F.xxhash64("text").alias("text_key"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(0).cast("long").alias("n_lexical"), F.lit(False).alias("kept"))
     filled = rows.select("row_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "declared", "suffix", "host")])
-    seen = common.written(text_evidence(filled, names, table), "language-evidence")
+    seen = text_evidence(filled, table, entities)
+    nothing = F.array(*[F.lit(0.0)] * n)
     # Only rows with letters say something about their group.
-    said = seen.where("n_lexical > 0").withColumn("said", normalised(F.col("likelihood"), n))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    smooth = lambda counts, prior, m: F.transform(F.zip_with(counts, prior, lambda c, p: c + m * p), lambda x: x / (total(counts) + m))
-    flat = F.array(*[F.lit(1.0 / n)] * n)
+    seen = common.written(seen.withColumn("said", F.when(F.col("n_lexical") > 0, normalised(F.col("likelihood"))).otherwise(nothing)), "language-evidence")
+    said = seen.where("n_lexical > 0")
     corpus = said.agg(F.array(*[F.coalesce(F.sum(F.get("said", F.lit(i))), F.lit(0.0)) for i in range(n)]).alias("counts")).first()["counts"]
     whole = F.array(*[F.lit((c + strength / n) / (sum(corpus) + strength)) for c in corpus])
-    suffixes = _sums(said, n, "suffix").select("suffix", smooth(F.col("counts"), whole, strength).alias("suffix_prior"))
-    hosts = _sums(said, n, "host", "suffix").join(suffixes, "suffix").select("host", "suffix", smooth(F.col("counts"), F.col("suffix_prior"), strength).alias("host_prior"))
-    # P(declared | language): soft counts of the declaration among each language's.
-    declared = _sums(said, n, "declared").select("declared", F.zip_with("counts", F.array(*[F.lit(c + strength) for c in corpus]), lambda c, t: (c + 0.5) / t).alias("declared_given"))
-    logs = lambda c, empty: F.transform(F.coalesce(c, empty), lambda p: F.log(p))
-    joined = seen.join(hosts, ["host", "suffix"], "left").join(declared, "declared", "left")
-    fused = F.zip_with(
-        F.zip_with("likelihood", logs(F.col("host_prior"), whole), lambda a, b: a + b), F.when(F.col("declared") == "", F.transform(flat, lambda p: F.log(p))).otherwise(logs(F.col("declared_given"), flat)), lambda a, b: a + b
-    )
+    suffixes = _sums(said, n, "suffix").withColumnRenamed("counts", "by_suffix")
+    hosts = _sums(said, n, "host", "suffix").withColumnRenamed("counts", "by_host").join(suffixes, "suffix")
+    declared = _sums(said, n, "declared").withColumnRenamed("counts", "by_declared")
+    # One host or declaration may have a third of the rows.
+    joined = common.join_by_key(seen, hosts, ["host", "suffix"], "left")
+    joined = common.join_by_key(joined, declared, ["declared"], "left", counted=seen)
+    others = lambda c: F.zip_with(F.coalesce(F.col(c), nothing), F.col("said"), lambda x, own: F.greatest(x - own, F.lit(0.0)))
+    prior = smoothed(others("by_host"), smoothed(others("by_suffix"), whole, strength), strength)
+    # P(declared | language): the share of each language's soft counts that has the declaration.
+    each = F.zip_with(F.array(*[F.lit(c) for c in corpus]), F.col("said"), lambda x, own: F.greatest(x - own, F.lit(0.0)) + strength)
+    given = F.when(F.col("declared") == "", F.transform(nothing, lambda x: x + 1.0)).otherwise(F.zip_with(others("by_declared"), each, lambda c, t: (c + 0.5) / t))
+    fused = F.zip_with(F.zip_with("likelihood", prior, lambda a, p: a + F.log(p)), given, lambda a, p: a + F.log(p))
     labels = F.array(*[F.lit(x) for x in names])
-    out = joined.withColumn("p", normalised(fused, n)).withColumn("posterior", F.array_max("p"))
+    best = lambda p: F.struct(F.array_max(p).alias("posterior"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("at"))
+    out = joined.select("row_id", "text_key", "n_lexical", "likelihood", common.let(normalised(fused), best).alias("best")).select("*", "best.posterior", "best.at")
     pick = lambda a: F.get(labels, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    lang = F.when(F.col("n_lexical") > 0, pick(F.col("p")))
+    lang = F.when(F.col("n_lexical") > 0, F.get(labels, F.col("at")))
     known = F.lit(True) if wanted is None else lang.isin(*wanted)
     return out.select(
         "row_id",
@@ -206,9 +263,10 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
-    """Evidence of web pages: the markup's language attribute, the address's host and suffix, the text without markup."""
+    """Evidence of web pages: the markup's language attribute, the address's host and suffix, the text without markup
+    (with its character entities, which are decoded where it is read)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[a-zA-Z#0-9]+;", " ")
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/:?#]*)", 1))
     return pages.select(
         F.col("page_id").cast("long").alias("row_id"),
@@ -226,9 +284,8 @@ def primary(tag: Column) -> Column:
 
 def documents(docs: DataFrame, least: float = 0.7, wanted: list[str] | None = None) -> DataFrame:
     """doc_id and verdict of each row."""
-    common.tune(docs.sparkSession)
     rows = of_documents(docs)
-    names, table = train(sample(rows))
+    names, table = train(rows)
     return identify(rows, names, table, least=least, wanted=wanted).withColumnRenamed("row_id", "doc_id")
 
 
@@ -241,6 +298,5 @@ def kept_documents(docs: DataFrame, least: float = 0.7, wanted: list[str] | None
 
 def pages(web: DataFrame, docs: DataFrame, least: float = 0.7) -> DataFrame:
     """The pages' languages, with a text model from documents."""
-    common.tune(web.sparkSession)
-    names, table = train(sample(of_documents(docs)))
-    return identify(of_pages(web), names, table, least=least).withColumnRenamed("row_id", "page_id")
+    names, table = train(of_documents(docs))
+    return identify(of_pages(web), names, table, least=least, entities=True).withColumnRenamed("row_id", "page_id")

@@ -102,11 +102,6 @@ def phases_of(sizes: DataFrame, weights: dict[str, int], rest_weight: int, block
     return phases.withColumn("base", F.coalesce(F.sum((F.col("until") - F.col("since")) * F.col("slots")).over(base), F.lit(0))).select("since", "until", "base", "slots", "live")
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _next_source(done: Column, t: Column) -> Column:
     """Of the sources whose next block is released, the one with the earliest deadline."""
     windows = F.transform(
@@ -131,7 +126,7 @@ def folded(phases: DataFrame, begin: int, end: int) -> DataFrame:
     stop = F.least(F.col("slots"), F.lit(end))
 
     def slot(state: Column, t: Column) -> Column:
-        return _let(
+        return common.let(
             _next_source(state["done"], t),
             lambda c: F.struct(
                 F.transform(state["done"], lambda d, i: F.when(i == c, d + 1).otherwise(d)).alias("done"),
@@ -142,7 +137,7 @@ def folded(phases: DataFrame, begin: int, end: int) -> DataFrame:
     def run(state: Column, first: Column) -> Column:
         slots = F.sequence(first, F.least(first + RUN_SLOTS, stop) - 1)
         start = F.struct(state["done"].alias("done"), F.array().cast(ORDER).alias("order"))
-        return _let(F.aggregate(slots, start, slot), lambda r: F.struct(r["done"].alias("done"), F.concat(state["runs"], F.array(r["order"])).alias("runs")))
+        return common.let(F.aggregate(slots, start, slot), lambda r: F.struct(r["done"].alias("done"), F.concat(state["runs"], F.array(r["order"])).alias("runs")))
 
     firsts = F.when(stop > begin, F.sequence(F.lit(begin).cast("long"), stop - 1, F.lit(RUN_SLOTS).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     start = F.struct(F.col("done").alias("done"), F.array().cast(f"array<{ORDER}>").alias("runs"))

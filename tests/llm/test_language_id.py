@@ -46,6 +46,28 @@ def test_pages_give_markup_host_and_suffix(spark):
     pages = spark.createDataFrame([(1, "https://Blog.Haus.de:8080/x?a", '<html lang="de-AT"><head><style>p{}</style></head><body><p>der und <b>nicht</b> sch&ouml;n</p></body></html>'), (2, None, None)], "page_id long, url string, html string")
     got = {r["row_id"]: r for r in li.of_pages(pages).collect()}
     assert (got[1]["declared"], got[1]["suffix"], got[1]["host"]) == ("de", "de", "blog.haus.de") and "p{}" not in got[1]["text"] and "nicht" in got[1]["text"]
+    assert "&ouml;" in got[1]["text"]
     docs = spark.createDataFrame([(i, t, d, h) for i, t, d, h, _ in rows()], "doc_id long, text string, lang string, source string")
     out = {r["page_id"]: r for r in li.pages(pages, docs).collect()}
     assert out[1]["lang"] == "de" and not out[2]["kept"]
+
+
+def test_only_letters_are_evidence(spark):
+    signs = ["😀 🎉 👍", "。、「」！？", "１２３ ４５", "\u0301 \u0308", "— … « »", "12 34 ###"]
+    docs = [(i, t, d, h) for i, t, d, h, _ in rows()] + [(800 + i, t, "en", "h-en") for i, t in enumerate(signs)] + [(900, "house😀water — over", "en", "h-en"), (901, "café", "fr", "h-fr")]
+    got = {r["doc_id"]: r for r in li.documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[800 + i]["n_lexical"] == 0 and not got[800 + i]["kept"] and got[800 + i]["lang"] is None for i in range(len(signs)))
+    assert got[900]["n_lexical"] == 2 and got[901]["n_lexical"] == 1
+    assert li.letters("house😀water".encode()) == ["house", "water"] and li.letters("e\u0301t\u0301".encode()) == ["e\u0301t\u0301"]
+
+
+def test_a_row_has_no_vote_in_its_own_prior(spark):
+    """A host with one row: only the corpus is left as its prior, and a declaration that only it makes says nothing."""
+    docs = [(i, t, d, h) for i, t, d, h, _ in rows()] + [(900, "haus wasser und", None, "lonely"), (901, "haus wasser und", None, "")]
+    got = {r["doc_id"]: r for r in li.documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert abs(got[900]["posterior"] - got[901]["posterior"]) < 1e-9
+
+
+def test_the_model_has_a_bound():
+    assert li.features_for(4) == li.features_for(1024) == 65536 and li.features_for(1025) == 32768
+    assert all(li.features_for(n) * n <= li.MODEL for n in (1, 7, 3000, 50_000, 10_000_000))
