@@ -271,7 +271,9 @@ def replace(docs: DataFrame, key: str = "gridframe") -> DataFrame:
     spots = holding.select("doc_id", "text_key", "names", F.posexplode("found").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw")))
     spots = spots.select("doc_id", "text_key", "at", "raw", "kind", canonical(F.col("kind"), F.col("raw"), F.col("names")).alias("form"))
     spots = common.written(spots, "entities")
-    entities = common.written(spots.select("kind", "form").distinct(), "distinct-entities")
+    # Small rows that cost much to draw for: dealt over tasks by number, which isn't coalesced by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entities = common.written(spots.select("kind", "form").distinct().repartition(tasks, "kind", "form"), "distinct-entities")
     given = surrogates(entities, key)
     # Rows of equal id and text have the same entities: a place counts once.
     met = common.join_by_key(spots, given, ["kind", "form"])
