@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from gridframe.llm import quality_knn as q
 
 
@@ -28,3 +30,34 @@ def test_held_out_accuracy_and_edges(spark):
     assert key(q.classify(frame, flipped).collect()) == key(got)  # held-out labels are never learnt from
     assert {r["score"] for r in q.classify(frame, marks.limit(0)).collect()} == {0.5}
     assert q.classify(frame.limit(0), marks).collect() == []
+
+
+def test_words_matter_beside_shapes(spark):
+    """Texts of one shape that differ in their words alone; and ties, which never hang on how rows were dealt."""
+    rnd = random.Random(8)
+    good, bad = (["".join(rnd.choice(x) for _ in range(5)) for _ in range(60)] for x in ("abcdefgh", "ijklmnop"))
+    docs = [(i, " ".join(rnd.choice(good if i % 2 else bad) for _ in range(30))) for i in range(300)]
+    docs += [(1000 + i, docs[i % 4][1]) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(1000 + i, i % 3 % 2) for i in range(80)], "doc_id long, quality int")
+    runs = []
+    for parts in (1, 5):
+        got = q.classify(spark.createDataFrame(docs[:: 1 if parts == 1 else -1], "doc_id long, text string").repartition(parts), labels).collect()
+        runs.append({r["doc_id"]: r["score"] for r in got})
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((runs[0][i] >= 0.5) == (i % 2) for i in held if i > 3) / len(held) > 0.95
+    assert all(abs(runs[0][i] - runs[1][i]) < 1e-3 for i in runs[0])
+
+
+def test_exact_cosines_decide(spark):
+    """Scores from the broadcast space equal those of plain sums over all sampled vectors."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("stone river house cloud Winter ### 12 $$$".split()) for _ in range(rnd.randrange(1, 30))).encode() for _ in range(120)]
+    labels, terms = [rnd.randrange(2) for _ in texts], q.Terms()
+    space = q.Space([terms.counts(t) for t in texts], labels)
+    got = space.scores(terms, texts, 7)
+    x = space.latent(terms, texts)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(len(texts)):
+        near = sorted(range(len(texts)), key=lambda j: (-float(np.float32(x[i] @ space.vectors[j])), j))[:7]
+        weight = [max(float(x[i] @ space.vectors[j]), 0) ** q.POWER for j in near]
+        assert abs(got[i] - sum(w * labels[j] for w, j in zip(weight, near, strict=True)) / sum(weight)) < 0.2
