@@ -60,3 +60,20 @@ def test_clean_cuts_spans_and_leaves_the_rest(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["text"] for r in d.clean(frame, bench, 4).collect()}
     assert got == {1: "Keep this.  and keep that too, all of it.", 3: "Untouched  text ", 4: None}
+
+
+def test_one_automaton_or_many_find_the_same():
+    rnd = random.Random(2)
+    items = [[rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randrange(9))] for _ in range(40)]
+    texts = [[rnd.choice([b"a", b"b", b"c", b"x"]) for _ in range(rnd.randrange(60))] for _ in range(60)]
+    found = []
+    for part_words in (1, 20, 10_000):
+        block = d.Block(4)
+        for i, item in enumerate(items):
+            block.add(str(i), item)
+        block.finished(part_words)
+        found.append([(sorted(set(spans)), names) for spans, names in map(block.matches, texts)])
+    assert found[0] == found[1] == found[2] and any(names for _, names in found[0])
+    for words, (spans, names) in zip(texts, found[0], strict=True):
+        want = {(i, i + len(w), str(k)) for k, item in enumerate(items) for w in [item[j : j + 4] for j in range(max(1, len(item) - 3))] if w for i in range(len(words) - len(w) + 1) if words[i : i + len(w)] == w}
+        assert {(a, b) for a, b, _ in want} == set(spans) and {k for *_, k in want} == names
