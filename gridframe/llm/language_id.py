@@ -45,23 +45,43 @@ MODEL = 1 << 26
 #: A word's likelihoods aren't independent of the next word's: their sum is damped by this many words.
 DAMP = 40.0
 
+#: Words whose trigrams are made at once.
+RUN = 20_000
+
 #: Bytes of letters and marks, and those that may be; what isn't one separates words.
 BREAKS = bytes(b if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def letters(word: bytes) -> list[str]:
-    """The runs of letters and marks of a word, made small; a run of marks alone is none."""
-    text = word.decode("utf-8", "replace").lower()
-    if text.isascii():
-        return [text]
-    runs = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text).split()
-    return [r for r in runs if any(map(str.isalpha, r))]
+class Signs:
+    """What each code point is: 1 a letter, 2 a mark, 3 neither; looked up once for each that is met."""
+
+    def __init__(self):
+        self.kinds = np.zeros(0x110000, np.uint8)
 
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[codes]
+        if not kinds.all():
+            for code in np.unique(codes[kinds == 0]).tolist():
+                self.kinds[code] = 1 if chr(code).isalpha() else 2 if unicodedata.category(chr(code))[0] == "M" else 3
+            kinds = self.kinds[codes]
+        return kinds
 
-def trigrams(word: bytes, features: int) -> list[int]:
-    """The trigram classes of a word, none if it has no letter."""
-    padded = [f" {run} " for run in letters(word)]
-    return [zlib.crc32(w[i : i + 3].encode()) % features for w in padded for i in range(len(w) - 2)]
+
+def trigrams(words: list[bytes], features: int, signs: Signs) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram classes of words, one word's after the other, and how many each has: none without a letter.
+
+    Letters are made small; what is neither letter nor mark separates runs within a word, and each run has a space
+    before and after it.
+    """
+    codes = np.frombuffer(b"\n".join(words).decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+    codes = np.concatenate([[10], codes, [10]]).astype(np.uint64)
+    kinds = signs.of(codes)
+    word = np.cumsum(codes == 10) - 1
+    lettered = np.bincount(word[kinds == 1], minlength=len(words) + 1) > 0
+    codes[kinds == 3] = 32
+    middle = np.flatnonzero((kinds[1:-1] < 3) & lettered[word[1:-1]]) + 1
+    mixed = common.mixed((codes[middle - 1] << np.uint64(42)) | (codes[middle] << np.uint64(21)) | codes[middle + 1])
+    return (mixed % np.uint64(features)).astype(np.int64), np.bincount(word[middle], minlength=len(words))[: len(words)]
 
 
 def features_for(languages: int) -> int:
@@ -92,18 +112,14 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.nd
     features = features_for(len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        signs = Signs()
         for batch in batches:
             sums: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column(0).to_pylist(), common.texts(batch), strict=True):
-                if len(seen) >= 300_000:
-                    seen.clear()
-                found: list[int] = []
-                for word in text.translate(BREAKS).split():
-                    if word not in seen:
-                        seen[word] = trigrams(word, features)
-                    found += seen[word]
-                sums[lang] = sums.get(lang, 0) + np.bincount(np.array(found, np.int64), minlength=features)
+                words = text.translate(BREAKS).split()
+                for begin in range(0, len(words), RUN):
+                    found, _ = trigrams(words[begin : begin + RUN], features, signs)
+                    sums[lang] = sums.get(lang, 0) + np.bincount(found, minlength=features)
             for lang, n in sums.items():
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["declared", "class", "n"])
@@ -118,41 +134,55 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.nd
 
 
 class Likelihoods(dict):
-    """A word to its row in a growing table of mean log likelihoods, and whether it has a letter."""
+    """A word to its row in a growing table of log likelihoods, and whether it has a letter.  Held words are dropped
+    when there are ``limit`` of them.
+    """
 
     def __init__(self, table: np.ndarray, limit: int = 100_000, most_values: int = 6_400_000):
         super().__init__()
-        self.table, self.limit = table, max(1, min(limit, most_values // table.shape[1]))
+        self.table, self.limit, self.signs = table, max(1, min(limit, most_values // table.shape[1])), Signs()
         self.values, self.lexical = np.zeros((1024, table.shape[1]), np.float32), np.zeros(1024, bool)
 
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.lexical = np.concatenate([self.lexical, np.zeros_like(self.lexical)])
-        self.values[at], self.lexical[at] = self.likelihood(word)
-        self[word] = at
-        return at
-
-    def likelihood(self, word: bytes) -> tuple[np.ndarray, bool]:
-        found = trigrams(word, len(self.table))
-        return self.table[found].sum(axis=0), bool(found)
+    def likelihood(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' log likelihoods, and which of them have a letter."""
+        found, n = trigrams(words, len(self.table), self.signs)
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        begins = np.cumsum(n) - n
+        if len(found):
+            out[n > 0] = np.add.reduceat(self.table[found], begins[n > 0], axis=0)
+        return out, n > 0
+
+    def learn(self, words: list[bytes]) -> None:
+        for begin in range(0, len(words), RUN):
+            part = words[begin : begin + RUN]
+            at = len(self)
+            while at + len(part) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+                self.lexical = np.concatenate([self.lexical, np.zeros_like(self.lexical)])
+            self.values[at : at + len(part)], self.lexical[at : at + len(part)] = self.likelihood(part)
+            self.update(zip(part, range(at, at + len(part)), strict=True))
 
     def of(self, text: bytes) -> tuple[int, np.ndarray]:
         """How many words with a letter the text has, and its damped log likelihoods."""
         total, n = np.zeros(self.table.shape[1]), 0
         words = text.translate(BREAKS).split()
-        if len(self) >= self.limit:
-            self.clear()
         # Scripts without spaces make long words: they count like any other, but aren't held.
         long = [w for w in words if len(w) > 64]
-        for w in long:
-            value, lexical = self.likelihood(w)
-            total += value
-            n += lexical
-        held = [w for w in words if len(w) <= 64] if long else words
-        if held:
-            at = np.fromiter(map(self.__getitem__, held), np.int64, len(held))
+        if long:
+            words = [w for w in words if len(w) <= 64]
+            for w in long:
+                value, lexical = self.likelihood([w])
+                total += value[0]
+                n += int(lexical[0])
+        for begin in range(0, len(words), self.limit):
+            part = words[begin : begin + self.limit]
+            new = [w for w in dict.fromkeys(part) if w not in self]
+            if len(self) + len(new) > self.limit:
+                self.clear()
+                new = list(dict.fromkeys(part))
+            if new:
+                self.learn(new)
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             total += self.values[at].sum(axis=0, dtype=np.float64)
             n += int(self.lexical[at].sum())
         return n, (total * (DAMP / (DAMP + n))).astype(np.float32)

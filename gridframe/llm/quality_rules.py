@@ -2,14 +2,19 @@
 
 Base features are counted in one pass over whole texts.  Each rule rejects a document whose metric lies above a
 cutoff.  The cutoffs are chosen per stratum on labelled documents: going from the loosest to the strictest cutoff
-of a fixed grid, a cutoff is accepted while an exact binomial test rejects "more than ``alpha`` of the good
-documents fall to this rule"; testing stops at the first that isn't (fixed-sequence testing, so a rule spends its
-error once), and the level is divided among all rules and strata (Bonferroni).  With probability 1 - ``delta``, all
-rules in all strata keep their limit on false rejection.
-
-Inputs: a null text has no words (and fails the base rules); a null stratum is a stratum of its own; a stratum
-without enough labels rejects nothing; labels count once per id, the highest where rows repeat; null ids have no
-label; an empty table gives no rows; other columns are ignored.
+of a fixed grid, a cutoff is accepted while an exact binomial test rejects "more than its share of ``alpha`` of the
+good documents fall to this rule"; testing stops at the first that isn't (fixed-sequence testing, so a rule spends its
+error once), and the level is divided among all rules and strata (Bonferroni), ``alpha`` among the rules.  With
+probability 1 - ``delta``, in all strata the rules together reject at most ``alpha`` of the good documents that pass
+the base rules; good documents that fail those are outside the bound.
+
+Counts are summed by stratum, cutoffs are chosen for each stratum where its counts are and joined back to the
+documents: strata don't reach the driver, only their number does.
+
+Inputs: a null text has no words (and fails the base rules); very long texts are counted whole; a null stratum is the
+stratum ""; a stratum without enough labels rejects nothing; a metric equal to its cutoff isn't above it; labels count
+once per id, the highest where rows repeat; null ids have no label; rows that share an id, or are equal, are separate
+rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,51 +118,47 @@ def lower_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose(good: dict[str, int], above: dict[tuple[str, str, int], int], alpha: float, delta: float) -> dict[tuple[str, str], int]:
-    """Cutoffs per (stratum, rule), from how many good documents a stratum has and how many lie above each cutoff."""
-    level = delta / max(1, len(good) * len(RULES))
-    limit = alpha / len(RULES)
-    out = {}
-    for stratum, n in good.items():
-        for rule in RULES:
-            for cutoff in GRID:
-                k = above.get((stratum, rule, cutoff), 0)
-                if k > n * limit or lower_tail(k, n, limit) > level:
-                    break
-                out[stratum, rule] = cutoff
+def chosen(n: int, above: list[int], limit: float, level: float) -> int | None:
+    """A rule's cutoff, from how many of a stratum's ``n`` good documents lie above each cutoff of the grid."""
+    out = None
+    for cutoff, k in zip(GRID, above, strict=True):
+        if k > n * limit or lower_tail(k, n, limit) > level:
+            break
+        out = cutoff
     return out
 
 
-def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict[tuple[str, str], int]:
-    """Certified cutoffs.  What comes to the driver is one row per stratum: strata are languages or the like."""
+def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """stratum, n (good documents) and the certified cutoff of each rule (null: none), one row per stratum."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
     held = feats.join(good.select("doc_id"), "doc_id", "left_semi").where(~base_failed())
-    counts = [
-        F.sum((F.expr(metric) > cutoff).cast("long")).alias(f"{rule}:{cutoff}") for rule, metric in RULES.items() for cutoff in GRID
-    ]
-    rows = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).collect()
-    good_n = {r["stratum"]: r["n"] for r in rows}
-    above = {(r["stratum"], rule, cutoff): r[f"{rule}:{cutoff}"] for r in rows for rule in RULES for cutoff in GRID}
-    return choose(good_n, above, alpha, delta)
-
-
-def verdicts(feats: DataFrame, cutoffs: dict[tuple[str, str], int]) -> DataFrame:
-    """Features with ``base_failed``, ``rejected_by`` (rules, sorted, comma-joined) and ``kept``."""
-    fired = []
-    for rule in sorted(RULES):
-        cut = F.lit(None).cast("int")
-        for (stratum, name), value in sorted(cutoffs.items()):
-            if name == rule:
-                cut = F.when(F.col("stratum") == stratum, F.lit(value)).otherwise(cut)
-        fired.append(F.when(F.expr(RULES[rule]) > cut, F.lit(rule)))
+    counts = [F.array(*[F.count_if(F.expr(metric) > cutoff) for cutoff in GRID]).alias(rule) for rule, metric in RULES.items()]
+    strata = common.written(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts), "strata")
+    limit, level = alpha / len(RULES), delta / max(1, strata.count() * len(RULES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            cutoffs = [pa.array([chosen(r["n"], r[rule], limit, level) for r in rows], pa.int32()) for rule in RULES]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cutoffs], names=["stratum", "n", *RULES])
+
+    return strata.mapInArrow(run, "stratum string, n long, " + ", ".join(f"{rule} int" for rule in RULES))
+
+
+def verdicts(feats: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Features (a written table) with ``base_failed``, ``rejected_by`` (rules, sorted, comma-joined) and ``kept``."""
+    cutoffs = cutoffs.select("stratum", F.struct(*RULES).alias("cut"))
+    fired = [F.when(F.expr(RULES[rule]) > F.col("cut")[rule], F.lit(rule)) for rule in sorted(RULES)]
     return (
-        feats.withColumn("base_failed", base_failed())
+        common.join_by_key(feats, cutoffs, ["stratum"], "left")
+        .withColumn("base_failed", base_failed())
         .withColumn("rejected_by", F.concat_ws(",", *fired))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
+        .drop("cut")
     )
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row per document: features, base verdict, rules that fired and the final verdict."""
     feats = common.written(features(docs, stratum), "quality-features")
-    return verdicts(feats, thresholds(feats, labels, alpha, delta))
+    return verdicts(feats, common.written(thresholds(feats, labels, alpha, delta), "cutoffs"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridframe.llm import language_id as li
@@ -58,7 +59,6 @@ def test_only_letters_are_evidence(spark):
     got = {r["doc_id"]: r for r in li.documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[800 + i]["n_lexical"] == 0 and not got[800 + i]["kept"] and got[800 + i]["lang"] is None for i in range(len(signs)))
     assert got[900]["n_lexical"] == 2 and got[901]["n_lexical"] == 1
-    assert li.letters("house😀water".encode()) == ["house", "water"] and li.letters("e\u0301t\u0301".encode()) == ["e\u0301t\u0301"]
 
 
 def test_a_row_has_no_vote_in_its_own_prior(spark):
@@ -71,3 +71,20 @@ def test_a_row_has_no_vote_in_its_own_prior(spark):
 def test_the_model_has_a_bound():
     assert li.features_for(4) == li.features_for(1024) == 65536 and li.features_for(1025) == 32768
     assert all(li.features_for(n) * n <= li.MODEL for n in (1, 7, 3000, 50_000, 10_000_000))
+
+
+def test_trigrams_are_those_of_each_word_alone():
+    """Runs of letters within a word, a space around each; many words at once or one by one; words that are dropped."""
+    words = ["house😀water", "Été", "e\u0301t", "\u0301", "😀", "x", "ΑΒΓ", "日本語"]
+    data, signs = [w.encode() for w in words], li.Signs()
+    each = [li.trigrams([w], 997, signs)[0].tolist() for w in data]
+    found, n = li.trigrams(data, 997, signs)
+    assert n.tolist() == [len(x) for x in each] == [10, 3, 3, 0, 0, 1, 3, 3] and found.tolist() == sum(each, [])
+    assert li.trigrams([b"house", b"water"], 997, signs)[0].tolist() == each[0] and li.trigrams(["été".encode()], 997, signs)[0].tolist() == each[1]
+    rnd = random.Random(1)
+    table = np.random.default_rng(0).random((997, 3)).astype(np.float32)
+    text = " ".join(rnd.choice(words + ["long" * 30, "a", "b1c"]) for _ in range(400)).encode()
+    wide, narrow = li.Likelihoods(table), li.Likelihoods(table, limit=3)
+    for _ in range(2):
+        (n, x), (m, y) = wide.of(text), narrow.of(text)
+        assert n == m and np.allclose(x, y, rtol=1e-4)
