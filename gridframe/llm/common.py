@@ -56,9 +56,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths that were given out and not removed yet.
+_paths: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def scratch_mark() -> int:
+    """How many paths there are: what was given out since then can be removed when nothing reads it any more."""
+    return len(_paths)
+
+
+def remove_scratch(spark: SparkSession, begin: int, end: int) -> None:
+    """Removes the scratch tables from mark ``begin`` to ``end``, wherever the shared folder is."""
+    for path in _paths[begin:end]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del _paths[begin:end]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -89,6 +107,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def hashable(docs: DataFrame, columns: list[str]) -> list[str]:
+    """Of the columns, those that Spark hashes."""
+    kinds = dict(docs.dtypes)
+    return [c for c in columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the id and the whole text (null: empty), so that no other column can clash."""
     return docs.select(

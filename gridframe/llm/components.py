@@ -1,4 +1,4 @@
-"""Connected components of a graph of longs, by alternating large-star and small-star rounds of joins-free grouping."""
+"""Connected components of a graph of longs, by alternating large-star and small-star rounds of grouping and joins."""
 
 from __future__ import annotations
 

@@ -46,12 +46,6 @@ MOST_BROADCAST = 1_000_000
 REST = "(rest)"
 
 
-def hashable(docs: DataFrame, columns: list[str]) -> list[str]:
-    """Of the columns, those that Spark hashes."""
-    kinds = dict(docs.dtypes)
-    return [c for c in columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
-
-
 def _with_source(docs: DataFrame, weights: dict[str, int], seed: int, carry: list[str]) -> DataFrame:
     """``row`` (the columns to carry), the mix source and the shuffle key of each row, and what orders equal keys."""
     known = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -60,7 +54,7 @@ def _with_source(docs: DataFrame, weights: dict[str, int], seed: int, carry: lis
         F.struct(*[F.col(c) for c in carry]).alias("row"),
         F.when(known.isin(*weights), known).otherwise(F.lit(REST)).alias("mix_source") if weights else F.lit(REST).alias("mix_source"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("shuffle"),
-        F.struct(F.col("doc_id").cast("string").alias("id"), F.xxhash64(F.lit(~seed), *[F.col(c) for c in hashable(docs, carry)]).alias("rest")).alias("tie"),
+        F.struct(F.col("doc_id").cast("string").alias("id"), F.xxhash64(F.lit(~seed), *[F.col(c) for c in common.hashable(docs, carry)]).alias("rest")).alias("tie"),
     )
 
 

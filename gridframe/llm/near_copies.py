@@ -11,8 +11,12 @@ that many share is rarely a key; the sample moves costs, never results.  What me
 Only components matter, so at each key all sets are first compared with one of them, and then those with each other
 that aren't connected yet.
 
-Inputs: null and empty texts have the empty set and are copies of each other; rows that share an id are one document;
-rows without an id are left out of the groups; an empty table gives no rows.
+Inputs: null and empty texts have the empty set and are copies of each other; very long texts are hashed whole; an
+empty table gives no rows; other columns are ignored by ``groups`` and kept by ``keep_one``.  In ``groups`` rows that
+share an id are one document, and rows without an id have no line but connect what they are similar to.  For
+``keep_one`` each row is a document, with an id or without, and rows that are equal in id and text are copies: of each
+group the one with the least id stays (rows without an id after all others), of equal ids the least hash of the text,
+of equal rows the least hash of all columns.
 """
 
 from __future__ import annotations
@@ -98,7 +102,12 @@ def sets(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
             )
 
     rows = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, h long, n long, sketch array<long>, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, h long, n long, sketch array<long>, prefix array<long>").withColumn("place", place())
+
+
+def place() -> Column:
+    """What finds a row's text again beside its hash: its id, or the hash where it has none."""
+    return F.coalesce("doc_id", "text_hash")
 
 
 def may_reach(a: str, b: str, share: tuple[int, int]) -> Column:
@@ -128,15 +137,14 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, in
 
 def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """Links between set hashes that leave no two similar sets unconnected."""
-    named = rows.where("doc_id is not null")
-    entries = named.select("h", F.explode("prefix").alias("key")).distinct()
+    entries = rows.select("h", F.explode("prefix").alias("key")).distinct()
     shared_keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     entries = common.written(entries.join(shared_keys, "key"), "near-entries")
     # One row stands for each set.
-    heads = named.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("r")).select("h", "r.*")
+    heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "n", "sketch")).alias("r")).select("h", "r.*")
     heads = common.written(heads.join(entries.select("h").distinct(), "h", "left_semi"), "near-heads")
-    plain = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    texts = common.written(plain.join(heads.select("h", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("h", "text").dropDuplicates(["h"]), "near-texts")
+    plain = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("place", place())
+    texts = common.written(plain.join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).select("h", "text").dropDuplicates(["h"]), "near-texts")
     full = common.written(entries.join(heads.select("h", "n", "sketch"), "h"), "near-keys")
 
     # Each key has its own one of a crowd, so that what a crowd's many keys find connects it.
@@ -153,25 +161,46 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
     return found.unionByName(common.written(more, "near-links"))
 
 
+def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, text_hash and group (the least set hash that ``edges`` reach) of each row of ``rows``, a written table."""
+    parts = common.written(components(edges), "near-groups").withColumnsRenamed({"node": "h", "component": "group"})
+    met = common.join_by_key(rows.select("doc_id", "text_hash", "h"), parts, ["h"], "left", counted=rows)
+    return common.written(met.select("doc_id", "text_hash", F.coalesce("group", "h").alias("group")), "near-rows")
+
+
 def groups(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable) of each document with an id."""
     common.tune(docs.sparkSession)
     rows = common.written(sets(docs, size, share), "near-sets")
-    found = links(rows, docs, size, share)
-    heads = rows.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("head"))
-    edges = (
-        found.join(heads.withColumnsRenamed({"h": "u", "head": "hu"}), "u")
-        .join(heads.withColumnsRenamed({"h": "v", "head": "hv"}), "v")
-        .select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-    )
-    # Copies with the same set, and the sets of an id that several rows share.
-    same = rows.where("doc_id is not null").select("doc_id", "h").distinct().join(heads, "h").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
-    found = components(edges.unionByName(same))
-    ids = rows.where("doc_id is not null").select("doc_id").distinct()
-    return ids.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    # The sets of an id that several rows share.
+    pairs = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("v"), F.max("h").alias("u")).where("u != v").select("doc_id", "v")
+    ties = rows.join(pairs, "doc_id").select(F.col("h").alias("u"), "v")
+    named = grouped(rows, links(rows, docs, size, share).unionByName(ties)).where("doc_id is not null")
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return common.join_by_key(named.select("doc_id", "group"), least, ["group"], counted=named).select("doc_id", "component_id").distinct()
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id.  Rows without an id stay."""
-    gone = groups(docs, size, share).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """``docs`` with one row of each group."""
+    common.tune(docs.sparkSession)
+    rows = common.written(sets(docs, size, share), "near-sets")
+    met = grouped(rows, links(rows, docs, size, share))
+    one = met.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("one")).select("one.doc_id", "one.text_hash")
+    one = common.written(one, "near-one")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    gone = common.written(met.select("doc_id", "text_hash").distinct().join(one, same(met, one), "left_anti"), "near-gone")
+    again = met.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = common.written(again.join(one, same(again, one), "left_semi"), "near-again")
+
+    def among(some: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        keys = some.select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_text"))
+        text = F.xxhash64(F.coalesce(of["text"].cast("string"), F.lit("")))
+        return of.join(keys, of["doc_id"].cast("long").eqNullSafe(keys["_near_id"]) & (text == keys["_near_text"]), how)
+
+    stay = among(gone, "left_anti", docs)
+    if again.isEmpty():
+        return stay
+    # Equal rows: the least hash of all columns, of those that are left of each.
+    doubled = among(again, "left_semi", docs).groupBy("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_near_text"))
+    each = doubled.agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in common.hashable(docs, docs.columns)])).alias("_near_row")).select("_near_row.*")
+    return among(again, "left_anti", stay).unionByName(each)

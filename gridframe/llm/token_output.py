@@ -5,13 +5,17 @@ File format: one Parquet folder.  ``tokens`` (list of int) is dictionary-encoded
 pages have set sizes, and where the rows of a file ascend by ``doc_id``, the page index lets a reader of a few
 documents, or of the metadata alone, skip the rest.
 
-Inputs: null texts count as empty (the end id only); rows that share an id are separate rows, ordered by the text's hash; null
+Ids are those of the whole texts.  Of a tokenizer whose file states the normaliser and the splitter that ``PLAIN``
+does, pieces of a text are encoded and remembered; of any other the library encodes each text as a whole.
+
+Inputs: null texts count as empty (the end id only); very long texts are encoded piece by piece; rows that share an id are separate rows, ordered by the text's hash; null
 ids come first; an empty table gives an empty folder with a schema; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import sys
 import zlib
@@ -75,6 +79,27 @@ class Remembered(dict):
         return value
 
 
+#: The normaliser and splitter of a tokenizer file by which a text's ids are those of its pieces in turn.
+PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def splits_plainly(path: str) -> bool:
+    """Whether a tokenizer file is one whose pieces can be encoded on their own: its special tokens begin with <|."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    special = all(t["content"].startswith("<|") and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in told["added_tokens"])
+    return special and all(told[k] == v for k, v in PLAIN.items()) and told["model"]["type"] == "BPE" and told["model"]["dropout"] is None
+
+
 class ChunkIds(Remembered):
     """Bytes between white space, and the pieces of such, to the little-endian bytes of their ids.
 
@@ -91,7 +116,7 @@ class ChunkIds(Remembered):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.plain = self.tokenizer.model, splits_plainly(path)
 
     def make(self, key: bytes) -> bytes:
         if not key.isalpha() and b"'" not in key and b"<|" not in key:
@@ -112,6 +137,8 @@ class ChunkIds(Remembered):
         return np.asarray(self.tokenizer.encode(key.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def of(self, text: bytes) -> bytes:
+        if not self.plain:
+            return np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         # A special token is one only as it is written.
         return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
@@ -175,6 +202,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The rows of a few documents: the filter is pushed to the files, where statistics of row groups and the page
+    index leave out what can't hold them.
+    """
+    return read_tokens(spark, path).where(F.col("doc_id").isin(*ids))
+
+
 def part_starts(spark: SparkSession, path: str) -> DataFrame:
     """How many ids stand before each file's part: one row per part, from the metadata columns alone."""
     sums = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))

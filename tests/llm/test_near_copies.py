@@ -59,4 +59,20 @@ def test_stage_drops_near_copies_and_keeps_less_similar_texts(spark, tmp_path):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path))
     assert out.columns == frame.columns
-    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]  # the row without an id is a copy too
+
+
+def test_repeated_rows_and_rows_without_an_id_are_documents(spark):
+    words = [f"word{i}" for i in range(60)]
+    one, two, other = " ".join(words), " ".join([*words[:30], "x", *words[31:]]), " ".join(words[::-1])
+    docs = [(1, one, "b"), (1, one, "a"), (1, one, "a"), (2, one, "c"), (2, one, "c"), (None, two, "d"), (None, other, "e"), (None, other, "e"), (3, None, "f"), (3, "", "g"), (None, None, "h"), (4, "alone", "i"), (4, "other words", "j")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _near_id string").coalesce(1)
+    runs = [sorted(map(tuple, near_copies.keep_one(f).collect()), key=repr) for f in (frame, frame.orderBy("_near_id", ascending=False))]
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]].count(1) == 1 and len(runs[0]) == 5
+    assert {(i, t or "") for i, t, _ in runs[0]} == {(1, one), (None, other), (3, ""), (4, "alone"), (4, "other words")}
+    groups = {r["doc_id"]: r["component_id"] for r in near_copies.groups(frame).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 4}
+    empty = spark.createDataFrame([], "doc_id long, text string, _near_id string")
+    assert near_copies.keep_one(empty).collect() == [] and near_copies.groups(empty).collect() == []
+    long = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w " * 300_000, "b")], "doc_id long, text string, _near_id string")
+    assert [r["doc_id"] for r in near_copies.keep_one(long).collect()] == [1]

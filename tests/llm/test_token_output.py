@@ -60,3 +60,37 @@ def test_empty_table_and_selective_reads(spark):
     assert token_output.digests(spark, path).collect() == []
     plan = token_output.part_starts(spark, path)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<part:int,n_tokens:bigint>" in plan
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, library = token_output.ChunkIds(path), Tokenizer.from_file(path)
+    assert not ids.plain and token_output.ChunkIds(PATH).plain
+    for text in ["The  house\nand it's", "", "Été 12", "a" * 300]:
+        assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_files_have_the_encodings_and_the_page_index(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(6000)], "doc_id long, text string").repartition(1)
+    path = common.scratch(spark, "t")
+    token_output.write_tokens(docs, path, PATH, 2)
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 40 << 20
+            for c in range(group.num_columns):
+                column = group.column(c)
+                listed = column.path_in_schema.startswith("tokens")
+                assert ("DELTA_BINARY_PACKED" in column.encodings) != listed and ("RLE_DICTIONARY" in column.encodings) == listed
+                assert column.has_column_index and column.has_offset_index or column.path_in_schema.startswith("tokens")
+    some = token_output.read_documents(spark, path, [7, 4321])
+    assert sorted(r["doc_id"] for r in some.collect()) == [7, 4321]
+    plan = some._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(doc_id, [4321,7])]" in plan.replace("[7,4321]", "[4321,7]")
