@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    """One row of each group whose five-word shingles have a Jaccard similarity of at least 0.8."""
     return near_copies.keep_one(docs)
 
 
@@ -49,12 +49,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.written(docs, f"stage-{name}")
-    return docs
+    """The last stage's rows.  What a stage wrote for itself, and what it read, goes when its own table is written."""
+    docs, begin = common.table(spark, sf_dir, "documents"), common.scratch_mark()
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.remove_scratch(spark, begin, common.scratch_mark() - 1)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The stages are trained models, connected components and a tokenizer: SQL can't state their rows.
