@@ -1,5 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 4/5, found exactly.
 
+This is what the SimHash operator is for where a similarity is asked: its links connect what lies within ``BITS`` of a
+fingerprint of five-word shingles, each link is verified by the sets, and prefix filtering finds the pairs that are
+similar enough though their fingerprints differ more (at a similarity of 4/5 about ten bits of 64 do, which no
+partition of the bits can be probed for).
+
 Words are the runs outside white space of the text with A-Z lower-cased; a text of fewer words has one shingle, all of
 them.  Shingles stand for themselves by their XXH64.  Texts with the same set are one node.
 
@@ -8,8 +13,9 @@ common, so these prefixes are the keys.  The order has what a sample of the text
 that many share is rarely a key; the sample moves costs, never results.  What meets at a key is compared by size, by a
 512-bit parity sketch (the bits that differ are never more than the members that differ) and then by the sets.
 
-Only components matter, so at each key all sets are first compared with one of them, and then those with each other
-that aren't connected yet.
+Only components matter.  At each key all sets are first compared with its least set, which is the same for most keys
+of a crowd; then, where a key still has sets that aren't connected, with one of them that is the key's own; and then
+those that are left with each other, sets of about the same size alone.
 
 Inputs: null and empty texts have the empty set and are copies of each other; very long texts are hashed whole; an
 empty table gives no rows; other columns are ignored by ``groups`` and kept by ``keep_one``.  In ``groups`` rows that
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm import common
+from gridframe.llm import common, simhash
 from gridframe.llm.components import components
 from gridframe.llm.simhash import shingle_hashes
 
@@ -42,6 +48,9 @@ SAMPLE_ROWS, MOST_ORDERED = 20_000, 200_000
 
 SKETCH = 8
 
+#: Bits of a fingerprint within which the SimHash operator links.
+BITS = 2
+
 
 def sample_order(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles that a sample has more than twice, the rarest first."""
@@ -78,7 +87,7 @@ def parities(members: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """doc_id, text hash, set hash ``h``, set size ``n``, sketch and prefix of each row."""
+    """doc_id, text hash, fingerprint, set hash ``h``, set size ``n``, sketch and prefix of each row."""
     from xxhash import xxh64_intdigest
 
     order = sample_order(docs, size)
@@ -88,21 +97,23 @@ def sets(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            members = [np.unique(shingle_hashes(t, size)) for t in common.texts(batch)]
+            hashes = [shingle_hashes(t, size) for t in common.texts(batch)]
+            members = list(map(np.unique, hashes))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
+                    pa.array(np.array(list(map(simhash.majority, hashes)), np.uint64).view(np.int64)),
                     pa.array(np.array([xxh64_intdigest(m.tobytes()) for m in members], np.uint64).view(np.int64)),
                     pa.array([len(m) for m in members], pa.int64()),
                     pa.array([parities(m) for m in members], pa.list_(pa.int64())),
                     pa.array([ordered_prefix(m, known, rank, share).view(np.int64) for m in members], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "h", "n", "sketch", "prefix"],
+                names=["doc_id", "text_hash", "fp", "h", "n", "sketch", "prefix"],
             )
 
     rows = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, h long, n long, sketch array<long>, prefix array<long>").withColumn("place", place())
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, h long, n long, sketch array<long>, prefix array<long>").withColumn("place", place())
 
 
 def place() -> Column:
@@ -141,24 +152,44 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
     shared_keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     entries = common.written(entries.join(shared_keys, "key"), "near-entries")
     # One row stands for each set.
-    heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "n", "sketch")).alias("r")).select("h", "r.*")
-    heads = common.written(heads.join(entries.select("h").distinct(), "h", "left_semi"), "near-heads")
+    heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "fp", "n", "sketch")).alias("r")).select("h", "r.*")
+    heads = common.written(heads, "near-heads")
     plain = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("place", place())
     texts = common.written(plain.join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).select("h", "text").dropDuplicates(["h"]), "near-texts")
-    full = common.written(entries.join(heads.select("h", "n", "sketch"), "h"), "near-keys")
-
-    # Each key has its own one of a crowd, so that what a crowd's many keys find connects it.
-    first = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("by"), "h", "n", "sketch")).alias("one"))
-    star = full.join(first, "key").select(F.struct("h", "n", "sketch").alias("a"), F.col("one").alias("b")).where("a.h != b.h").where(may_reach("a", "b", share))
-    found = common.written(verified(star.select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct(), texts, size, share), "near-links")
-    parts = common.written(components(found), "near-parts")
-    now = full.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("part", F.coalesce("component", "h")).drop("component")
-    apart = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-    now = common.written(now.join(apart, "key", "left_semi"), "near-apart")
-    a, b = now.alias("a"), now.alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & may_reach("a", "b", share))
-    more = verified(cross.select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct(), texts, size, share)
-    return found.unionByName(common.written(more, "near-links"))
+    shape = heads.select("h", F.struct("n", "sketch").alias("shape"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (u, v), those that are similar enough."""
+        met = pairs.distinct().join(shape.select(F.col("h").alias("u"), F.col("shape").alias("a")), "u").join(shape.select(F.col("h").alias("v"), F.col("shape").alias("b")), "v")
+        return common.written(verified(met.where(may_reach("a", "b", share)).select("u", "v"), texts, size, share), "near-links")
+
+    def apart(found: DataFrame, among: DataFrame) -> DataFrame:
+        """The entries of keys whose sets aren't all connected yet, with the component of each."""
+        parts = common.written(components(found), "near-parts")
+        now = among.select("h", "key").join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", "key", F.coalesce("component", "h").alias("part"))
+        now = common.written(now, "near-now")
+        mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+        return common.written(now.join(mixed, "key", "left_semi"), "near-apart")
+
+    # The SimHash operator's links, by one set for each fingerprint, and the sets of one fingerprint.
+    one = common.written(heads.groupBy("fp").agg(F.min("h").alias("one")), "near-prints")
+    wide = simhash.links(one.select("fp"), BITS)
+    wide = wide.join(one.select(F.col("fp").alias("u"), F.col("one").alias("a")), "u").join(one.select(F.col("fp").alias("v"), F.col("one").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = heads.join(one, "fp").where("h != one").select(F.col("h").alias("u"), F.col("one").alias("v"))
+    found = similar(wide.unionByName(same))
+
+    least = entries.groupBy("key").agg(F.min("h").alias("one"))
+    found = found.unionByName(similar(entries.join(least, "key").where("h != one").select(F.col("h").alias("u"), F.col("one").alias("v"))))
+    now = apart(found, entries)
+    own = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"))).alias("first")).select("key", "first.one", "first.one_part")
+    found = found.unionByName(similar(now.join(own, "key").where("part != one_part").select(F.col("h").alias("u"), F.col("one").alias("v"))))
+    now = apart(found, now).join(shape, "h")
+    # Sizes that the similarity allows are in the same class or in neighbouring ones.
+    of_size = F.floor(F.log(F.greatest(F.col("shape.n"), F.lit(1))) / F.log(F.lit(share[1] / share[0])))
+    a = now.select("key", "h", "part", "shape", F.explode(F.array(of_size - 1, of_size, of_size + 1)).alias("class")).alias("a")
+    b = now.select("key", "h", "part", "shape", of_size.alias("class")).alias("b")
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.part") < F.col("b.part")) & may_reach("a.shape", "b.shape", share))
+    return found.unionByName(similar(cross.select(F.col("a.h").alias("u"), F.col("b.h").alias("v"))))
 
 
 def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:

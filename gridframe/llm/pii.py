@@ -246,8 +246,10 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, form, surrogate of each distinct entity; no surrogate is shared or is itself an entity."""
     own = entities.select("kind", core_of(F.col("kind"), F.col("form")).alias("surrogate")).distinct()
     pending, given, attempt = entities, None, 0
+    # Small rows that cost much to draw for: dealt over tasks by number, which isn't coalesced by size.
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        drawn = pending.withColumn("surrogate", proposal(F.col("kind"), F.col("form"), key, attempt))
+        drawn = pending.repartition(tasks, "kind", "form").withColumn("surrogate", proposal(F.col("kind"), F.col("form"), key, attempt))
         free = drawn.join(own, ["kind", "surrogate"], "left_anti")
         if given is not None:
             free = free.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -271,9 +273,7 @@ def replace(docs: DataFrame, key: str = "gridframe") -> DataFrame:
     spots = holding.select("doc_id", "text_key", "names", F.posexplode("found").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw")))
     spots = spots.select("doc_id", "text_key", "at", "raw", "kind", canonical(F.col("kind"), F.col("raw"), F.col("names")).alias("form"))
     spots = common.written(spots, "entities")
-    # Small rows that cost much to draw for: dealt over tasks by number, which isn't coalesced by size.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entities = common.written(spots.select("kind", "form").distinct().repartition(tasks, "kind", "form"), "distinct-entities")
+    entities = common.written(spots.select("kind", "form").distinct(), "distinct-entities")
     given = surrogates(entities, key)
     # Rows of equal id and text have the same entities: a place counts once.
     met = common.join_by_key(spots, given, ["kind", "form"])
