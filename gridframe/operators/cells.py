@@ -29,7 +29,7 @@ def superscripts(marks: DataFrame, loose: DataFrame, keys: list[str]) -> DataFra
     near = marks.join(small, keys).where(
         F.col("sx").between(right - 1, right + 3.5) & (F.col("sh") <= F.col("h") + 0.5) & (F.col("sy") <= F.col("y") + F.col("h")) & (F.col("sy") >= F.col("y") - F.col("h"))
     )
-    return near.groupBy(*keys, "word_ix").agg(F.min_by("marker", "pool_ix").alias("marker"))
+    return near.groupBy(*keys, "word_ix").agg(F.min_by("marker", "pool_ix").alias("marker"), F.min("pool_ix").alias("used_ix"))
 
 
 def covered_bands(phrases: DataFrame, bands: DataFrame, keys: list[str], pitch: Column) -> DataFrame:
@@ -68,7 +68,7 @@ def split_trailing(value: Column, known: Column) -> tuple[Column, Column]:
     return F.when(takes, head).otherwise(value), F.when(takes, tail)
 
 
-def phrase_cells(words: DataFrame, keys: list[str], pitch: float) -> DataFrame:
+def phrase_cells(words: DataFrame, keys: list[str], pitch: float | Column) -> DataFrame:
     """Phrases of the lines of a row: runs at 0.9 pitch, stacked over lines."""
     runs = G.running_runs(words, [*keys, "line_ix"], pitch * 0.9)
     rows = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_ix", "run_ix", "x0", "x1", "text"))).alias("rs"))

@@ -109,8 +109,9 @@ def centred_spans(heads: DataFrame, bands: DataFrame, keys: list[str]) -> DataFr
     """
     h = heads.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("head_ix", ((F.col("x0") + F.col("x1")) / 2).alias("mid"), "text"))).alias("hs"))
     b = bands.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("band_ix", "centre"))), lambda s: s["centre"]).alias("cs"))
-    got = h.join(b, keys).withColumn("best", G.ordered_partition(F.transform("hs", lambda s: s["mid"]), F.col("cs")))
-    got = got.where("best is not null").withColumn("ends", F.col("best.ends")).withColumn("pitch", F.coalesce(F.get("cs", F.lit(1)) - F.get("cs", F.lit(0)), F.lit(0.0)))
+    # Exploded from an array of one, so that the programme runs once and isn't copied to where its result is named.
+    got = h.join(b, keys).where("size(cs) >= size(hs)").select(*keys, "hs", "cs", F.explode(F.array(G.ordered_partition(F.transform("hs", lambda s: s["mid"]), F.col("cs"))["ends"])).alias("ends"))
+    got = got.withColumn("pitch", F.coalesce(F.get("cs", F.lit(1)) - F.get("cs", F.lit(0)), F.lit(0.0)))
     begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1))
     middle = lambda i: (F.get("cs", begin(i)) + F.get("cs", F.get("ends", i) - 1)) / 2
     fits = F.forall(F.sequence(F.lit(0), F.size("hs") - 1), lambda i: F.abs(middle(i) - F.get("hs", i)["mid"]) <= 0.5 * F.col("pitch"))
@@ -157,4 +158,4 @@ def prune_empty(columns: DataFrame, cells: DataFrame, keys: list[str], drop_unna
 def divide(cells: DataFrame, dividers: DataFrame, keys: list[str]) -> DataFrame:
     """Cells without those under a vertical word: all of a column without a timepoint, else its single letters."""
     joined = cells.join(dividers, [*keys, "col_id"], "left")
-    return joined.where(F.col("timed").isNull() | (F.col("timed") & ~F.col("value").rlike("^[A-WYZa-wyz]$"))).select(*cells.columns)
+    return joined.where(F.col("timed").isNull() | (F.col("timed") & ~F.col("value").rlike(r"^[A-WYZa-wyz](\s+[A-WYZa-wyz])*$"))).select(*cells.columns)

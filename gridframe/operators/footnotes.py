@@ -127,11 +127,12 @@ def links(cells: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(known, keys).where(marker_in(F.col("value"), F.col("marker"))).select(*keys, "row_id", "col_id", "marker")
 
 
-def applies_to(notes: DataFrame, row_links: DataFrame, cell_links: DataFrame, keys: list[str]) -> DataFrame:
-    """Targets of each footnote: rows and cells; the whole table without any."""
-    rows = row_links.select(*keys, "marker", F.lit("row").alias("target"), "row_id", F.lit("").alias("col_id"))
-    cells = cell_links.select(*keys, "marker", F.lit("cell").alias("target"), "row_id", "col_id")
-    joined = notes.select(*keys, "marker").distinct().join(rows.unionByName(cells), [*keys, "marker"], "left")
+def applies_to(notes: DataFrame, row_links: DataFrame, cell_links: DataFrame, keys: list[str], column_links: DataFrame | None = None) -> DataFrame:
+    """Targets of each footnote: rows, cells and columns; the whole table without any."""
+    found = row_links.select(*keys, "marker", F.lit("row").alias("target"), "row_id", F.lit("").alias("col_id")).unionByName(cell_links.select(*keys, "marker", F.lit("cell").alias("target"), "row_id", "col_id"))
+    if column_links is not None:
+        found = found.unionByName(column_links.select(*keys, "marker", F.lit("column").alias("target"), F.lit("").alias("row_id"), "col_id"))
+    joined = notes.select(*keys, "marker").distinct().join(found.distinct(), [*keys, "marker"], "left")
     return joined.select(*keys, "marker", F.coalesce("target", F.lit("table")).alias("target"), F.coalesce("row_id", F.lit("")).alias("row_id"), F.coalesce("col_id", F.lit("")).alias("col_id"))
 
 

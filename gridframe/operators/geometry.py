@@ -165,8 +165,7 @@ def ordered_partition(heads: Column, bands: Column) -> Column:
                     (F.get(best, i - 1)["cost"] + F.abs((F.get(bands, i - 1) + F.get(bands, j - 1)) / 2 - head)).alias("cost"), i.alias("first"), F.concat(F.get(best, i - 1)["ends"], F.array(j)).alias("ends")
                 ),
             )
-            pick = F.array_min(F.transform(options, lambda o: F.struct(o["cost"].alias("cost"), o["first"].alias("first"), o["ends"].alias("ends"))))
-            return F.struct(pick["cost"].alias("cost"), pick["ends"].alias("ends"))
+            return F.get(F.transform(F.array(F.array_min(options)), lambda pick: F.struct(pick["cost"].alias("cost"), pick["ends"].alias("ends"))), F.lit(0))
 
         none = F.struct(F.lit(float("inf")).alias("cost"), F.array().cast("array<int>").alias("ends"))
         return F.transform(F.sequence(F.lit(0), m), lambda j: F.when(j == 0, none).otherwise(upto(j)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions import text as T
 from gridframe.operators import geometry as G
+from gridframe.operators import columns as K
 from gridframe.operators.columns import role_of
 
 
@@ -46,12 +47,12 @@ def header_lines(lines: DataFrame, reach: DataFrame, keys: list[str]) -> DataFra
 
 
 def read_header(words: DataFrame, lines: DataFrame, bands: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
-    """Header values: row_ix, caption, role, band_ix and value.
+    """Header values: row_ix, caption, role, band_ix and value, with the extents of the text and of the row.
 
     ``lines`` are a page's header lines with their words' numbers; words left of the grid are the row's caption.  A
     line without a caption whose words reach fewer than two bands continues the row above it.
     """
-    own = words.join(lines.select(*keys, "line_ix"), [*keys, "line_ix"], "left_semi").join(left, keys)
+    own = words.drop("top", "bottom").join(lines.select(*keys, "line_ix"), [*keys, "line_ix"], "left_semi").join(left, keys)
     is_label = F.col("x") + F.col("w") <= F.col("grid_left") + 2
     captions = own.where(is_label).groupBy(*keys, "line_ix").agg(T.clean(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ")).alias("caption"))
     values = place_words(own.where(~is_label).drop("grid_left"), bands, keys, ["line_ix"])
@@ -61,7 +62,32 @@ def read_header(words: DataFrame, lines: DataFrame, bands: DataFrame, left: Data
     opens = F.col("caption").isNotNull() | (F.col("n") >= 2) | (F.row_number().over(by) == 1)
     numbered = rows.withColumn("row_ix", F.sum(opens.cast("int")).over(by) - 1)
     heads = numbered.groupBy(*keys, "row_ix").agg(F.coalesce(F.min_by("caption", F.when(F.col("caption").isNotNull(), F.col("line_ix"))), F.lit("")).alias("caption"), F.bool_and("numeric").alias("numeric"))
+    heights = numbered.join(lines.select(*keys, "line_ix", "top", "bottom"), [*keys, "line_ix"]).groupBy(*keys, "row_ix").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
     joined = values.join(numbered.select(*keys, "line_ix", "row_ix"), [*keys, "line_ix"]).groupBy(*keys, "row_ix", "band_ix").agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("line_ix", "text"))), F.lit(""), lambda a, s: T.join_wrapped(a, s["text"])).alias("value")
+        F.aggregate(F.sort_array(F.collect_list(F.struct("line_ix", "text"))), F.lit(""), lambda a, s: T.join_wrapped(a, s["text"])).alias("value"), F.min("x0").alias("x0"), F.max("x1").alias("x1")
     )
-    return joined.join(heads, [*keys, "row_ix"]).select(*keys, "row_ix", "caption", role_of(F.col("caption"), F.col("numeric")).alias("role"), "band_ix", "value")
+    placed = joined.join(heads, [*keys, "row_ix"]).join(heights, [*keys, "row_ix"])
+    return placed.select(*keys, "row_ix", "caption", role_of(F.col("caption"), F.col("numeric")).alias("role"), "band_ix", "value", "x0", "x1", "top", "bottom")
+
+
+def spread(values: DataFrame, bands: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Header values on all bands that their headings stand over: drawn cells first, where a row's vertical rules make
+    as many as it has headings; else runs of bands that the headings are centred over; else the bands that a sparse
+    row's texts cover.  Values of other rows stay where they are.
+    """
+    by_row = [*keys, "row_ix"]
+    heads = values.select(*by_row, F.col("band_ix").alias("head_ix"), F.col("value").alias("text"), "x0", "x1", "top", "bottom")
+    rows = heads.groupBy(*by_row).agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).alias("n_heads"))
+    over = bands.join(rows.select(*by_row), keys).select(*by_row, "band_ix", "centre")
+    crossing = rules.where("orient = 'V'").select(*keys, "pos", "lo", "hi").join(rows, keys).where((F.col("lo") <= F.col("top") + 2) & (F.col("hi") >= F.col("bottom") - 2))
+    edges = crossing.groupBy(*by_row, "n_heads").agg(G.anchored_edges(F.collect_list("pos")).alias("edges")).where("size(edges) >= 3 and size(edges) - 1 >= n_heads")
+    cells = edges.select(*by_row, F.explode(F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.struct(F.get("edges", i - 1).alias("l"), F.get("edges", i).alias("r")))).alias("c")).select(*by_row, F.col("c.l").alias("cell_left"), F.col("c.r").alias("cell_right"))
+    ruled = K.ruled_spans(heads, cells, over, by_row).withColumn("how", F.lit(0))
+    centred = K.centred_spans(heads, over, by_row).withColumn("how", F.lit(1))
+    sparse = K.sparse_spans(heads, over, by_row).drop("inferred").withColumn("how", F.lit(2))
+    own = heads.select(*by_row, "head_ix", "text", F.col("head_ix").alias("band_ix"), F.lit(3).alias("how"))
+    every = ruled.unionByName(centred).unionByName(sparse).unionByName(own)
+    best = F.min("how").over(Window.partitionBy(*by_row))
+    picked = every.withColumn("best", best).where("how = best").groupBy(*by_row, "band_ix").agg(F.min_by("text", "head_ix").alias("value"))
+    told = values.groupBy(*by_row).agg(F.first("caption").alias("caption"), F.first("role").alias("role"))
+    return picked.join(told, by_row).select(*by_row, "caption", "role", "band_ix", "value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,6 +114,9 @@ def raised_markers(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.join(body, keys).where(F.col("text").rlike("^[A-Za-z*†‡§¶#]$") & (F.col("h") < F.col("body") - 0.4)).select(*keys, "word_ix", F.lower("text").alias("marker"))
 
 
+#: A label that reads like a new name rather than the rest of one.
+NEW_NAME = re.compile("[A-Z][a-z]+ [A-Z]")
+
 ENTRY = "entry_ix int, kind string, label string, y double, bottom double, n_marks int, n_lines int"
 
 
@@ -137,7 +142,7 @@ def assemble(lines: list[dict]) -> list[dict]:
             b = lines[i]
             close = b["y"] - entry["bottom"] <= 6 and not b["n_marks"]
             if a["n_marks"]:
-                named = len(b["label"]) < 40 and pd.Series([b["label"]]).str.match(r"^[A-Z][a-z]+ [A-Z]").iloc[0]
+                named = len(b["label"]) < 40 and NEW_NAME.match(b["label"])
                 takes = close and bool(b["label"]) != bool(b["other"]) and not named
             else:
                 takes = close and bool(b["label"]) and not b["other"]

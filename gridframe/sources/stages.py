@@ -5,22 +5,29 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint: its plan is short from there, and a lost executor costs nothing before it.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir; a temporary one is made only on a
+    local master.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if "local" not in spark.sparkContext.master or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gridframe-")
+        atexit.register(shutil.rmtree, base, True)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is made only on a local master.
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table that is written once: its plan is short from there, and a lost executor costs nothing before
+    it.  (A Dataset checkpoint would compute it twice.)
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if "local" not in context.master or "cluster" in context.master:
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="gridframe-")
-            atexit.register(shutil.rmtree, base, True)
-        context.setCheckpointDir(base)
-    return df.checkpoint()
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
