@@ -32,6 +32,8 @@ class Tables:
     findings: DataFrame
     assessments: DataFrame
     ambiguities: DataFrame
+    pages: DataFrame
+    lines: DataFrame
 
 
 def title_of(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,7 +164,7 @@ def extract(words: DataFrame, rules: DataFrame, pages: DataFrame, seed: float =
     findings = cut(confidence.findings(table_cols, table_rows, cells_, targets))
     ruled = adopted.groupBy(*TABLE).agg(F.bool_and("use_drawn").alias("rows_are_ruled"))
     judged = confidence.assess(table_cols, findings).join(titles, TABLE, "left").join(ruled, TABLE, "left").withColumn("rows_are_ruled", F.coalesce("rows_are_ruled", F.lit(False)))
-    return Tables(found, table_cols, table_rows, cells_, notes, targets, findings, judged, cut(doubts))
+    return Tables(found, table_cols, table_rows, cells_, notes, targets, findings, judged, cut(doubts), read.select(*TABLE, F.explode("pages").alias("page")), lines)
 
 
 def _text(part: str) -> Column:
