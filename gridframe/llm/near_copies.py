@@ -44,7 +44,7 @@ SHINGLE = 5
 SHARE = (4, 5)
 
 #: Rows of the sample that orders the shingles, and the most shingles that it orders.
-SAMPLE_ROWS, MOST_ORDERED = 20_000, 200_000
+SAMPLE_ROWS, MOST_ORDERED = 5_000, 200_000
 
 SKETCH = 8
 
@@ -129,33 +129,52 @@ def may_reach(a: str, b: str, share: tuple[int, int]) -> Column:
     return (F.least(n, m) * high >= F.greatest(n, m) * low) & (differ * (high + low) <= (n + m) * (high - low))
 
 
+def sizes_fit(n: Column, m: Column, share: tuple[int, int]) -> Column:
+    return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """place, text_hash and the packed text of each row: texts are joined twice, so they travel compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(press.compress, common.texts(batch)), pa.binary())], names=["place", "text_hash", "packed"])
+
+    rows = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.select(place().alias("place"), "text_hash", "text").mapInArrow(run, "place long, text_hash long, packed binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) of set hashes whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             stay = []
-            for a, b in zip(common.texts(batch, "ut"), common.texts(batch, "vt"), strict=True):
-                x, y = np.unique(shingle_hashes(a, size)), np.unique(shingle_hashes(b, size))
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = (np.unique(shingle_hashes(press.decompress(t), size)) for t in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 stay.append(both * share[1] >= (len(x) + len(y) - both) * share[0])
             yield batch.select(["u", "v"]).filter(pa.array(stay, pa.bool_()))
 
-    one = texts.select(F.col("h").alias("u"), F.col("text").alias("ut"))
-    other = texts.select(F.col("h").alias("v"), F.col("text").alias("vt"))
+    one = texts.select(F.col("h").alias("u"), F.col("packed").alias("ut"))
+    other = texts.select(F.col("h").alias("v"), F.col("packed").alias("vt"))
     return pairs.join(one, "u").join(other, "v").select("u", "v", "ut", "vt").mapInArrow(run, "u long, v long")
 
 
 def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """Links between set hashes that leave no two similar sets unconnected."""
-    entries = rows.select("h", F.explode("prefix").alias("key")).distinct()
-    shared_keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    entries = common.written(entries.join(shared_keys, "key"), "near-entries")
+    # Copies with the same set repeat its entries, which changes no result: only different sets are ever compared.
+    entries = rows.select("h", F.explode("prefix").alias("key"), F.col("n").cast("int").alias("n"))
     # One row stands for each set.
     heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "fp", "n", "sketch")).alias("r")).select("h", "r.*")
     heads = common.written(heads, "near-heads")
-    plain = common.id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("place", place())
-    texts = common.written(plain.join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).select("h", "text").dropDuplicates(["h"]), "near-texts")
+    texts = common.written(compressed(docs).join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).select("h", "packed").dropDuplicates(["h"]), "near-texts")
     shape = heads.select("h", F.struct("n", "sketch").alias("shape"))
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -166,8 +185,7 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
     def apart(found: DataFrame, among: DataFrame) -> DataFrame:
         """The entries of keys whose sets aren't all connected yet, with the component of each."""
         parts = common.written(components(found), "near-parts")
-        now = among.select("h", "key").join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", "key", F.coalesce("component", "h").alias("part"))
-        now = common.written(now, "near-now")
+        now = among.select("h", "key", "n").join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", "key", "n", F.coalesce("component", "h").alias("part"))
         mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
         return common.written(now.join(mixed, "key", "left_semi"), "near-apart")
 
@@ -178,12 +196,12 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
     same = heads.join(one, "fp").where("h != one").select(F.col("h").alias("u"), F.col("one").alias("v"))
     found = similar(wide.unionByName(same))
 
-    least = entries.groupBy("key").agg(F.min("h").alias("one"))
-    found = found.unionByName(similar(entries.join(least, "key").where("h != one").select(F.col("h").alias("u"), F.col("one").alias("v"))))
+    least = entries.groupBy("key").agg(F.min(F.struct(F.col("h").alias("one"), F.col("n").alias("m"))).alias("first"), F.max("h").alias("most")).where("first.one != most").select("key", "first.one", "first.m")
+    found = found.unionByName(similar(entries.join(least, "key").where((F.col("h") != F.col("one")) & sizes_fit(F.col("n"), F.col("m"), share)).select(F.col("h").alias("u"), F.col("one").alias("v"))))
     now = apart(found, entries)
-    own = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"))).alias("first")).select("key", "first.one", "first.one_part")
-    found = found.unionByName(similar(now.join(own, "key").where("part != one_part").select(F.col("h").alias("u"), F.col("one").alias("v"))))
-    now = apart(found, now).join(shape, "h")
+    own = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"))).alias("first")).select("key", "first.one", "first.one_part", "first.m")
+    found = found.unionByName(similar(now.join(own, "key").where((F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share)).select(F.col("h").alias("u"), F.col("one").alias("v"))))
+    now = apart(found, now).select("h", "key", "part").distinct().join(shape, "h")
     # Sizes that the similarity allows are in the same class or in neighbouring ones.
     of_size = F.floor(F.log(F.greatest(F.col("shape.n"), F.lit(1))) / F.log(F.lit(share[1] / share[0])))
     a = now.select("key", "h", "part", "shape", F.explode(F.array(of_size - 1, of_size, of_size + 1)).alias("class")).alias("a")
