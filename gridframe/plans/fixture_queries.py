@@ -190,7 +190,7 @@ def cell_dedupe(spark):
 @query("superscript_attach", f"""with j as (select m.doc_id, m.page, m.word_ix, l.text as marker, row_number() over (partition by m.doc_id, m.page, m.word_ix order by l.word_ix) as n from {X.MARKS.sql} m join {X.LOOSE.sql} l on l.doc_id = m.doc_id and l.page = m.page
   where length(l.text) <= 2 and l.x between m.x + m.w - 1 and m.x + m.w + 3.5 and l.h <= m.h + 0.5 and l.y <= m.y + m.h and l.y >= m.y - m.h) select doc_id, page, word_ix, marker from j where n = 1""")
 def superscript_attach(spark):
-    return cells.superscripts(X.MARKS.frame(spark), X.LOOSE.frame(spark), ["doc_id", "page"])
+    return cells.superscripts(X.MARKS.frame(spark), X.LOOSE.frame(spark), ["doc_id", "page"]).drop("used_ix")
 
 
 @query("span_cover", f"""with h as (select doc_id, page, row * 10 + head_ix as phrase_ix, text, x0, x1 from {X.HEADS.sql}), j as (select h.*, b.band_ix, b.centre between x0 - 30 and x1 + 30 as inside, greatest(0.0, x0 - centre, centre - x1) as gap from h join {X.HEAD_BANDS.sql} b on b.doc_id = h.doc_id and b.page = h.page),
