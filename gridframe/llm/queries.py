@@ -114,5 +114,30 @@ each as (select r, generate_subscripts(ws, 1) as p, unnest(ws) as x from d),
 kept as (select r, string_agg(x, ' ' order by p) as t from each anti join hit using (r, p) group by r), n as (select r, count(*) as n from hit group by r)
 select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (r) left join n using (r)"""
 
+GRID_SQL = "[" + ", ".join(map(str, quality_rules.GRID)) + "]"
+METRICS_SQL = ", ".join(f"{{'rule': '{rule}', 'metric': ({metric})::double}}" for rule, metric in sorted(quality_rules.RULES.items()))
+N_RULES = len(quality_rules.RULES)
+
+#: Cutoffs: the last of the grid before the first whose exact binomial tail is too heavy, per stratum and rule.
+OP9_SQL = f"""with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t from documents),
+s as (select r, doc_id, stratum, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from d),
+w as (select r, i, array_to_string(ws[i:i + {quality_rules.WINDOW - 1}], ' ') as w from (select r, ws, unnest(range(1, len(ws) - {quality_rules.WINDOW - 2})) as i from s where len(ws) >= {quality_rules.WINDOW})),
+again as (select r, w from w group by r, w having count(*) > 1),
+rep as (select r, count(distinct p) as n_repeat_words from (select r, unnest(range(i, i + {quality_rules.WINDOW})) as p from w join again using (r, w)) group by r),
+f as (select r, doc_id, stratum, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, len(ls)::bigint as n_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_upper from s left join rep using (r)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f),
+m as (select r, doc_id, stratum, base_failed, u.rule as rule, u.metric as metric from (select *, unnest([{METRICS_SQL}]) as u from b)),
+good as (select doc_id from labels where doc_id is not null and quality is not null group by doc_id having max(quality) = 1),
+held as (select * from m where not base_failed and doc_id in (select doc_id from good)),
+grid as (select unnest(range(1, {len(quality_rules.GRID)} + 1)) as g, unnest({GRID_SQL}) as cutoff),
+k as (select stratum, rule, g, cutoff, count(*) as n, count(*) filter (metric > cutoff) as k from held, grid group by all),
+p as (select *, 0.02::double / {N_RULES} as p, 0.05::double / ({N_RULES} * (select count(distinct stratum) from held)) as level from k),
+tail as (select *, k > n * p or (case when k >= n then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))) from (select unnest(range(0, k + 1)) as i)) end) > level as fails from p),
+stop as (select stratum, rule, coalesce(min(g) filter (fails), {len(quality_rules.GRID)} + 1) as g from tail group by stratum, rule),
+cut as (select stop.stratum, stop.rule, cutoff from stop join grid on grid.g = stop.g - 1),
+fired as (select r, string_agg(rule, ',' order by rule) as rejected_by from m join cut using (stratum, rule) where metric > cutoff group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by from b left join fired using (r)"""
+
 #: The others are trained models, connected components, schedules and encodings, which SQL can't state.
-ORACLES: dict = {"op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+ORACLES: dict = {"op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}

@@ -1,7 +1,10 @@
 import math
 import random
 
+import pytest
+
 from gridframe.llm import quality_rules as q
+from gridframe.llm.queries import OP9_SQL
 
 
 def brute(text):
@@ -91,3 +94,17 @@ def test_certified_rules_fire(spark):
         want.append((r["doc_id"], failed, fired, not failed and not fired))
     assert sorted(((r["doc_id"], r["base_failed"], r["rejected_by"], r["kept"]) for r in got), key=repr) == sorted(want, key=repr)
     assert sum("symbols" in w[2] for w in want) > 300 and sum(w[3] for w in want) > 1500
+
+
+def test_the_statement_gives_the_same_rows(spark):
+    """The DuckDB statement on the fixture where rules fire."""
+    duckdb = pytest.importorskip("duckdb")
+    docs, labels = thousands(spark)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "lang").toArrow())
+    con.register("labels", labels.toArrow())
+    result = con.execute(OP9_SQL)
+    names = [x[0] for x in result.description]
+    want = sorted(map(tuple, result.fetchall()), key=repr)
+    got = q.apply_rules(docs, labels).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == want and sum(bool(w[-1]) for w in want) > 300
