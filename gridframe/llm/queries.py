@@ -139,5 +139,22 @@ cut as (select stop.stratum, stop.rule, cutoff from stop join grid on grid.g = s
 fired as (select r, string_agg(rule, ',' order by rule) as rejected_by from m join cut using (stratum, rule) where metric > cutoff group by r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by from b left join fired using (r)"""
 
+TEMPLATES_SQL = ", ".join(f"({i}, '{label}', {str(i < len(license_scan.BASE)).lower()}, '{phrase}')" for i, (label, phrase) in enumerate([*license_scan.BASE, *license_scan.TEMPLATES, *license_scan.TEXTS]))
+
+OP3_SQL = f"""with t as (select *, case when len(ts) <= 4 then 2 else 3 end as k from (select template, label, base, string_split(phrase, ' ') as ts from (values {TEMPLATES_SQL}) as v(template, label, base, phrase))),
+tg as (select template, label, base, k, len(ts) as words, len(ts) - k + 1 as grams, q, array_to_string(ts[q + 1:q + k], ' ') as g from (select *, unnest(range(0, len(ts) - k + 1)) as q from t)),
+d as (select row_number() over () as r, doc_id, {PLAIN} as ws from documents),
+dg as (select r, k, p, array_to_string(ws[p + 1:p + k], ' ') as g from (select r, ws, k, unnest(range(0, len(ws) - k + 1)) as p from d, (values (2), (3)) as x(k) where len(ws) >= k)),
+v as (select r, template, label, base, tg.k as k, words, grams, p - q as dia, list(q) as qs, count(*) as votes, min(p) as low, max(p) as high from dg join tg on dg.k = tg.k and dg.g = tg.g group by all),
+f as (select * from v where not base or votes = grams),
+m as (select *, case when base then votes else len(list_distinct(flatten(list(qs) over near))) end as met, case when base then low else min(low) over near end as beginning, case when base then high else max(high) over near end as last_gram
+  from f window near as (partition by r, template order by dia range between current row and {license_scan.NEAR} following)),
+c as (select *, met / grams as coverage, met / grams >= {license_scan.COVERAGE} and last_gram + k - beginning <= {license_scan.STRETCH} * words as verified from m),
+o as (select *, max(case when verified then dia end) over (partition by r, template order by dia rows between unbounded preceding and 1 preceding) as earlier from c),
+a as (select r, count(*) filter (base) as n_base, min(beginning) filter (base) as first_word, max(beginning) filter (base) as last_word, string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+  string_agg(distinct label, ',' order by label) filter (verified) as labels, max(coverage) as score, count(*) filter (verified and not base and (earlier is null or dia - earlier > {license_scan.NEAR})) as n_spans from o group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score, coalesce(n_spans, 0)::bigint as n_spans
+from d left join a using (r)"""
+
 #: The others are trained models, connected components, schedules and encodings, which SQL can't state.
-ORACLES: dict = {"op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES: dict = {"op3_license_scan": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}

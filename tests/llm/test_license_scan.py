@@ -1,7 +1,10 @@
 import random
 import re
 
+import pytest
+
 from gridframe.llm import license_scan as ls
+from gridframe.llm.queries import OP3_SQL
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -47,6 +50,11 @@ def test_matches_brute_force(spark):
     got = ls.scan(frame).collect()
     assert columns(got) == sorted([(d, *brute(t)) for d, t in docs], key=repr)
     assert ls.scan(frame.limit(0)).collect() == []
+    con = pytest.importorskip("duckdb").connect()
+    con.register("documents", frame.toArrow())
+    result = con.execute(OP3_SQL)
+    names = [x[0] for x in result.description]
+    assert sorted(map(tuple, result.fetchall()), key=repr) == sorted((tuple(r[n] for n in names) for r in got), key=repr)
 
 
 def test_notices_with_gaps_are_found(spark):
