@@ -43,16 +43,18 @@ def merge_footnotes(raw: DataFrame) -> DataFrame:
 def tables(cols: DataFrame, rws: DataFrame, cells: DataFrame, notes: DataFrame, meta: DataFrame) -> DataFrame:
     """One nested row per table: columns, rows with their cells, footnotes, title and assessment."""
     c = cols.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("ord", "id", "label", "visit_number", "study_day", "study_week", "visit_window", "divider"))).alias("columns"))
-    per = cells.groupBy(*KEYS, "row_id").agg(F.sort_array(F.collect_list(F.struct(F.col("col_id").alias("col"), "value"))).alias("cells"))
-    r = rws.join(per, (rws["doc_id"] == per["doc_id"]) & (rws["cand"] == per["cand"]) & (rws["id"] == per["row_id"]), "left").select(rws["*"], F.coalesce("cells", F.array().cast("array<struct<col:string,value:string>>")).alias("cells"))
+    marked = ["markers"] if "markers" in cells.columns else []
+    per = cells.groupBy(*KEYS, "row_id").agg(F.sort_array(F.collect_list(F.struct(F.col("col_id").alias("col"), "value", *marked))).alias("cells"))
+    r = rws.join(per, (rws["doc_id"] == per["doc_id"]) & (rws["cand"] == per["cand"]) & (rws["id"] == per["row_id"]), "left").select(rws["*"], F.coalesce("cells", F.array().cast(per.schema["cells"].dataType)).alias("cells"))
     r = r.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("ord", "id", "kind", "label", "category", "cells"))).alias("rows"))
     f = notes.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("ord", "marker", "text"))).alias("footnotes"))
     return meta.join(c, KEYS, "left").join(r, KEYS, "left").join(f, KEYS, "left")
 
 
 def write_json(published: DataFrame, path: str) -> None:
-    """One JSON object per table, in folders by document; fields without a value are left out."""
-    published.write.partitionBy("doc_id").option("ignoreNullFields", "true").mode("overwrite").json(path)
+    """One JSON object per table, in folders by document, into a folder that isn't there yet; fields without a value are
+    left out."""
+    published.write.partitionBy("doc_id").option("ignoreNullFields", "true").json(path)
 
 
 def source_lines(lines: DataFrame, cited: DataFrame) -> DataFrame:
