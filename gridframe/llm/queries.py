@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from gridframe.llm import (
     common,
     decontaminate,
+    divergence,
     language_id,
     license_scan,
     mixing,
     pii,
     quality_knn,
     quality_rules,
+    ranked_search,
     simhash,
     substring_dedup,
+    token_counts,
     token_output,
 )
 
@@ -80,6 +83,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(common.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_output": op2_token_output,
@@ -91,6 +106,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_counts": op13_token_counts,
     "language_id_pages": language_id_pages,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,5 +174,29 @@ a as (select r, count(*) filter (base) as n_base, min(beginning) filter (base) a
 select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score, coalesce(n_spans, 0)::bigint as n_spans
 from d left join a using (r)"""
 
+OP11_SQL = f"""with d as (select row_number() over () as r, doc_id, {PLAIN} as ws from documents), n as (select count(*) as n, sum(len(ws))::bigint as l from d where len(ws) > 0),
+b as (select row_number() over () as q, item_id, {PLAIN} as ws from benchmark), qt as (select q, term, count(*) as times from (select q, unnest(ws) as term from b) group by all),
+tf as (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) where term in (select term from qt) group by all),
+w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, n group by term, n),
+m as (select r, doc_id, 100 - {ranked_search.PRICE} + ({ranked_search.PRICE} * len(ws)::bigint * n) // l as m from d, n where len(ws) > 0),
+s as (select q, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from qt join tf using (term) join w using (term) join m using (r) group by q, r),
+k as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id asc nulls last) as rank from s join m using (r) where score > 0)
+select item_id, rank::int as rank, doc_id, score from k join b using (q) where rank <= {ranked_search.BEST}"""
+
+LETTER_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {LETTER_WORDS} as ws from documents),
+w as (select r, lang, source, unnest(ws) as term from d), g as (select distinct lang, source from d),
+k as (select lang, term, count(*) as total from w group by lang, term having count(distinct r) >= {divergence.LEAST}),
+c as (select lang, source, term, count(*) as c from w join k using (lang, term) group by all),
+v as (select lang, count(*) as v, sum(total) as n from k group by lang), gn as (select lang, source, sum(c) as n from c group by all),
+p as (select lang, source, term, coalesce(c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c, 0) + 5)) // (coalesce(gn.n, 0) + 5 * v) as p, 1 + (1000000000::hugeint * (total + 5)) // (v.n + 5 * v) as q
+  from g join k using (lang) join v using (lang) left join c using (lang, source, term) left join gn using (lang, source)),
+f as (select a.lang as lang, a.source as source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+o as (select * from pairs union all select lang, source, 'term', term, (p - q)::bigint from p where c > 0 and p > q),
+k2 as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from o)
+select lang, source, part, item, value, rank::int as rank from k2 where part = 'pair' or rank <= {divergence.TOP}"""
+
 #: The others are trained models, connected components, schedules and encodings, which SQL can't state.
-ORACLES: dict = {"op3_license_scan": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES: dict = {"op11_ranked_search": OP11_SQL, "op12_source_divergence": OP12_SQL, "op3_license_scan": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op9_quality_rules": OP9_SQL}
