@@ -34,6 +34,9 @@ class Tables:
     ambiguities: DataFrame
     pages: DataFrame
     lines: DataFrame
+    #: What came of a second reading, for each table, and what was left out of it; none before one.
+    outcomes: DataFrame | None = None
+    rejected: DataFrame | None = None
 
 
 def title_of(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,7 +149,7 @@ def extract(words: DataFrame, rules: DataFrame, pages: DataFrame, seed: float =
     first = F.struct("page", "entry_ix")
     table_rows = row_ids.groupBy(*TABLE, F.col("row_id").alias("id")).agg(F.min(first).alias("at"), *[F.min_by(c, first).alias(c) for c in ("label", "kind", "category")])
     table_rows = cut(table_rows.withColumn("ord", F.row_number().over(Window.partitionBy(*TABLE).orderBy("at")) - 1).drop("at"))
-    table_cols = cols.groupBy(*TABLE, "id").agg(*[F.min_by(c, F.struct("page", "band_ix")).alias(c) for c in ("label", "visit_number", "study_day", "study_week", "visit_window", "page", "ruled", "band_ix")])
+    table_cols = cols.groupBy(*TABLE, "id").agg(*[F.min_by(c, F.struct("page", "band_ix")).alias(c) for c in ("label", "path", "visit_number", "study_day", "study_week", "visit_window", "page", "ruled", "band_ix")])
     dividers = _dividers(split, cols)
     cells_ = K.divide(cells_, dividers.select(*TABLE, "col_id", "timed"), TABLE)
     renamed = dividers.where("not timed").select(*TABLE, F.col("col_id").alias("id"), F.col("text").alias("divides"))
@@ -164,7 +167,8 @@ def extract(words: DataFrame, rules: DataFrame, pages: DataFrame, seed: float =
     findings = cut(confidence.findings(table_cols, table_rows, cells_, targets))
     ruled = adopted.groupBy(*TABLE).agg(F.bool_and("use_drawn").alias("rows_are_ruled"))
     judged = confidence.assess(table_cols, findings).join(titles, TABLE, "left").join(ruled, TABLE, "left").withColumn("rows_are_ruled", F.coalesce("rows_are_ruled", F.lit(False)))
-    return Tables(found, table_cols, table_rows, cells_, notes, targets, findings, judged, cut(doubts), read.select(*TABLE, F.explode("pages").alias("page")), lines)
+    own_pages = read.select(*TABLE, F.explode("pages").alias("page")).join(pages.select(*page_keys, *[c for c in ("width", "height", "rotated") if c in pages.columns]), page_keys, "left")
+    return Tables(found, table_cols, table_rows, cells_, notes, targets, findings, judged, cut(doubts), own_pages, lines)
 
 
 def _text(part: str) -> Column:
@@ -284,7 +288,7 @@ def _dividers(split: DataFrame, cols: DataFrame) -> DataFrame:
     return met.groupBy(*TABLE, F.col("id").alias("col_id")).agg(F.bool_or("timed").alias("timed"), F.min_by("text", F.struct("page", "run_ix")).alias("text"), F.min("page").alias("page"))
 
 
-def _column_texts(cols: DataFrame) -> DataFrame:
+def column_texts(cols: DataFrame) -> DataFrame:
     """The label and the facts of each column, one row each."""
     return cols.select(*TABLE, "id", F.explode(F.array_compact(F.array("label", "visit_number", "study_day", "study_week", "visit_window"))).alias("text")).where("text != ''")
 
@@ -292,7 +296,7 @@ def _column_texts(cols: DataFrame) -> DataFrame:
 def _notes(lines: DataFrame, extent: DataFrame, table_rows: DataFrame, cells_: DataFrame, cols: DataFrame) -> DataFrame:
     """Footnotes below the grids of a table's pages and on its pages without one."""
     texts = table_rows.select(*TABLE, F.col("label").alias("text"), F.lit(False).alias("whole")).unionByName(cells_.select(*TABLE, F.col("value").alias("text"), F.lit(True).alias("whole")))
-    texts = texts.unionByName(_column_texts(cols).select(*TABLE, "text", F.lit(False).alias("whole"))).unionByName(cells_.select(*TABLE, F.explode("markers").alias("text"), F.lit(True).alias("whole")))
+    texts = texts.unionByName(column_texts(cols).select(*TABLE, "text", F.lit(False).alias("whole"))).unionByName(cells_.select(*TABLE, F.explode("markers").alias("text"), F.lit(True).alias("whole")))
     known = footnotes.plausible_markers(texts, TABLE).groupBy(*TABLE).agg(F.array_sort(F.collect_set("marker")).alias("plausible"))
     below = lines.join(extent.select(*KEYS, "last_y"), KEYS, "left").where(F.col("last_y").isNull() | (F.col("top") > F.col("last_y"))).join(known, TABLE, "left").withColumn("plausible", F.coalesce("plausible", F.array().cast("array<string>")))
     found = footnotes.segments(below.select(*KEYS, "plausible", "line_ix", F.col("top").alias("y"), F.col("height").alias("h"), "text"), KEYS)
@@ -320,7 +324,7 @@ def _targets(notes: DataFrame, table_rows: DataFrame, cells_: DataFrame, cols: D
     in_cells = footnotes.links(cells_, markers, TABLE).unionByName(cells_.select(*TABLE, "row_id", "col_id", F.explode("markers").alias("marker")).join(markers, [*TABLE, "marker"], "left_semi").select(*TABLE, "row_id", "col_id", "marker"))
     in_rows = footnotes.link_trailing(table_rows.select(*TABLE, F.lit("row").alias("target"), "id", F.col("label").alias("text")), markers, TABLE).select(*TABLE, F.col("id").alias("row_id"), "marker")
     in_rows = in_rows.unionByName(raised.join(markers, [*TABLE, "marker"], "left_semi").select(*TABLE, "row_id", "marker"))
-    in_cols = footnotes.link_trailing(_column_texts(cols).withColumn("target", F.lit("column")), markers, TABLE).select(*TABLE, F.col("id").alias("col_id"), "marker")
+    in_cols = footnotes.link_trailing(column_texts(cols).withColumn("target", F.lit("column")), markers, TABLE).select(*TABLE, F.col("id").alias("col_id"), "marker")
     return footnotes.applies_to(notes, in_rows, in_cells, TABLE, in_cols)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gridframe.plans import fixture_queries, page_queries
+from gridframe.plans import fixture_queries, page_queries, review_queries
 
 
 def _modules() -> list:
-    return [page_queries, fixture_queries]
+    return [page_queries, fixture_queries, review_queries]
 
 
 def queries() -> dict[str, Callable]:

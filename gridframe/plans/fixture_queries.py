@@ -440,16 +440,6 @@ def restore_dividers(spark):
     return reconcile.restore_dividers(X.REVIEWED.frame(spark), X.DIVIDERS.frame(spark)).withColumn("ord", F.col("ord").cast("long"))
 
 
-@query("restore_cells")
-def restore_cells(spark):
-    return reconcile.restore_cells(X.R_ROWS.frame(spark), X.G_CELLS.frame(spark), X.R_COLUMNS.frame(spark), X.R_CELLS.frame(spark))
-
-
-@query("settled_notes")
-def settled_notes(spark):
-    return reconcile.settled(X.ADMISSIONS.frame(spark), X.PRESENT.frame(spark)).select("note_ix")
-
-
 @query("review_accepted", """select 'a' as doc_id, 0 as cand, true as accepted union all select 'b', 0, false""")
 def review_accepted(spark):
     reviewed = spark.sql("select * from values ('a', 0, 5, 11, 9), ('b', 0, 5, 11, 3) as t(doc_id, cand, n_cols, n_rows, n_named)")

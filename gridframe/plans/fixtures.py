@@ -205,19 +205,6 @@ SPLIT_ROWS = Fixture("doc_id string, cand int, ord int, label string, n_cells in
 
 DRAWN_LABELS = Fixture("doc_id string, cand int, label string", [("a", 0, "Physical examination"), ("a", 0, "medication review"), ("a", 0, "Concomitant medication review"), ("b", 0, "Physical examination")])
 
-ADMISSIONS = Fixture("doc_id string, cand int, note_ix int, note string", [
-    ("a", 0, 0, "Could not read the column Follow-up visit"), ("a", 0, 1, "The heading is unclear near pregnancy test of urine or serum"), ("a", 0, 2, "Two tables were found"), ("a", 0, 3, "Unable to place the mark"),
-])
-
-PRESENT = Fixture("doc_id string, cand int, label string", [("a", 0, "Follow-up visit"), ("a", 0, "Pregnancy test (serum or urine) local"), ("a", 0, "Labs")])
-
-R_ROWS = Fixture("doc_id string, cand int, row_ix int, row_id string, label string", [("a", 0, 0, "r1", "Dosing"), ("a", 0, 1, "r2", "Physical examination (brief)"), ("a", 0, 2, "r3", "Dosing")])
-G_CELLS = Fixture("doc_id string, cand int, ord int, row_label string, col_key string, value string", [
-    ("a", 0, 0, "DOSING", "1", "Weekly dosing"), ("a", 0, 1, "Dosing", "1", "again weekly"), ("a", 0, 2, "Physical examination", "2", "Prior to Day 4"), ("a", 0, 3, "Dosing", "2", "X"), ("a", 0, 4, "Dosing", "3", "monthly"), ("a", 0, 5, "Other", "1", "daily"),
-])
-R_COLUMNS = Fixture("doc_id string, cand int, col_ix int, col_id string, col_key string", [("a", 0, 0, "c0", "1"), ("a", 0, 1, "c1", "2"), ("a", 0, 2, "c2", "2"), ("a", 0, 3, "c3", "3")])
-R_CELLS = Fixture("doc_id string, cand int, row_id string, col_id string", [("a", 0, "r1", "c3")])
-
 USAGE = Fixture("use_ix int, model string, tokens_in long, tokens_out long", [(1, "large", 41250, 18844), (2, "medium", 40000, 4501), (3, "small", 1, 1), (4, "unknown", 10, 10)])
 #: Dollars per million tokens in and out.
 RATES = Fixture("model string, rate_in double, rate_out double", [("large", 5, 25), ("medium", 2, 10), ("small", 1, 5)])
