@@ -148,7 +148,9 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, tile: int = TILE,
     # One row per group, with its language's numbers: sources, kept terms, tiles of either kind, blocks of sources.
     per_lang = counts.where("term = ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n_sources"))
     heavy = F.col("having") * MANY >= F.col("n_sources")
-    shares = vocabulary.join(per_lang, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("in_lang").alias("lang_total"), F.sum(heavy.cast("long")).alias("n_heavy"))
+    # Terms are counted by the number of their sources before they meet their language's row.
+    shares = vocabulary.groupBy("lang", "having").agg(F.count(F.lit(1)).alias("n"), F.sum("in_lang").alias("in_lang")).join(per_lang, "lang")
+    shares = shares.groupBy("lang").agg(F.sum("n").alias("n_kept"), F.sum("in_lang").alias("lang_total"), F.sum(F.when(heavy, F.col("n")).otherwise(0)).alias("n_heavy"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.where("term = ''").select("lang", "source").join(per_lang, "lang").join(shares, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0)
     up = lambda n, size: F.ceil(n / size).cast("long")
