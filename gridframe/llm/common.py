@@ -79,11 +79,21 @@ def remove_scratch(spark: SparkSession, begin: int, end: int) -> None:
     del _paths[begin:end]
 
 
+#: With it, the shuffle files of a query go when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: lineage ends there and lost executors cost nothing."""
+    """``df`` as a table written to the shared folder: lineage ends there and lost executors cost nothing.  What was
+    shuffled for it is removed, since only the table is read from then on.
+    """
     spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
+    path, before = scratch(spark, what), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -169,25 +169,36 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, in
 
 def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """Links between set hashes that leave no two similar sets unconnected."""
-    # Copies with the same set repeat its entries, which changes no result: only different sets are ever compared.
-    entries = rows.select("h", F.explode("prefix").alias("key"), F.col("n").cast("int").alias("n"))
     # One row stands for each set.
-    heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "fp", "n", "sketch")).alias("r")).select("h", "r.*")
+    heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "fp", "n", "sketch", "prefix")).alias("r")).select("h", "r.*")
     heads = common.written(heads, "near-heads")
-    texts = common.written(compressed(docs).join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).select("h", "packed").dropDuplicates(["h"]), "near-texts")
+    # Equal rows of ``docs`` are dropped where the join has put them together.
+    texts = common.written(compressed(docs).join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).dropDuplicates(["place", "text_hash"]).select("h", "packed"), "near-texts")
     shape = heads.select("h", F.struct("n", "sketch").alias("shape"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the pairs (u, v), those that are similar enough."""
         met = pairs.distinct().join(shape.select(F.col("h").alias("u"), F.col("shape").alias("a")), "u").join(shape.select(F.col("h").alias("v"), F.col("shape").alias("b")), "v")
-        return common.written(verified(met.where(may_reach("a", "b", share)).select("u", "v"), texts, size, share), "near-links")
+        # Written before texts meet them, so that what was shuffled to find the pairs is gone by then.
+        some = common.written(met.where(may_reach("a", "b", share)).select("u", "v"), "near-pairs")
+        return common.written(verified(some, texts, size, share), "near-links")
 
-    def apart(found: DataFrame, among: DataFrame) -> DataFrame:
-        """The entries of keys whose sets aren't all connected yet, with the component of each."""
+    def in_parts(found: DataFrame, of: DataFrame) -> DataFrame:
+        """``of`` with the component of each set so far, ``part``."""
         parts = common.written(components(found), "near-parts")
-        now = among.select("h", "key", "n").join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", "key", "n", F.coalesce("component", "h").alias("part"))
-        mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-        return common.written(now.join(mixed, "key", "left_semi"), "near-apart")
+        return of.join(parts.withColumnsRenamed({"node": "h", "component": "part"}), "h", "left").withColumn("part", F.coalesce("part", "h"))
+
+    def apart(entries: DataFrame) -> DataFrame:
+        """The entries of keys whose sets aren't all connected yet, each with the set ``one`` of its key: the least by a
+        hash of the set that is the key's own.
+        """
+        first = F.min(F.struct(F.xxhash64("h", "key").alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"))).alias("first")
+        mixed = entries.groupBy("key").agg(first, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.one", "first.one_part", "first.m")
+        return common.written(entries.join(mixed, "key"), "near-apart")
+
+    def to_one(now: DataFrame) -> DataFrame:
+        """The entries' sets with their keys' one, where they aren't connected and their sizes allow it."""
+        return now.where((F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share)).select(F.col("h").alias("u"), F.col("one").alias("v"))
 
     # The SimHash operator's links, by one set for each fingerprint, and the sets of one fingerprint.
     one = common.written(heads.groupBy("fp").agg(F.min("h").alias("one")), "near-prints")
@@ -196,12 +207,16 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
     same = heads.join(one, "fp").where("h != one").select(F.col("h").alias("u"), F.col("one").alias("v"))
     found = similar(wide.unionByName(same))
 
-    least = entries.groupBy("key").agg(F.min(F.struct(F.col("h").alias("one"), F.col("n").alias("m"))).alias("first"), F.max("h").alias("most")).where("first.one != most").select("key", "first.one", "first.m")
-    found = found.unionByName(similar(entries.join(least, "key").where((F.col("h") != F.col("one")) & sizes_fit(F.col("n"), F.col("m"), share)).select(F.col("h").alias("u"), F.col("one").alias("v"))))
-    now = apart(found, entries)
-    own = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", "key").alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"))).alias("first")).select("key", "first.one", "first.one_part", "first.m")
-    found = found.unionByName(similar(now.join(own, "key").where((F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share)).select(F.col("h").alias("u"), F.col("one").alias("v"))))
-    now = apart(found, now).select("h", "key", "part").distinct().join(shape, "h")
+    # What is connected carries its component into its entries, so entries are shuffled by their key alone; from then
+    # on only those of keys with several components are left.
+    entries = in_parts(found, heads.select("h", "n", "prefix")).select("h", F.col("n").cast("int").alias("n"), "part", F.explode("prefix").alias("key"))
+    # The first time, the least set of all: it is the same for most keys of a crowd.
+    least = entries.groupBy("key").agg(F.min(F.struct(F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"))).alias("first"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.*")
+    now = common.written(entries.join(least, "key"), "near-apart")
+    found = found.unionByName(similar(to_one(now)))
+    now = apart(in_parts(found, now.select("h", "key", "n")))
+    found = found.unionByName(similar(to_one(now)))
+    now = apart(in_parts(found, now.select("h", "key", "n"))).select("h", "key", "part").join(shape, "h")
     # Sizes that the similarity allows are in the same class or in neighbouring ones.
     of_size = F.floor(F.log(F.greatest(F.col("shape.n"), F.lit(1))) / F.log(F.lit(share[1] / share[0])))
     a = now.select("key", "h", "part", "shape", F.explode(F.array(of_size - 1, of_size, of_size + 1)).alias("class")).alias("a")
