@@ -10,17 +10,22 @@ last three aren't trusted as given: grouped aggregation over all rows of what th
 From each of these sums a row's own vote is taken out before they judge it.  The posterior is the product.  A row is
 rejected when it has no letter, or when its best language's posterior is below ``least`` or isn't wanted.
 
-The text model is trained on a bounded sample: at most ``SAMPLE`` rows of each declared language, those with the
-least hashes, counted where they are: only sums by language and trigram class reach the driver.  Every declared
-language is a candidate.  The model is a table of trigram classes x languages of at most ``MODEL`` numbers: 65,536
-classes up to 1,024 languages, coarser ones beyond.  In a documents table the declaration is the column that also
-names the training rows; it is weighed by how often the texts agree with it.
+The text model is trained on a bounded sample: at most ``SAMPLE`` rows of each candidate language, those with the
+least hashes, counted where they are: only sums by language and trigram class reach the driver.  Candidates are the
+declared languages of at least ``LEAST_ROWS`` rows with a text, the ``LANGUAGES`` with most rows of them, so the table of
+``FEATURES`` trigram classes x languages has at most 2**25 numbers, and tags that hardly any row has cost nothing.  A row
+whose declared language has no model isn't rejected for it: where no candidate reaches ``least``, it is of the language
+that it declares.  In a documents table the declaration is the column that also names the training rows; it is weighed
+by how often the texts agree with it.
+
+A row carries the languages that are within ``NEAR`` of its likeliest one by the text (in natural logarithms), as pairs,
+and only these can be its language; sums by group are sums of such pairs.
 
 Inputs: null and empty texts have no letter and are rejected, as are texts of digits, signs, emoji and the like; very
 long texts are read whole, and the weight of their words is damped; of languages with equal posteriors the first by
 name is taken; a null declaration, suffix or host is a value of its own; rows that share an id, or are equal, are
-separate rows; an empty table gives no rows, and without any declared language in the sample every row is rejected;
-other columns are ignored.
+separate rows; an empty table gives no rows, and without a candidate rows with a letter keep the language that they
+declare, while others are rejected; other columns are ignored, and kept by ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -37,10 +42,12 @@ from pyspark.sql import functions as F
 
 from gridframe.llm import common
 
-#: Rows of each declared language that train the model, at most; trigram classes; numbers of the whole table.
-SAMPLE = 500
+#: Rows of each candidate that train the model, at most; the rows that make a candidate, and most candidates; classes.
+SAMPLE, LEAST_ROWS, LANGUAGES = 500, 4, 512
 FEATURES = 1 << 16
-MODEL = 1 << 26
+
+#: How far behind the likeliest language by its text a row's languages may be, and the least share that is summed.
+NEAR, LEAST_SHARE = 30.0, 1e-6
 
 #: A word's likelihoods aren't independent of the next word's: their sum is damped by this many words.
 DAMP = 40.0
@@ -84,20 +91,15 @@ def trigrams(words: list[bytes], features: int, signs: Signs) -> tuple[np.ndarra
     return (mixed % np.uint64(features)).astype(np.int64), np.bincount(word[middle], minlength=len(words))[: len(words)]
 
 
-def features_for(languages: int) -> int:
-    """A power of two, so that the whole table has at most MODEL numbers."""
-    return min(FEATURES, 1 << max(0, (MODEL // max(1, languages)).bit_length() - 1))
-
-
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """declared and text of at most ``per_language`` rows for each declared language.
+    """declared and text of at most ``per_language`` rows for each candidate language.
 
     A language's rows are thinned by their hash to about twice what is wanted before any is ranked, so what meets
     in one task is bounded by the sample, whatever the table's size.
     """
     named = docs.where("declared is not null and declared != '' and text != ''")
-    counts = named.groupBy("declared").agg(F.count(F.lit(1)).alias("of"))
-    # One row for each declared language.
+    counts = named.groupBy("declared").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= LEAST_ROWS).orderBy(F.desc("of"), "declared").limit(LANGUAGES)
+    # One row for each candidate.
     hashed = named.withColumn("h", F.xxhash64("row_id", "text")).join(F.broadcast(counts), "declared")
     thin = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * per_language) / F.col("of") * float(1 << 30))
     place = F.row_number().over(Window.partitionBy("declared").orderBy("h"))
@@ -109,7 +111,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.nd
     common.tune(docs.sparkSession)
     picked = common.written(sample(docs, per_language), "language-sample")
     names = sorted(r["declared"] for r in picked.select("declared").distinct().collect())
-    features = features_for(len(names))
+    features = FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = Signs()
@@ -130,7 +132,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.nd
     for row in counts.groupBy("declared").agg(F.collect_list("class").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
         table[np.array(row["at"], np.int64), names.index(row["declared"])] = row["n"]
     table += 0.1
-    return names, np.log(table / table.sum(axis=0, dtype=np.float64)).astype(np.float32)
+    for i in range(table.shape[1]):  # one language after the other, so that no second table of doubles is made
+        table[:, i] = np.log(table[:, i] / table[:, i].sum(dtype=np.float64))
+    return names, table
 
 
 class Likelihoods(dict):
@@ -200,10 +204,16 @@ class Model:
         return self.met
 
 
-def text_evidence(rows: DataFrame, table: np.ndarray, entities: bool) -> DataFrame:
-    """row columns without the text, with the number of words with a letter and the log likelihood of each language.
+def pairs(at: list[np.ndarray], values: list[np.ndarray], name: str) -> pa.ListArray:
+    """Lists of (language, value) structs."""
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *at]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0), *values]))], names=["l", name])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), flat)
+
 
-    With ``entities``, character entities of markup are decoded first.
+def text_evidence(rows: DataFrame, table: np.ndarray, entities: bool) -> DataFrame:
+    """row columns without the text, with the number of words with a letter, the log likelihoods of the languages near
+    the likeliest (``likely``), and what the text says: their shares that count (``said``).  Both are empty without a
+    letter.  With ``entities``, character entities of markup are decoded first.
     """
     shared = rows.sparkSession.sparkContext.broadcast(Model(table))
 
@@ -213,76 +223,74 @@ def text_evidence(rows: DataFrame, table: np.ndarray, entities: bool) -> DataFra
             texts = common.texts(batch)
             if entities:
                 texts = [html.unescape(t.decode()).encode("utf-8", "replace") if b"&" in t else t for t in texts]
-            found = [model.of(t) for t in texts]
+            found, near, logs, told, shares = [], [], [], [], []
+            for n, x in map(model.of, texts):
+                found.append(n)
+                x = x.astype(np.float64) - x.max()
+                p = np.exp(x)
+                p /= p.sum()
+                near.append(np.flatnonzero(x >= -NEAR) if n else np.zeros(0, np.int64))
+                logs.append(x[near[-1]])
+                told.append(np.flatnonzero(p >= LEAST_SHARE) if n else np.zeros(0, np.int64))
+                shares.append(p[told[-1]])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "text_key", "declared", "suffix", "host")], pa.array([n for n, _ in found], pa.int64()), pa.array([x.tolist() for _, x in found], pa.list_(pa.float32()))],
-                names=["row_id", "text_key", "declared", "suffix", "host", "n_lexical", "likelihood"],
+                [*[batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "text_key", "declared", "suffix", "host")], pa.array(found, pa.int64()), pairs(near, logs, "v"), pairs(told, shares, "p")],
+                names=["row_id", "text_key", "declared", "suffix", "host", "n_lexical", "likely", "said"],
             )
 
-    return rows.select("row_id", F.xxhash64("text").alias("text_key"), "declared", "suffix", "host", "text").mapInArrow(run, "row_id long, text_key long, declared string, suffix string, host string, n_lexical long, likelihood array<float>")
-
+    return rows.select("row_id", F.xxhash64("text").alias("text_key"), "declared", "suffix", "host", "text").mapInArrow(run, "row_id long, text_key long, declared string, suffix string, host string, n_lexical long, likely array<struct<l:int,v:double>>, said array<struct<l:int,p:double>>")
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-
-def normalised(logs: Column) -> Column:
-    """Probabilities from an array of logarithms."""
-    shares = lambda powers: common.let(total(powers), lambda s: F.transform(powers, lambda p: p / s))
-    raised = lambda logs: common.let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp((x - top).cast("double"))))
-    return common.let(common.let(logs, raised), shares)
-
-
-def smoothed(counts: Column, prior: Column, strength: float) -> Column:
-    """Shares of the counts, with ``strength`` more that are dealt as the prior says."""
-    return common.let(counts, lambda c: common.let(total(c) + strength, lambda n: F.zip_with(c, prior, lambda x, p: (x + strength * p) / n)))
-
-
-def _sums(of: DataFrame, n: int, *by: str) -> DataFrame:
-    """Soft counts of each language by a group: partial sums leave the tasks, so a host of any size is cheap."""
-    return of.groupBy(*by).agg(F.array(*[F.sum(F.get("said", F.lit(i))) for i in range(n)]).alias("counts"))
+def _sums(said: DataFrame, name: str, *by: str) -> DataFrame:
+    """Soft counts by a group, a map of its languages (``name``), and their total (``name``_total): partial sums leave
+    the tasks, so a host of any size is cheap, and a group holds the languages that it has.
+    """
+    sums = said.groupBy(*by, "l").agg(F.sum("p").alias("p"))
+    return sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("l", "p"))).alias(name), F.sum("p").alias(f"{name}_total"))
 
 
 def identify(rows: DataFrame, names: list[str], table: np.ndarray, strength: float = 20.0, least: float = 0.7, wanted: list[str] | None = None, entities: bool = False) -> DataFrame:
     """row_id, text_key, lang, posterior, text_lang, n_lexical, kept of each row of (row_id, text, declared, suffix, host)."""
-    n = len(names)
-    if not n:
-        return rows.select("row_id", F.xxhash64("text").alias("text_key"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(0).cast("long").alias("n_lexical"), F.lit(False).alias("kept"))
+    n = max(1, len(names))
     filled = rows.select("row_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "declared", "suffix", "host")])
-    seen = text_evidence(filled, table, entities)
-    nothing = F.array(*[F.lit(0.0)] * n)
+    seen = common.written(text_evidence(filled, table, entities), "language-evidence")
     # Only rows with letters say something about their group.
-    seen = common.written(seen.withColumn("said", F.when(F.col("n_lexical") > 0, normalised(F.col("likelihood"))).otherwise(nothing)), "language-evidence")
-    said = seen.where("n_lexical > 0")
-    corpus = said.agg(F.array(*[F.coalesce(F.sum(F.get("said", F.lit(i))), F.lit(0.0)) for i in range(n)]).alias("counts")).first()["counts"]
-    whole = F.array(*[F.lit((c + strength / n) / (sum(corpus) + strength)) for c in corpus])
-    suffixes = _sums(said, n, "suffix").withColumnRenamed("counts", "by_suffix")
-    hosts = _sums(said, n, "host", "suffix").withColumnRenamed("counts", "by_host").join(suffixes, "suffix")
-    declared = _sums(said, n, "declared").withColumnRenamed("counts", "by_declared")
+    said = seen.select("declared", "suffix", "host", F.explode("said").alias("s")).select("declared", "suffix", "host", "s.l", "s.p")
+    sums = {r["l"]: r["p"] for r in said.groupBy("l").agg(F.sum("p").alias("p")).collect()}
+    corpus = [sums.get(i, 0.0) for i in range(n)]
+    suffixes = _sums(said, "by_suffix", "suffix")
+    hosts = _sums(said, "by_host", "host", "suffix").join(suffixes, "suffix")
+    declared = _sums(said, "by_declared", "declared").drop("by_declared_total")
     # One host or declaration may have a third of the rows.
     joined = common.join_by_key(seen, hosts, ["host", "suffix"], "left")
     joined = common.join_by_key(joined, declared, ["declared"], "left", counted=seen)
-    others = lambda c: F.zip_with(F.coalesce(F.col(c), nothing), F.col("said"), lambda x, own: F.greatest(x - own, F.lit(0.0)))
-    prior = smoothed(others("by_host"), smoothed(others("by_suffix"), whole, strength), strength)
-    # P(declared | language): the share of each language's soft counts that has the declaration.
-    each = F.zip_with(F.array(*[F.lit(c) for c in corpus]), F.col("said"), lambda x, own: F.greatest(x - own, F.lit(0.0)) + strength)
-    given = F.when(F.col("declared") == "", F.transform(nothing, lambda x: x + 1.0)).otherwise(F.zip_with(others("by_declared"), each, lambda c, t: (c + 0.5) / t))
-    fused = F.zip_with(F.zip_with("likelihood", prior, lambda a, p: a + F.log(p)), given, lambda a, p: a + F.log(p))
-    labels = F.array(*[F.lit(x) for x in names])
-    best = lambda p: F.struct(F.array_max(p).alias("posterior"), (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("at"))
-    out = joined.select("row_id", "text_key", "n_lexical", "likelihood", common.let(normalised(fused), best).alias("best")).select("*", "best.posterior", "best.at")
-    pick = lambda a: F.get(labels, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    lang = F.when(F.col("n_lexical") > 0, F.get(labels, F.col("at")))
+
+    def fused(c: Column) -> Column:
+        """A language's logarithm: its likelihood, its prior at the host, and how it goes with the declaration, each
+        without the row's own vote.
+        """
+        own = F.coalesce(F.get(F.filter("said", lambda s: s["l"] == c["l"]), F.lit(0))["p"], F.lit(0.0))
+        of = lambda name: F.greatest(F.coalesce(F.try_element_at(F.col(name), c["l"]), F.lit(0.0)) - own, F.lit(0.0))
+        total = lambda name: F.greatest(F.coalesce(F.col(f"{name}_total"), F.lit(0.0)) - F.col("own_total"), F.lit(0.0)) + strength
+        whole = F.get(F.lit([(x + strength / n) / (sum(corpus) + strength) for x in corpus]), c["l"])
+        prior = (of("by_host") + strength * (of("by_suffix") + strength * whole) / total("by_suffix")) / total("by_host")
+        # P(declared | language): the share of the language's soft counts that has the declaration.
+        every = F.greatest(F.get(F.lit(corpus), c["l"]) - own, F.lit(0.0)) + strength
+        given = F.when(F.col("declared") == "", F.lit(1.0)).otherwise((of("by_declared") + 0.5) / every)
+        return F.struct((c["v"] + F.log(prior) + F.log(given)).alias("v"), (-c["l"]).alias("l"))
+
+    joined = joined.withColumn("own_total", F.aggregate("said", F.lit(0.0), lambda a, s: a + s["p"]))
+    best = lambda logs: common.let(F.array_max(logs), lambda top: F.struct(F.try_divide(F.lit(1.0), F.aggregate(logs, F.lit(0.0), lambda a, c: a + F.exp(c["v"] - top["v"]))).alias("posterior"), (-top["l"]).alias("at")))
+    by_text = -F.array_max(F.transform("likely", lambda c: F.struct(c["v"].alias("v"), (-c["l"]).alias("l"))))["l"]
+    out = joined.select("row_id", "text_key", "declared", "n_lexical", by_text.alias("by_text"), common.let(F.transform("likely", fused), best).alias("best"))
+    labels = F.lit(names) if names else F.array(F.lit(None).cast("string"))
+    lettered = F.col("n_lexical") > 0
+    posterior = F.when(lettered & F.lit(bool(names)), F.col("best.posterior")).otherwise(0.0)
+    own_word = lettered & (F.col("declared") != "") & (~F.col("declared").isin(names) if names else F.lit(True)) & (posterior < least)
+    lang = F.when(own_word, F.col("declared")).when(lettered, F.get(labels, F.col("best.at")))
     known = F.lit(True) if wanted is None else lang.isin(*wanted)
-    return out.select(
-        "row_id",
-        "text_key",
-        lang.alias("lang"),
-        F.when(F.col("n_lexical") > 0, F.col("posterior")).otherwise(0.0).alias("posterior"),
-        F.when(F.col("n_lexical") > 0, pick(F.col("likelihood"))).alias("text_lang"),
-        "n_lexical",
-        F.coalesce((F.col("n_lexical") > 0) & (F.col("posterior") >= least) & known, F.lit(False)).alias("kept"),
-    )
+    kept = F.coalesce(lettered & (own_word | (posterior >= least)) & known, F.lit(False))
+    return out.select("row_id", "text_key", lang.alias("lang"), posterior.alias("posterior"), F.when(lettered, F.get(labels, F.col("by_text"))).alias("text_lang"), "n_lexical", kept.alias("kept"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
@@ -323,7 +331,7 @@ def kept_documents(docs: DataFrame, least: float = 0.7, wanted: list[str] | None
     """``docs`` without the rows that are rejected; a row is known by its id and its text."""
     gone = documents(docs, least, wanted).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_text")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(text) == gone["gone_text"]), "left_anti")
 
 
 def pages(web: DataFrame, docs: DataFrame, least: float = 0.7) -> DataFrame:

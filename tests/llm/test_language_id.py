@@ -68,9 +68,26 @@ def test_a_row_has_no_vote_in_its_own_prior(spark):
     assert abs(got[900]["posterior"] - got[901]["posterior"]) < 1e-9
 
 
-def test_the_model_has_a_bound():
-    assert li.features_for(4) == li.features_for(1024) == 65536 and li.features_for(1025) == 32768
-    assert all(li.features_for(n) * n <= li.MODEL for n in (1, 7, 3000, 50_000, 10_000_000))
+def test_junk_tags_cost_nothing_and_reject_nothing(spark):
+    """Tags that only a row or two have: their rows are judged by the candidates, or keep the language they declare."""
+    docs = [(i, t, d, h) for i, t, d, h, _ in rows()]
+    junk = [(10_000 + i, t, f"junk{i % 100_000:05d}", h) for i, (t, h) in enumerate((r[1], r[3]) for _ in range(420) for r in docs)][:100_000]
+    odd = [(900_000, "zq", "tlh", "lonely"), (900_001, "zq", None, "lonely"), (900_002, "12", "tlh", "lonely")]
+    frame = spark.createDataFrame(docs + junk + odd, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in li.documents(frame).collect()}
+    truth = {i: lang for i, _, _, _, lang in rows()}
+    assert len(got) == len(docs) + len(junk) + 3 and li.train(li.of_documents(frame))[0] == ["de", "en", "fr"]
+    assert sum(got[10_000 + i]["lang"] == truth[i % 240] for i in range(2400)) > 2350 and all(got[i]["kept"] for i, *_ in junk)
+    assert got[900_000]["kept"] and got[900_000]["lang"] in ("tlh", "de", "en", "fr") and not got[900_002]["kept"]
+    few = frame.where("doc_id >= 900000")
+    assert {r["doc_id"]: (r["lang"], r["kept"]) for r in li.documents(few).collect()} == {900_000: ("tlh", True), 900_001: (None, False), 900_002: (None, False)}
+
+
+def test_clashing_columns_stay(spark):
+    data = [(i, t, d, h, i, "x") for i, t, d, h, _ in rows()]
+    frame = spark.createDataFrame([*data, (999, "12 34", "en", "h-en", 1, "y")], "doc_id long, text string, lang string, source string, gone_id long, gone_text string")
+    kept = li.kept_documents(frame)
+    assert kept.columns == frame.columns and kept.where("doc_id = 999").count() == 0 and kept.count() > 200
 
 
 def test_trigrams_are_those_of_each_word_alone():
