@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: White space as printed text has it: Java's \s leaves out the no-break and typographic spaces.
 SPACE = "[\\s   -     　﻿]+"
 
+#: Fixed values; alternatives of single signs are written as classes of signs, which match the same.
 CELL_MARK = r"(?i)^(?:x|\(x\)|\[x\]|[✓✔●•◆■†‡*–—-]|\d{1,2}\s*x|x\s*\d{1,2}|q\d+[wdhm]|b?id|tid|qd|qw|prn|y/n|yes|no|\d{1,3}(?:\.\d+)?)[a-z0-9,)\]*†‡]*$"
 CELL_TOKEN = r"(?i)^(?:x|\(x\)|\[x\]|[✓✔●•◆■†‡§*→←↔–—-]|\d{1,3}(?:[.,]\d+)?|\d{1,2}\s*x|x\s*\d{1,2}|q\d+[wdhm]|b?id|tid|qd|qw|prn|y/n|yes|no|n/a|na)[a-z0-9,./)\]*†‡§¶#\s-]*$"
 FOOTNOTE_LINE = r"(?i)^(?:[a-z]{1,2}|[0-9]{1,2}|[*†‡§¶#]{1,3}|x[a-z]|\([a-z0-9]{1,2}\))\s*[.):=-]?\s+\S"
@@ -24,7 +25,8 @@ TOC_LEADER = r"\.{4,}\s*\d+\s*$"
 TOC_NUMBER = r"\s{3,}\d{1,3}\s*$"
 CROSS_REFERENCE = r"(?i)(^|[^A-Za-z0-9_])(see|refer to|described in|listed in|presented in|shown in)([^A-Za-z0-9_]|$)"
 HEADER_NUMBER = r"^-?\d{1,3}(?:[.,]\d+)?$"
-WORDY_MARK = r"(?i)^(?:prn|tid|bid|yes|daily|once|weekly)"
+#: The marks that are words, whole.
+WORDY_MARK = r"(?i)^(?:b?id|tid|qd|qw|prn|y/n|yes|no|n/a|na)$"
 
 #: Names of the table.
 TITLE_WORDS = [

@@ -111,11 +111,6 @@ def interval_coverage(spark):
     return geometry.interval_cover(X.INTERVALS.frame(spark), ["grp"], "low", "high")
 
 
-@query("mark_predicate", f"select ix, length(text) <= 14 and regexp_matches(text, '{T.CELL_TOKEN}') and (not regexp_matches(text, '[A-Za-z]{{3,}}') or regexp_matches(text, '{T.WORDY_MARK}')) as mark from {X.TOKENS.sql}")
-def mark_predicate(spark):
-    return X.TOKENS.frame(spark).select("ix", rows.is_mark(F.col("text")).alias("mark"))
-
-
 @query("nearest_band", f"""with b as (select *, lead(centre) over (partition by doc_id, page order by band_ix) as c2 from {X.BANDS.sql}), s as (select doc_id, page, c2 - centre as spacing from b where band_ix = 0),
   g as (select p.doc_id, p.page, p.word_ix, b.band_ix, greatest(0.0, b."left" - p.centre, p.centre - b."right") as gap, row_number() over (partition by p.doc_id, p.page, p.word_ix order by greatest(0.0, b."left" - p.centre, p.centre - b."right"), b.band_ix) as n
     from {X.POINTS.sql} p join b on b.doc_id = p.doc_id and b.page = p.page)

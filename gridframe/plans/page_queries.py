@@ -238,7 +238,25 @@ STAR_BANDS = f"""{STAR_MARKS}, steps as (select *, centre - lag(centre) over (pa
 pitch as (select page, coalesce(list_sort(list(step) filter (step > 1))[cast(floor(count(*) filter (step > 1) / 2) as int) + 1], 20.0) as pitch from steps group by page having count(*) >= 4),
 runs as (select s.*, sum(case when step > greatest(5.0, least(pitch * 0.35, 75.0)) then 1 else 0 end) over (partition by page order by centre, w, y rows unbounded preceding) as band_ix from steps s join pitch using (page))"""
 
+#: What stands before a word of the documents to make tokens that begin like marks.
+MARK_HEADS = ["", "x", "yes", "no", "prn", "bid", "tid", "id", "qd", "qw", "na", "n/a", "y/n", "3x", "q2w", "(X)", "✓", "12.5", "Daily"]
+
+
+def mark_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokens are marks: the words of all documents, and their first letters behind what marks begin with."""
+    words = lines_of(spark, sf_dir).select(F.explode("tokens").alias("w")).distinct()
+    ends = words.select(F.explode(F.array(F.substring("w", 1, 1), F.substring("w", 1, 2), F.lit(""))).alias("end")).distinct()
+    tokens = ends.select(F.explode(F.transform(F.array(*[F.lit(h) for h in MARK_HEADS]), lambda h: F.concat(h, "end"))).alias("token")).unionByName(words.withColumnRenamed("w", "token")).distinct()
+    return tokens.select("token", rows.is_mark(F.col("token")).alias("mark"))
+
+
+#: The marks that are words, written out: what is none of these and has three letters in a row isn't a mark.
+MARK_PREDICATE_SQL = f"""with {DOC_LINES}, w as (select distinct unnest(tokens) as w from doc_lines), e as (select distinct unnest([w[1:1], w[1:2], '']) as e from w),
+t as (select distinct h || e as token from e, (select unnest([{", ".join(f"'{h}'" for h in MARK_HEADS)}]) as h) union select w from w)
+select token, length(token) <= 14 and regexp_matches(token, '{T.CELL_TOKEN}') and (not regexp_matches(token, '[A-Za-z]{{3}}') or lower(token) in ('bid', 'id', 'tid', 'qd', 'qw', 'prn', 'y/n', 'yes', 'no', 'n/a', 'na')) as mark from t"""
+
 QUERIES = {
+    "mark_predicate": mark_predicate,
     "page_scores": page_scores, "page_mark_density": page_mark_density, "page_footnote_lines": page_footnote_lines, "page_kinds": page_kinds, "document_candidates": document_candidates, "doc_words": doc_words, "doc_lines": doc_lines, "page_text": page_text,
     "footnote_parse": footnote_parse, "vocabulary": vocabulary_size, "grounding_validate": grounding_validate, "star_words": star_words, "mark_columns": mark_columns, "mark_stacks": mark_stacks, "label_split": label_split, "cells_from_marks": cells_from_marks,
     "audit_column_pairs": audit_column_pairs, "audit_greedy_pairs": audit_greedy_pairs, "audit_multiset": audit_multiset, "event_signatures": event_signatures,
@@ -246,6 +264,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "mark_predicate": MARK_PREDICATE_SQL,
     "page_scores": f"with {SCORES} select doc_id, page, score::double as score, marks::bigint as marks, mark_lines::bigint as mark_lines, footnote_lines::bigint as footnote_lines from scores",
     "page_mark_density": f"with {DOC_LINES}, {LINE_FACTS} select doc_id, sum(marks)::bigint as marks, sum(n_tokens)::bigint as tokens, count(*) filter (marks >= 3 and marks > 0.4 * n_tokens) as grid_lines from facts group by doc_id",
     "page_footnote_lines": f"with {DOC_LINES}, {LINE_FACTS} select doc_id, count(*) filter (is_footnote) as footnote_lines, min(case when is_footnote then line_ix end)::bigint as first_line from facts group by doc_id",
