@@ -94,7 +94,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        path = df._written_to
+        at = _paths.index(path)
+        remove_scratch(df.sparkSession, at, at + 1)
 
 
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", heavy: int = HEAVY, light: int = LIGHT, counted: DataFrame | None = None) -> DataFrame:

@@ -10,8 +10,9 @@ them.  Shingles stand for themselves by their XXH64.  Texts with the same set ar
 
 Of two sets that are similar enough, the first n - ceil(4/5 n) + 1 members in any order that all sets share have one in
 common, so these prefixes are the keys.  The order has what a sample of the texts has often last, so that a passage
-that many share is rarely a key; the sample moves costs, never results.  What meets at a key is compared by size, by a
-512-bit parity sketch (the bits that differ are never more than the members that differ) and then by the sets.
+that many share is rarely a key; the sample moves costs, never results.  What meets at a key is compared by size, by
+the key's place in both sets (were it the first that they share, what follows must still be enough), by a 512-bit
+parity sketch (the bits that differ are never more than the members that differ) and then by the sets.
 
 Only components matter.  At each key all sets are first compared with its least set, which is the same for most keys
 of a crowd; then, where a key still has sets that aren't connected, with one of them that is the key's own; and then
@@ -133,6 +134,12 @@ def sizes_fit(n: Column, m: Column, share: tuple[int, int]) -> Column:
     return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
 
 
+def places_fit(n: Column, at: Column, m: Column, m_at: Column, share: tuple[int, int]) -> Column:
+    """Whether two sets whose first common member stands at these places can share enough."""
+    least = (n + m) * share[0]
+    return ((n - at) * (share[0] + share[1]) >= least) & ((m - m_at) * (share[0] + share[1]) >= least)
+
+
 def compressed(docs: DataFrame) -> DataFrame:
     """place, text_hash and the packed text of each row: texts are joined twice, so they travel compressed."""
 
@@ -167,11 +174,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, in
     return pairs.join(one, "u").join(other, "v").select("u", "v", "ut", "vt").mapInArrow(run, "u long, v long")
 
 
-def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """Links between set hashes that leave no two similar sets unconnected."""
-    # One row stands for each set.
-    heads = rows.groupBy("h").agg(F.min(F.struct("place", "text_hash", "fp", "n", "sketch", "prefix")).alias("r")).select("h", "r.*")
+def prepared(docs: DataFrame, size: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The set hash of each row, and one row with all that is known of it for each set."""
+    full = common.written(sets(docs, size, share), "near-sets")
+    rows = common.written(full.select("doc_id", "text_hash", "h"), "near-hashes")
+    heads = full.groupBy("h").agg(F.min(F.struct("place", "text_hash", "fp", "n", "sketch", "prefix")).alias("r")).select("h", "r.*")
     heads = common.written(heads, "near-heads")
+    common.dropped(full)
+    return rows, heads
+
+
+def links(heads: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """Links between set hashes that leave no two similar sets unconnected."""
     # Equal rows of ``docs`` are dropped where the join has put them together.
     texts = common.written(compressed(docs).join(heads.select("h", "place", "text_hash"), ["place", "text_hash"]).dropDuplicates(["place", "text_hash"]).select("h", "packed"), "near-texts")
     shape = heads.select("h", F.struct("n", "sketch").alias("shape"))
@@ -188,17 +202,17 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
         parts = common.written(components(found), "near-parts")
         return of.join(parts.withColumnsRenamed({"node": "h", "component": "part"}), "h", "left").withColumn("part", F.coalesce("part", "h"))
 
-    def apart(entries: DataFrame) -> DataFrame:
-        """The entries of keys whose sets aren't all connected yet, each with the set ``one`` of its key: the least by a
-        hash of the set that is the key's own.
+    def apart(entries: DataFrame, by: Column) -> DataFrame:
+        """The entries of keys whose sets aren't all connected yet, each with one of its key's sets, the least ``by``,
+        and whether it is to be compared with that: not connected, and sizes and places allow it.
         """
-        first = F.min(F.struct(F.xxhash64("h", "key").alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"))).alias("first")
-        mixed = entries.groupBy("key").agg(first, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.one", "first.one_part", "first.m")
-        return common.written(entries.join(mixed, "key"), "near-apart")
+        first = F.min(F.struct(by.alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"), F.col("at").alias("m_at"))).alias("first")
+        mixed = entries.groupBy("key").agg(first, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.one", "first.one_part", "first.m", "first.m_at")
+        asked = (F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share) & places_fit(F.col("n"), F.col("at"), F.col("m"), F.col("m_at"), share)
+        return common.written(entries.join(mixed, "key").select("h", "key", "n", "at", F.when(asked, F.col("one")).alias("one")), "near-apart")
 
     def to_one(now: DataFrame) -> DataFrame:
-        """The entries' sets with their keys' one, where they aren't connected and their sizes allow it."""
-        return now.where((F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share)).select(F.col("h").alias("u"), F.col("one").alias("v"))
+        return now.where("one is not null").select(F.col("h").alias("u"), F.col("one").alias("v"))
 
     # The SimHash operator's links, by one set for each fingerprint, and the sets of one fingerprint.
     one = common.written(heads.groupBy("fp").agg(F.min("h").alias("one")), "near-prints")
@@ -209,20 +223,25 @@ def links(rows: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -
 
     # What is connected carries its component into its entries, so entries are shuffled by their key alone; from then
     # on only those of keys with several components are left.
-    entries = in_parts(found, heads.select("h", "n", "prefix")).select("h", F.col("n").cast("int").alias("n"), "part", F.explode("prefix").alias("key"))
-    # The first time, the least set of all: it is the same for most keys of a crowd.
-    least = entries.groupBy("key").agg(F.min(F.struct(F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"))).alias("first"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.*")
-    now = common.written(entries.join(least, "key"), "near-apart")
-    found = found.unionByName(similar(to_one(now)))
-    now = apart(in_parts(found, now.select("h", "key", "n")))
-    found = found.unionByName(similar(to_one(now)))
-    now = apart(in_parts(found, now.select("h", "key", "n"))).select("h", "key", "part").join(shape, "h")
+    sized = in_parts(found, heads.select("h", "n", "prefix"))
+    entries = sized.select("h", F.col("n").cast("int").alias("n"), "part", F.posexplode("prefix").alias("at", "key"))
+    # The first time, the least set of all: it is the same for most keys of a crowd.  Then one that is the key's own.
+    first = apart(entries, F.lit(0))
+    found = found.unionByName(similar(to_one(first)))
+    second = apart(in_parts(found, first.select("h", "key", "n", "at")), F.xxhash64("h", "key"))
+    common.dropped(first)
+    found = found.unionByName(similar(to_one(second)))
+    left = apart(in_parts(found, second.select("h", "key", "n", "at")), F.lit(0))
+    common.dropped(second)
+    now = in_parts(found, left.select("h", "key", "at")).join(shape, "h")
     # Sizes that the similarity allows are in the same class or in neighbouring ones.
     of_size = F.floor(F.log(F.greatest(F.col("shape.n"), F.lit(1))) / F.log(F.lit(share[1] / share[0])))
-    a = now.select("key", "h", "part", "shape", F.explode(F.array(of_size - 1, of_size, of_size + 1)).alias("class")).alias("a")
-    b = now.select("key", "h", "part", "shape", of_size.alias("class")).alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.part") < F.col("b.part")) & may_reach("a.shape", "b.shape", share))
-    return found.unionByName(similar(cross.select(F.col("a.h").alias("u"), F.col("b.h").alias("v"))))
+    a = now.select("key", "h", "at", "part", "shape", F.explode(F.array(of_size - 1, of_size, of_size + 1)).alias("class")).alias("a")
+    b = now.select("key", "h", "at", "part", "shape", of_size.alias("class")).alias("b")
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.part") < F.col("b.part")) & places_fit(F.col("a.shape.n"), F.col("a.at"), F.col("b.shape.n"), F.col("b.at"), share) & may_reach("a.shape", "b.shape", share))
+    found = found.unionByName(similar(cross.select(F.col("a.h").alias("u"), F.col("b.h").alias("v"))))
+    common.dropped(left, texts)
+    return found
 
 
 def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -235,11 +254,11 @@ def grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable) of each document with an id."""
     common.tune(docs.sparkSession)
-    rows = common.written(sets(docs, size, share), "near-sets")
+    rows, heads = prepared(docs, size, share)
     # The sets of an id that several rows share.
     pairs = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("v"), F.max("h").alias("u")).where("u != v").select("doc_id", "v")
     ties = rows.join(pairs, "doc_id").select(F.col("h").alias("u"), "v")
-    named = grouped(rows, links(rows, docs, size, share).unionByName(ties)).where("doc_id is not null")
+    named = grouped(rows, links(heads, docs, size, share).unionByName(ties)).where("doc_id is not null")
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return common.join_by_key(named.select("doc_id", "group"), least, ["group"], counted=named).select("doc_id", "component_id").distinct()
 
@@ -247,8 +266,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE)
 def keep_one(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` with one row of each group."""
     common.tune(docs.sparkSession)
-    rows = common.written(sets(docs, size, share), "near-sets")
-    met = grouped(rows, links(rows, docs, size, share))
+    rows, heads = prepared(docs, size, share)
+    met = grouped(rows, links(heads, docs, size, share))
     one = met.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("one")).select("one.doc_id", "one.text_hash")
     one = common.written(one, "near-one")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
