@@ -206,9 +206,13 @@ def read(got: Tables, reader: Reader | None = None, rates: dict[str, tuple[float
     columns, table_rows, table_cells = merged(got.columns, placed), merged(got.rows, kind), merged(got.cells, cells)
     table_notes, table_targets = merged(got.footnotes, notes), merged(got.targets, targets)
     found = cut(confidence.findings(columns, table_rows, table_cells, table_targets))
-    titles = got.assessments.select(*TABLE, F.col("title").alias("own_title"), "rows_are_ruled")
+    kept = [c for c in ("locator_score", "locator_evidence") if c in got.assessments.columns]
+    titles = got.assessments.select(*TABLE, F.col("title").alias("own_title"), "rows_are_ruled", *kept)
+    sizes = [df.groupBy(*TABLE).agg(F.count(F.lit(1)).alias(c)) for df, c in ((got.columns, "columns"), (got.rows, "rows"))]
+    before = got.assessments.join(taken.where("outcome = 'used'").select(*TABLE), TABLE, "left_semi").join(sizes[0], TABLE, "left").join(sizes[1], TABLE, "left")
+    before = before.select(*TABLE, F.struct("columns", "rows", "confidence", F.filter(F.split("checks", ","), lambda c: c != "").alias("findings")).alias("geometric"))
     new = taken.select(*TABLE, F.lit(True).alias("reviewed"), F.col("model").alias("read_by"), said("table", "$.title").alias("said_title"))
-    judged = confidence.assess(columns, found).join(titles, TABLE, "left").join(new, TABLE, "left")
+    judged = confidence.assess(columns, found).join(titles, TABLE, "left").join(new, TABLE, "left").join(before, TABLE, "left")
     judged = judged.withColumns({"title": F.coalesce("said_title", "own_title"), "reviewed": F.coalesce("reviewed", F.lit(False)), "rows_are_ruled": F.coalesce("rows_are_ruled", F.lit(False))}).drop("said_title", "own_title")
     return replace(
         got, columns=columns, rows=table_rows, cells=table_cells, footnotes=table_notes, targets=table_targets, findings=found, assessments=judged, ambiguities=merged(got.ambiguities, _doubts(parts, real, headed, cells)).unionByName(unsure),

@@ -37,6 +37,9 @@ class Tables:
     #: What came of a second reading, for each table, and what was left out of it; none before one.
     outcomes: DataFrame | None = None
     rejected: DataFrame | None = None
+    #: The score of every page with its reasons, and how many pages each document has.
+    scores: DataFrame | None = None
+    page_counts: DataFrame | None = None
 
 
 def title_of(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +117,8 @@ def extract(words: DataFrame, rules: DataFrame, pages: DataFrame, seed: float =
     """
     page_keys = ["doc_id", "page"]
     lines = cut(L.lines(words, page_keys).withColumn("tokens", F.transform("words", lambda w: w["text"])))
-    found = cut(queue(locate.candidates(locate.page_scores(lines), seed), most, floor))
+    scores = cut(locate.page_scores(lines))
+    found = cut(queue(locate.candidates(scores, seed), most, floor))
     read, refused = ranges(found, lines, most)
     on = read.select(*TABLE, "title", "from_y", F.posexplode("pages").alias("at", "page")).withColumn("from_y", F.when(F.col("at") == 0, F.col("from_y")))
     every_line = lines.join(on, page_keys)
@@ -126,8 +130,9 @@ def extract(words: DataFrame, rules: DataFrame, pages: DataFrame, seed: float =
     by_line = cut(_by_line(split))
     extent = by_line.where("first_y is not null").select(*KEYS, "first_y", "last_y", "grid_left").distinct()
     left = extent.where("grid_left is not null").select(*KEYS, "grid_left")
-    width = pages.select(*page_keys, "width")
-    own_rules = L.rules_below(rules.join(on.select(*KEYS, "from_y"), page_keys).join(refused, KEYS, "left_anti"), F.col("from_y")).drop("from_y").join(width, page_keys)
+    # Sizes and rules of candidate pages alone, written: five stages read them.
+    width = cut(pages.select(*page_keys, "width").join(on.select(*page_keys).distinct(), page_keys, "left_semi"))
+    own_rules = cut(L.rules_below(rules.join(on.select(*KEYS, "from_y"), page_keys).join(refused, KEYS, "left_anti"), F.col("from_y")).drop("from_y").join(width, page_keys))
 
     data = by_line.where("is_data").select(*KEYS, "line_ix")
     marks = split.where("part = 'mark'").join(data, [*KEYS, "line_ix"], "left_semi").withColumn("centre", F.col("x") + F.col("w") / 2)
@@ -168,7 +173,11 @@ def extract(words: DataFrame, rules: DataFrame, pages: DataFrame, seed: float =
     ruled = adopted.groupBy(*TABLE).agg(F.bool_and("use_drawn").alias("rows_are_ruled"))
     judged = confidence.assess(table_cols, findings).join(titles, TABLE, "left").join(ruled, TABLE, "left").withColumn("rows_are_ruled", F.coalesce("rows_are_ruled", F.lit(False)))
     own_pages = read.select(*TABLE, F.explode("pages").alias("page")).join(pages.select(*page_keys, *[c for c in ("width", "height", "rotated") if c in pages.columns]), page_keys, "left")
-    return Tables(found, table_cols, table_rows, cells_, notes, targets, findings, judged, cut(doubts), own_pages, lines)
+    # What the locator says of each table: the score of its range, and of its pages with their reasons.
+    range_score = read.select(*TABLE, F.get("order", F.lit(0)).alias("cand_ix")).join(found.select("doc_id", "cand_ix", F.col("score").alias("locator_score")), ["doc_id", "cand_ix"], "left").drop("cand_ix")
+    evidence = read.select(*TABLE, F.explode("pages").alias("page")).join(scores.select("doc_id", "page", "score", "reasons"), page_keys).groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("page", "score", "reasons"))).alias("locator_evidence"))
+    judged = judged.join(range_score, TABLE, "left").join(evidence, TABLE, "left")
+    return Tables(found, table_cols, table_rows, cells_, notes, targets, findings, judged, cut(doubts), own_pages, lines, scores=scores, page_counts=pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")))
 
 
 def _text(part: str) -> Column:

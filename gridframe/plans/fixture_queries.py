@@ -505,7 +505,7 @@ def publish_rows(spark):
     return publish.rows(X.RAW_ROWS.frame(spark))
 
 
-@query("publish_footnotes", f"""select doc_id, cand, ord, marker, coalesce(nullif(printed, ''), marker) as printed, case when n_targets = 0 and (regexp_matches(marker, '^[A-Za-z]{{2,}}') or regexp_matches(marker, '(?i)^[x✓✔●•]$')) then 'note' else 'footnote' end as kind,
+@query("publish_footnotes", f"""select doc_id, cand, ord, marker, coalesce(nullif(printed, ''), marker) as printed, case when n_targets = 0 and (regexp_full_match(marker, '[A-Za-z][A-Za-z0-9 /-]+') or marker in ('x', 'X', '✓', '✔', '●', '•', '◆', '■')) then 'note' else 'footnote' end as kind,
   trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, coalesce(continued, false) or n_pages > 1 as continued from {X.RAW_NOTES.sql}""")
 def publish_footnotes(spark):
     return publish.footnotes(X.RAW_NOTES.frame(spark))
