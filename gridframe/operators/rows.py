@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,58 +112,64 @@ def raised_markers(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: A label that reads like a new name rather than the rest of one.
-NEW_NAME = re.compile("[A-Z][a-z]+ [A-Z]")
+NEW_NAME = "^[A-Z][a-z]+ [A-Z]"
 
-ENTRY = "entry_ix int, kind string, label string, y double, bottom double, n_marks int, n_lines int"
+#: An entry: a row of a page.
+ENTRY = "struct<kind:string,label:string,y:double,bottom:double,n_marks:int,n_lines:int>"
 
 
-def assemble(lines: list[dict]) -> list[dict]:
-    """Inferred rows of one page, from its lines in order.  A line has y, bottom, label, n_marks, other.
+def assembled(lines: Column) -> Column:
+    """Inferred rows (``ENTRY``) of lines in order; a line has y, bottom, label, n_marks and other.
 
-    An unlabelled line of text close below a row belongs to it.  A marked line starts an assessment and takes the
-    lines close below that have either a label or text, no marks, and don't look like a new name; a label alone takes
-    the labels close below it.
+    An unlabelled line of text close below a row belongs to it, and ends it.  A marked line starts an assessment and
+    takes the lines close below that have either a label or text, no marks, and don't look like a new name; a label
+    alone takes the labels close below it.  Whether the last row still takes lines is part of the state, so nothing
+    has to be looked at twice.
     """
-    out: list[dict] = []
-    i = 0
-    while i < len(lines):
-        a = lines[i]
-        i += 1
-        if not a["label"] and not a["n_marks"]:
-            if a["other"] and out and a["y"] - out[-1]["bottom"] <= 8:
-                out[-1]["bottom"] = a["bottom"]
-                out[-1]["n_lines"] += 1
-            continue
-        entry = {"kind": "assessment" if a["n_marks"] else "label-only", "label": a["label"], "y": a["y"], "bottom": a["bottom"], "n_marks": a["n_marks"], "n_lines": 1}
-        while i < len(lines):
-            b = lines[i]
-            close = b["y"] - entry["bottom"] <= 6 and not b["n_marks"]
-            if a["n_marks"]:
-                named = len(b["label"]) < 40 and NEW_NAME.match(b["label"])
-                takes = close and bool(b["label"]) != bool(b["other"]) and not named
-            else:
-                takes = close and bool(b["label"]) and not b["other"]
-            if not takes:
-                break
-            entry["label"] = " ".join(x for x in (entry["label"], b["label"]) if x)
-            entry["bottom"] = b["bottom"]
-            entry["n_lines"] += 1
-            i += 1
-        out.append(entry)
-    return out
-
-
-def assemble_rows(lines: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Inferred rows of all pages; a page's lines are at most some hundred, so a page is one group."""
-    names = list(keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("line_ix").to_dict("records")
-        out = pd.DataFrame([{"entry_ix": i, **e} for i, e in enumerate(assemble(rows))], columns=["entry_ix", "kind", "label", "y", "bottom", "n_marks", "n_lines"])
-        for name in reversed(names):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
-
-    return lines.groupBy(*names).applyInPandas(run, ", ".join(f"{k} {v}" for k, v in keys.items()) + ", " + ENTRY)
-
-
+    def step(s: Column, l: Column) -> Column:
+        last, n = F.element_at(s["out"], -1), F.size(s["out"])
+        close = (l["y"] - last["bottom"] <= 6) & (l["n_marks"] == 0)
+        labelled, told = l["label"] != "", l["other"] != ""
+        new_name = (F.length(l["label"]) < 40) & l["label"].rlike(NEW_NAME)
+        takes = F.coalesce(s["open"] & close & F.when(s["marked"], (labelled != told) & ~new_name).otherwise(labelled & ~told), F.lit(False))
+        tail = F.coalesce(~labelled & (l["n_marks"] == 0) & told & (l["y"] - last["bottom"] <= 8), F.lit(False))
+        grown = F.struct(
+            last["kind"].alias("kind"), F.when(takes, F.concat_ws(" ", T.nonempty(last["label"]), T.nonempty(l["label"]))).otherwise(last["label"]).alias("label"), last["y"].alias("y"), l["bottom"].alias("bottom"), last["n_marks"].alias("n_marks"), (last["n_lines"] + 1).alias("n_lines"),
+        ).cast(ENTRY)
+        new = F.struct(F.when(l["n_marks"] > 0, "assessment").otherwise("label-only").alias("kind"), l["label"].alias("label"), l["y"].alias("y"), l["bottom"].alias("bottom"), l["n_marks"].alias("n_marks"), F.lit(1).alias("n_lines")).cast(ENTRY)
+        begins = ~takes & (labelled | (l["n_marks"] > 0))
+        out = F.when(takes | tail, F.concat(F.slice(s["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(grown))).when(begins, F.concat(s["out"], F.array(new))).otherwise(s["out"])
+        return F.struct(out.alias("out"), (takes | begins).alias("open"), F.when(begins, l["n_marks"] > 0).otherwise(s["marked"]).alias("marked"))
+
+    # ``element_at`` of an empty array is an error, so the first line meets an entry that nothing can join.
+    nothing = F.struct(F.lit("").alias("kind"), F.lit("").alias("label"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("bottom"), F.lit(0).alias("n_marks"), F.lit(0).alias("n_lines")).cast(ENTRY)
+    begin = F.struct(F.array(nothing).alias("out"), F.lit(False).alias("open"), F.lit(False).alias("marked"))
+    return F.aggregate(lines, begin, step, lambda s: F.slice(s["out"], 2, F.size(s["out"])))
+
+
+def listed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of each group in order, as an array ``ls``."""
+    line = F.struct("line_ix", F.col("y").cast("double").alias("y"), F.col("bottom").cast("double").alias("bottom"), F.coalesce("label", F.lit("")).alias("label"), F.col("n_marks").cast("int").alias("n_marks"), F.coalesce("other", F.lit("")).alias("other"))
+    return lines.groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("ls"))
+
+
+def assemble_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Inferred rows of all pages; a page's lines are at most some hundred, so a page is one fold."""
+    return listed(lines, keys).select(*keys, F.posexplode(assembled(F.col("ls"))).alias("entry_ix", "e")).select(*keys, "entry_ix", "e.*")
+
+
+def rows_in_bands(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of drawn bands (``row_ix`` of each line): a band is one row, its names in order, unless two or more of
+    its lines have a name of their own (more than two signs, not a small letter first) beside marks or text; such a
+    band, ruled around a section, is read as an unruled page is, if that gives several rows.
+    """
+    own = F.filter("ls", lambda l: (F.length(l["label"]) > 2) & l["label"].rlike("^[A-Z0-9]") & ((l["n_marks"] > 0) | (l["other"] != "")))
+    total = lambda name: F.aggregate("ls", F.lit(0), lambda a, l: a + l[name])
+    label = F.array_join(F.filter(F.transform("ls", lambda l: l["label"]), lambda x: x != ""), " ")
+    one = F.struct(F.when(total("n_marks") > 0, "assessment").otherwise("label-only").alias("kind"), T.clean(label).alias("label"), F.get("ls", F.lit(0))["y"].alias("y"), F.array_max(F.transform("ls", lambda l: l["bottom"])).alias("bottom"), total("n_marks").alias("n_marks"), F.size("ls").alias("n_lines")).cast(ENTRY)
+    bands = listed(lines, [*keys, "row_ix"]).withColumn("within", F.when(F.size(own) >= 2, assembled(F.col("ls"))).otherwise(F.array().cast(f"array<{ENTRY}>")))
+    found = bands.select(*keys, "row_ix", F.posexplode(F.when(F.size("within") > 1, F.col("within")).otherwise(F.array(one))).alias("at", "e")).select(*keys, "row_ix", "at", "e.*")
+    # A band with nothing but white space between its rules is no row.
+    kept = found.where((F.col("label") != "") | (F.col("n_marks") > 0) | (F.col("n_lines") > 0))
+    ix = F.row_number().over(Window.partitionBy(*keys).orderBy("row_ix", "at")) - 1
+    return kept.withColumn("entry_ix", ix.cast("int")).drop("row_ix", "at")

@@ -220,13 +220,10 @@ def _entries(by_line: DataFrame, own_rules: DataFrame, left: DataFrame, marks: D
     those; and whether the drawn ones were taken, of pages that have them.
     """
     inside = by_line.where((F.col("y") >= F.col("first_y") - 2) & (F.col("bottom") <= F.col("last_y") + 2) & ~(K.names_dimension(F.col("label")) & (F.col("n_marks") > 0)))
-    inferred = rows.assemble_rows(inside.select(*KEYS, "line_ix", "y", "bottom", "label", F.col("n_marks").cast("int").alias("n_marks"), "other"), {"doc_id": "string", "cand": "int", "page": "int"})
+    inferred = rows.assemble_rows(inside, KEYS)
     ruled = rows.drawn_rows(own_rules, left, KEYS)
     held = rows.lines_to_bands(inside.select(*KEYS, "line_ix", "y", "h"), ruled, KEYS).join(inside, [*KEYS, "line_ix"])
-    banded = held.groupBy(*KEYS, "row_ix").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("label") != "", F.struct("line_ix", "label")))), lambda s: s["label"]), " ").alias("label"), F.sum("n_marks").alias("n_marks"), F.min("y").alias("y"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).alias("n_lines")
-    )
-    drawn = banded.select(*KEYS, F.col("row_ix").cast("int").alias("entry_ix"), F.when(F.col("n_marks") > 0, "assessment").otherwise("label-only").alias("kind"), "label", "y", "bottom", F.col("n_marks").cast("int").alias("n_marks"), F.col("n_lines").cast("int").alias("n_lines"))
+    drawn = rows.rows_in_bands(held, KEYS)
     enough = drawn.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     in_lines = marks.join(inside.select(*KEYS, "line_ix"), [*KEYS, "line_ix"], "left_semi").select(*KEYS, "y")
     judged = rows.adopt_drawn(in_lines, ruled.join(enough, KEYS, "left_semi"), inside.groupBy(*KEYS).agg(F.sum("n_marks").alias("inferred_marks")), KEYS)

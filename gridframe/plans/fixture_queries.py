@@ -164,7 +164,7 @@ def category_fill(spark):
 
 @query("assemble_rows")
 def assemble_rows(spark):
-    return rows.assemble_rows(X.ASSEMBLE.frame(spark), {"doc_id": "string", "page": "int"})
+    return rows.assemble_rows(X.ASSEMBLE.frame(spark), ["doc_id", "page"])
 
 
 @query("row_adoption", f"""with d as (select doc_id, page, min(y) + 5 as top, max(y) - 30 as bottom from {X.ASSEMBLE.sql} group by 1, 2), i as (select doc_id, page, count(*) as inferred_marks from {X.ASSEMBLE.sql} where n_marks > 0 group by 1, 2)

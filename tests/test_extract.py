@@ -57,9 +57,7 @@ def test_schedule_is_recovered(spark, tmp_path):
     assert {(r["target"], r["row_id"]) for r in got.targets.collect() if r["doc_id"] == "ruled"} == {("row", "r1")}
     verdicts = {r["doc_id"]: r["verdict"] for r in got.assessments.collect()}
     assert verdicts == {"ruled": "trust", "plain": "trust"}
-    nested = publish.tables(got.columns, got.rows, got.cells, got.footnotes, got.assessments.select("doc_id", "cand", "title", "confidence", "verdict"))
-    publish.write_json(nested, f"{tmp_path}/out")
-    one = json.loads(next((tmp_path / "out" / "doc_id=ruled").glob("*.json")).read_text())
+    one = {r["doc_id"]: json.loads(r["value"]) for r in publish.documents(got).collect()}["ruled"]["tables"][0]
     assert one["title"] == "Schedule of Activities" and len(one["columns"]) == 4 and len(one["rows"]) == 4 and one["rows"][0]["cells"][0]["value"] == "X"
 
 

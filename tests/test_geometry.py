@@ -73,7 +73,9 @@ def test_lines_join_the_first_open_line(spark):
         assert got[p] == want
 
 
-def test_wrapped_labels_and_new_names():
-    line = lambda y, label="", marks=0, other="": {"y": y, "bottom": y + 10, "label": label, "n_marks": marks, "other": other}
-    got = rows.assemble([line(0, "Physical", 3), line(12, "examination"), line(24, "Vital Signs"), line(26, "pulse", 2), line(38, other="weekly"), line(90, "SAFETY"), line(103, "TESTS")])
+def test_wrapped_labels_and_new_names(spark):
+    line = lambda y, label="", marks=0, other="": (y, y + 10, label, marks, other)
+    lines = [line(0, "Physical", 3), line(12, "examination"), line(24, "Vital Signs"), line(26, "pulse", 2), line(38, other="weekly"), line(90, "SAFETY"), line(103, "TESTS")]
+    frame = spark.createDataFrame([("d", i, float(y), float(b), *rest) for i, (y, b, *rest) in enumerate(lines)], "doc_id string, line_ix int, y double, bottom double, label string, n_marks int, other string")
+    got = rows.assemble_rows(frame, ["doc_id"]).orderBy("entry_ix").collect()
     assert [(e["kind"], e["label"]) for e in got] == [("assessment", "Physical examination"), ("label-only", "Vital Signs"), ("assessment", "pulse"), ("label-only", "SAFETY TESTS")]
