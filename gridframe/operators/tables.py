@@ -202,7 +202,7 @@ def _header(words: DataFrame, by_line: DataFrame, extent: DataFrame, bands: Data
     top_edge = own_rules.where("orient = 'H'").groupBy(*KEYS).agg(F.min("pos").alias("top_edge"))
     n = bands.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("bands"))
     reach = extent.select(*KEYS, "first_y").join(n, KEYS).join(top_edge, KEYS, "left")
-    return header.read_header(words, header.header_lines(shaped, reach, KEYS), bands, left, KEYS)
+    return header.read_header(words, header.header_lines(shaped, reach, KEYS), bands, left, own_rules, extent.select(*KEYS, "first_y"), KEYS)
 
 
 def _unified(cols: DataFrame) -> DataFrame:
