@@ -49,6 +49,9 @@ SAMPLE_ROWS, MOST_ORDERED = 5_000, 200_000
 
 SKETCH = 8
 
+#: Members of sets that a task that verifies pairs keeps, besides those of one set.
+HELD = 4_000_000
+
 #: Bits of a fingerprint within which the SimHash operator links.
 BITS = 2
 
@@ -160,11 +163,23 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdDecompressor()
+        press, known, held = zstandard.ZstdDecompressor(), {}, 0
+
+        def members(h: int, packed: bytes) -> np.ndarray:
+            """A set's members; those of late are kept, since the pairs of one set come after one another."""
+            nonlocal held
+            if h not in known:
+                if held > HELD:
+                    known.clear()
+                    held = 0
+                known[h] = np.unique(shingle_hashes(press.decompress(packed), size))
+                held += len(known[h])
+            return known[h]
+
         for batch in batches:
             stay = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = (np.unique(shingle_hashes(press.decompress(t), size)) for t in (a, b))
+            for u, v, a, b in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                x, y = members(u, a), members(v, b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 stay.append(both * share[1] >= (len(x) + len(y) - both) * share[0])
             yield batch.select(["u", "v"]).filter(pa.array(stay, pa.bool_()))

@@ -5,11 +5,16 @@ phone number or capitalisations of one address are the same entity) gets a keyed
 characters keep their class, so script, case, grouping and length stay; a card number keeps a valid check digit, an
 IBAN valid check digits.  Every occurrence in the corpus gets the same replacement, in its own format.
 
-Names are found by a title.  Each word of a name is an entity of its own, the first of several as a given name of the
-title's gender (in Latin letters its surrogate ends in "a" after a feminine title and in another letter after a
-masculine one), the others as surnames.  A text's titled mentions give it its name words, and these are replaced
-wherever they stand in that text as whole words, with a title or without: "Mrs. Maria Lopez", "Mrs. Lopez" and "Maria
-Lopez" stay one person.  A phone number with the country code 1 is the entity that its last ten digits are without it.
+Names are found by a title.  Each word of a name is an entity of its own, those before the first space of several as
+given names of the title's gender (in Latin letters their surrogates end in "a" after a feminine title and in another
+letter after a masculine one), the others as surnames; a double name with a hyphen has two words of one kind.  Letters
+may carry combining marks, and both spellings of a letter are one; capitals may stand within a word (McDonald, O'Brien).
+A text's titled mentions give it its name words, and these are replaced wherever they stand in that text as whole words,
+with a title or without: "Mrs. Maria Lopez", "Mrs. Lopez" and "Maria Lopez" stay one person.  A name word that the text
+also has in small letters (will, may) is replaced behind a title alone.
+
+A phone number with a country code is another entity than the same digits without a plus sign, and keeps its code and a
+bracketed trunk zero; with the country code 1 it is the entity that its last ten digits are without it.
 
 Distinctness: replacements are proposed from a keyed SHA-512 of the entity.  A proposal that equals any entity of the
 corpus, or one already given, or that two entities share, is drawn again for all but the first of them, until none
@@ -19,11 +24,13 @@ loop keeps is one row per distinct entity, in the shared folder.
 
 Inputs: null texts stay null; texts without entities stay as they are; rows that repeat get the same text; null ids
 are allowed; equal proposals go to the least entity in text order; very long texts are scanned whole, by patterns
-whose repeats are bounded; an empty table gives no rows; other columns are ignored.
+that try each run of signs once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +43,7 @@ _ALL = "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True))
 
 #: Kind and pattern, in the order in which they are tried at a place.  Groups don't capture.
 KINDS = [
-    ("email", r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,16}[A-Za-z]{2,24}"),
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
@@ -47,8 +54,17 @@ KINDS = [
 
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 
-#: A title and up to three words of a name after it.
-NAME = rf"(?<![\p{{L}}])(?:{_ALL})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}"
+#: A word of a name: capitals, each with small letters after it, perhaps a capital and an apostrophe before them.
+NAME_WORD = r"(?:\p{Lu}\p{M}*['’])?(?:\p{Lu}\p{M}*[\p{Ll}\p{M}]+)+"
+
+#: A title and the words of a name after it.
+NAME = rf"(?<![\p{{L}}\p{{M}}])(?:{_ALL})\.? {NAME_WORD}(?:[ \-]{NAME_WORD})*"
+
+#: Letters with marks, and what they are made of: by Unicode's own table, from Latin to extended Greek.
+COMPOSED = {unicodedata.normalize("NFD", c): c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c != unicodedata.normalize("NFD", c)}
+
+#: Country codes of one and two digits; all others have three.
+SHORT_CODES = r"^(?:[17]|2[07]|3[0123469]|4[013456789]|5[12345678]|6[0123456]|8[1246]|9[0123458])"
 
 #: A quick test that ``PATTERN`` implies: every kind holds a digit or an @, but for secrets that are letters alone.
 HINT = r"[@0-9]|[a-f]{40}|AKIA[A-Z]{16}|gh[pousr]_[A-Za-z]{36}"
@@ -81,23 +97,53 @@ MEMBERS = {
 GROWS_AFTER = 4
 
 
+def _mapped(word: Column, pattern: str, table: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.array_join(F.transform(F.regexp_extract_all(word, F.lit(pattern), F.lit(0)), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+
+
+def marks_joined(word: Column) -> Column:
+    """A word with its combining marks in its letters, where there is such a letter."""
+    return F.when(word.rlike(r"\p{M}"), _mapped(word, r"(?s).\p{M}*", COMPOSED)).otherwise(word)
+
+
+def marks_apart(word: Column) -> Column:
+    """A word with its letters' marks behind them."""
+    return F.when(word.rlike(r"[^\x00-\x7F]"), _mapped(word, "(?s).", {c: apart for apart, c in COMPOSED.items()})).otherwise(word)
+
+
 def name_words(text: Column) -> Column:
-    """word and form of each name word of a text's titled mentions: ``g:f:`` or ``g:m:`` for a given name, ``s:``
-    for a surname, then the word.  Sorted, so that of a word's forms the first is taken.
+    """word, key and form of each name word of a text's titled mentions: ``g:f:`` or ``g:m:`` for a given name, ``s:``
+    for a surname, then the word with joined marks, its key.  Sorted, so that of a word's forms the first is taken.
     """
 
     def of(raw: Column) -> Column:
-        words = F.split(F.regexp_replace(raw, rf"^(?:{_ALL})\.? ", ""), "[ \\-]")
+        groups = F.split(F.regexp_replace(raw, rf"^(?:{_ALL})\.? ", ""), " ")
         gender = F.when(raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), F.lit("f")).otherwise(F.lit("m"))
-        return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.concat(F.when((i == 0) & (F.size(words) > 1), F.concat(F.lit("g:"), gender, F.lit(":"))).otherwise(F.lit("s:")), w).alias("form")))
+
+        def words(group: Column, i: Column) -> Column:
+            role = F.when((i == 0) & (F.size(groups) > 1), F.concat(F.lit("g:"), gender, F.lit(":"))).otherwise(F.lit("s:"))
+            return F.transform(F.split(group, "-"), lambda w: common.let(marks_joined(w), lambda key: F.struct(w.alias("word"), key.alias("key"), F.concat(role, key).alias("form"))))
+
+        return F.flatten(F.transform(groups, words))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), of))))
 
 
-def pattern_of(names: Column) -> Column:
-    """What is looked for in a text: the kinds, and its name words as whole words (they are letters alone)."""
-    words = F.array_join(F.array_distinct(F.transform(names, lambda n: n["word"])), "|")
-    return F.when(F.size(names) == 0, F.lit(PATTERN)).otherwise(F.concat(F.lit(f"{PATTERN}|(?<![\\p{{L}}])(?:"), words, F.lit(")(?![\\p{L}])")))
+def pattern_of(names: Column, text: Column) -> Column:
+    """What is looked for in a text: the kinds, and its name words as whole words (letters, marks and apostrophes), in
+    either spelling, the longest first; those that the text has in small letters too behind a title alone.
+    """
+    every = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n["word"], n["key"], marks_apart(n["key"])))))
+    longest = F.transform(F.array_sort(F.transform(every, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    common_word = lambda w: F.regexp_like(text, F.concat(F.lit("(?<![\\p{L}\\p{M}])"), F.lower(w), F.lit("(?![\\p{L}\\p{M}])")))
+
+    def of(words: Column) -> Column:
+        plain, doubtful = F.filter(words, lambda w: ~common_word(w)), F.filter(words, common_word)
+        some = lambda ws, before: F.when(F.size(ws) == 0, F.lit("")).otherwise(F.concat(F.lit(f"|(?<![\\p{{L}}\\p{{M}}]){before}(?:"), F.array_join(ws, "|"), F.lit(")(?![\\p{L}\\p{M}])")))
+        return F.concat(F.lit(PATTERN), some(plain, ""), some(doubtful, rf"(?<=(?:{_ALL})\.? )"))
+
+    return F.when(F.size(names) == 0, F.lit(PATTERN)).otherwise(common.let(longest, of))
 
 
 def kind_of(raw: Column) -> Column:
@@ -116,11 +162,24 @@ def has_code(raw: Column) -> Column:
     return raw.startswith("+1") & (F.length(digits_of(raw)) == 11)
 
 
+def without_trunk(raw: Column) -> Column:
+    """A number with a country code, its bracketed trunk zero out of the digits' way."""
+    return F.when(raw.startswith("+"), F.regexp_replace(raw, r"\(0\)", "(o)")).otherwise(raw)
+
+
+def code_length(form: Column) -> Column:
+    """The digits of a number's country code: those that its plus sign stands before, or, of a longer number without
+    one, what stands before its last ten."""
+    short = F.regexp_extract(F.substring(form, F.lit(2), F.length(form)), SHORT_CODES, 0)
+    return F.when(form.startswith("+"), F.when(short != "", F.length(short)).otherwise(3)).otherwise(F.greatest(F.length(form) - 10, F.lit(0)))
+
+
 def canonical(kind: Column, raw: Column, names: Column) -> Column:
     """One form for all spellings: digits alone, small letters, a name word with its role."""
     return (
-        F.when(kind == "name", F.get(F.filter(names, lambda n: n["word"] == raw), F.lit(0))["form"])
+        F.when(kind == "name", F.get(F.filter(names, lambda n: n["key"] == marks_joined(raw)), F.lit(0))["form"])
         .when((kind == "phone") & has_code(raw), F.substring(digits_of(raw), 2, 10))
+        .when((kind == "phone") & raw.startswith("+"), F.concat(F.lit("+"), digits_of(without_trunk(raw))))
         .when(kind.isin("phone", "card", "ssn"), digits_of(raw))
         .when(kind == "email", F.lower(raw))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
@@ -195,9 +254,9 @@ def proposal(kind: Column, form: Column, key: str, attempt: int) -> Column:
     octets = F.array_join(F.transform(F.array(*[F.lit(i * 2) for i in range(4)]), lambda i: (_drawn(digest, i, 254) + 1).cast("string")), ".")
     groups = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(digest, 1, 2)), *[F.substring(digest, 3 + 4 * i, 4) for i in range(7)])
     card = _luhn(F.concat(F.substring(form, 1, 1), rest(_like(digest, F.concat(form, zeros)), 2)))
-    # What stands before the last ten digits is the country code.
-    code = F.greatest(F.length(form) - 10, F.lit(0))
-    phone = F.concat(F.substring(form, F.lit(1), code), (_drawn(digest, F.lit(40), 8) + 2).cast("string"), F.substring(_like(digest, F.concat(form, zeros)), code + 2, F.length(form) + more))
+    plus, code = F.when(form.startswith("+"), "+").otherwise(""), code_length(form)
+    number = F.regexp_replace(form, r"^\+", "")
+    phone = F.concat(plus, F.substring(number, F.lit(1), code), (_drawn(digest, F.lit(40), 8) + 2).cast("string"), F.substring(_like(digest, F.concat(number, zeros)), code + 2, F.length(number) + more))
     iban = _checked(F.substring(form, 1, 2), rest(_like(digest, F.concat(form, zeros)), 5))
     # A surname keeps its last letter where names end alike in many languages; a given name ends as its gender's do.
     head = _like(digest, F.concat(F.substring(core, F.lit(1), F.length(core) - 1), F.substring(F.repeat(F.lower(core), F.lit(more)), 1, more)))
@@ -232,10 +291,10 @@ def _laid(raw: Column, form: Column, place: str, other: str) -> Column:
 
 def poured(kind: Column, raw: Column, form: Column) -> Column:
     """The canonical replacement in the format of an occurrence."""
-    number = F.when((kind == "phone") & has_code(raw), F.concat(F.lit("1"), form)).otherwise(form)
+    number = F.when((kind == "phone") & has_code(raw), F.concat(F.lit("1"), form)).otherwise(F.regexp_replace(form, r"^\+", ""))
     cased = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(F.substr(raw, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), _laid(raw, number, "[0-9]", r"\D"))
+        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(_laid(without_trunk(raw), number, "[0-9]", r"\D"), r"\(o\)", "(0)"))
         .when(kind == "email", cased)
         .when(kind == "iban", _laid(raw, form, "[^ ]", " "))
         .otherwise(form)
@@ -265,7 +324,7 @@ def replace(docs: DataFrame, key: str = "gridframe") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = rows.withColumn("names", name_words(F.col("text")))
     hinted = F.col("text").rlike(HINT) | (F.size("names") > 0)
-    found = F.when(hinted, F.regexp_extract_all("text", pattern_of(F.col("names")), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(hinted, F.regexp_extract_all("text", pattern_of(F.col("names"), F.col("text")), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = named.withColumn("found", found)
     plain = marked.where("text is null or size(found) = 0").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
     holding = marked.where("text is not null and size(found) > 0").withColumn("text_key", F.xxhash64("text"))
@@ -280,7 +339,7 @@ def replace(docs: DataFrame, key: str = "gridframe") -> DataFrame:
     placed = met.select("doc_id", "text_key", F.struct("at", poured(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"), "kind").alias("e"))
     news = placed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("e")).alias("news"))
     joined = holding.join(news.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    pieces = F.split("text", pattern_of(F.col("names")), -1)
+    pieces = F.split("text", pattern_of(F.col("names"), F.col("text")), -1)
     whole = F.array_join(F.flatten(F.zip_with(pieces, F.col("news.new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     changed = joined.select(
         "doc_id", whole.alias("text"), F.size("news").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("news.kind")), ",").alias("kinds")

@@ -123,3 +123,30 @@ def test_heavy_keys_are_joined_like_others(spark):
     for how in ("inner", "left"):
         got = common.join_by_key(rows, table, ["k"], how, heavy=10, light=5).collect()
         assert sorted(map(repr, got)) == sorted(map(repr, rows.join(table, ["k"], how).collect()))
+
+
+def test_country_codes_stay_and_tell_numbers_apart(spark):
+    (one,) = texts_of(spark, ["(743) 555-3824, +74 3555 3824, +49 (0)30 901820 and +49 30 901820, +353 21 677 9999, +1 743 555 3824."])
+    a, b, c, d, e, f = re.fullmatch(r"(\(\d{3}\) \d{3}-\d{4}), (\+7\d \d{4} \d{4}), (\+49 \(0\)\d\d \d{6}) and (\+49 \d\d \d{6}), (\+353 \d\d \d{3} \d{4}), (\+1 \d{3} \d{3} \d{4})\.", one).groups()
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert digits(a) != digits(b) and digits(c.replace("(0)", "")) == digits(d) and digits(f) == "1" + digits(a)
+    assert "555" not in a and "901820" not in c and "9999" not in e
+
+
+def test_names_with_marks_apostrophes_and_inner_capitals(spark):
+    apart = "Mr. Jose\u0301 Garci\u0301a"
+    one, two, three, four = texts_of(spark, [f"{apart}. Mr. José García. Garci\u0301a and García.", "Mr. McDonald and Mrs. O'Brien; McDonald, O'Brien.", "Frau Müller-Lüdenscheidt, Herr Karl-Heinz Weiß.", "Mrs. Ana Maria Lopez Garcia Vega Ruiz came."])
+    given, last = re.match(r"Mr\. (\w+) (\w+)\.", one).groups()
+    assert one == f"Mr. {given} {last}. Mr. {given} {last}. {last} and {last}." and "Garc" not in one and "Jos" not in one
+    m, o = re.match(r"Mr\. (\w+) and Mrs\. ([\w']+);", two).groups()
+    assert two == f"Mr. {m} and Mrs. {o}; {m}, {o}." and "Donald" not in two and "Brien" not in two and "'" in o
+    assert not re.search("Müller|Lüden|Karl|Heinz|Weiß", three) and not re.match(r"Frau \w*a-", three)
+    assert not re.search("Maria|Lopez|Garcia|Vega|Ruiz", four) and four.endswith(" came.") and len(four.split()) == 8
+
+
+def test_long_addresses_are_whole_and_common_words_stay(spark):
+    long = "a" * 70 + "@" + "b" * 70 + ".example.com"
+    one, two, three = texts_of(spark, [f"Write to {long} now", "Mr. May may come. In May, Mr. May sings.", "x" * 200_000 + " " + "a.b@c.de"])
+    assert "aaaa" not in one and one.startswith("Write to ") and one.endswith(".com now") and len(one) == len(f"Write to {long} now")
+    assert re.fullmatch(r"Mr\. (\w{3}) may come\. In May, Mr\. \1 sings\.", two) and not two.startswith("Mr. May")
+    assert three.startswith("x" * 200_000 + " ") and not three.endswith("a.b@c.de")
