@@ -44,8 +44,8 @@ SHINGLE = 5
 #: The least similarity, as a fraction.
 SHARE = (4, 5)
 
-#: Rows of the sample that orders the shingles, and the most shingles that it orders.
-SAMPLE_ROWS, MOST_ORDERED = 5_000, 200_000
+#: Rows of the sample that orders the shingles, about, and the most shingles that it orders (16 bytes each).
+SAMPLE_ROWS, MOST_ORDERED = 25_000, 500_000
 
 SKETCH = 8
 
@@ -68,8 +68,8 @@ def sample_order(docs: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["key"])
 
     often = thinned.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
-    top = often.orderBy(F.desc("c"), "key").limit(MOST_ORDERED).collect()
-    return np.array([r["key"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = often.orderBy(F.desc("c"), "key").limit(MOST_ORDERED).select("key").toArrow()["key"].to_numpy()
+    return np.ascontiguousarray(top[::-1], np.int64).view(np.uint64)
 
 
 def ordered_prefix(members: np.ndarray, known: np.ndarray, rank: np.ndarray, share: tuple[int, int]) -> np.ndarray:
@@ -217,11 +217,11 @@ def links(heads: DataFrame, docs: DataFrame, size: int, share: tuple[int, int])
         parts = common.written(components(found), "near-parts")
         return of.join(parts.withColumnsRenamed({"node": "h", "component": "part"}), "h", "left").withColumn("part", F.coalesce("part", "h"))
 
-    def apart(entries: DataFrame, by: Column) -> DataFrame:
-        """The entries of keys whose sets aren't all connected yet, each with one of its key's sets, the least ``by``,
+    def apart(entries: DataFrame, by: Column | None = None) -> DataFrame:
+        """The entries of keys whose sets aren't all connected yet, each with one of its key's sets, the least (``by``),
         and whether it is to be compared with that: not connected, and sizes and places allow it.
         """
-        first = F.min(F.struct(by.alias("by"), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"), F.col("at").alias("m_at"))).alias("first")
+        first = F.min(F.struct(*([] if by is None else [by.alias("by")]), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"), F.col("at").alias("m_at"))).alias("first")
         mixed = entries.groupBy("key").agg(first, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.one", "first.one_part", "first.m", "first.m_at")
         asked = (F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share) & places_fit(F.col("n"), F.col("at"), F.col("m"), F.col("m_at"), share)
         return common.written(entries.join(mixed, "key").select("h", "key", "n", "at", F.when(asked, F.col("one")).alias("one")), "near-apart")
@@ -241,12 +241,12 @@ def links(heads: DataFrame, docs: DataFrame, size: int, share: tuple[int, int])
     sized = in_parts(found, heads.select("h", "n", "prefix"))
     entries = sized.select("h", F.col("n").cast("int").alias("n"), "part", F.posexplode("prefix").alias("at", "key"))
     # The first time, the least set of all: it is the same for most keys of a crowd.  Then one that is the key's own.
-    first = apart(entries, F.lit(0))
+    first = apart(entries)
     found = found.unionByName(similar(to_one(first)))
     second = apart(in_parts(found, first.select("h", "key", "n", "at")), F.xxhash64("h", "key"))
     common.dropped(first)
     found = found.unionByName(similar(to_one(second)))
-    left = apart(in_parts(found, second.select("h", "key", "n", "at")), F.lit(0))
+    left = apart(in_parts(found, second.select("h", "key", "n", "at")))
     common.dropped(second)
     now = in_parts(found, left.select("h", "key", "at")).join(shape, "h")
     # Sizes that the similarity allows are in the same class or in neighbouring ones.
