@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions import text as T
 from gridframe.operators import geometry as G
+from gridframe.operators import lines as L
 
 
 def grid_edges(rules: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,13 +26,31 @@ def grid_edges(rules: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max_by(F.struct("rows", "cols"), F.struct(((F.size("rows") - 1) * (F.size("cols") - 1)).alias("n"), "floor")).alias("g")).select(*keys, "g.rows", "g.cols")
 
 
+def line_bands(found: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Printed lines with the row ``r`` of their page's grid: the first that holds their middle (1 of slack), or of it
+    and its neighbours the one that holds more of the line, which may straddle an edge.  -1 outside the grid.
+    """
+    joined = found.join(edges, keys)
+    n = F.size("rows") - 1
+    mid = (F.col("top") + F.col("bottom")) / 2
+    first = F.get(F.filter(F.sequence(F.lit(0), n - 1), lambda i: (mid > F.get("rows", i) - 1) & (mid < F.get("rows", i + 1) + 1)), F.lit(0))
+    over = lambda i: F.least("bottom", F.get("rows", i + 1)) - F.greatest("top", F.get("rows", i))
+    down = joined.withColumn("_at", F.coalesce(first, F.lit(-1)))
+    down = down.withColumn("_at", F.when((F.col("_at") >= 0) & (F.col("_at") + 1 < n) & (over(F.col("_at") + 1) > over(F.col("_at"))), F.col("_at") + 1).otherwise(F.col("_at")))
+    up = F.when((F.col("_at") > 0) & (over(F.col("_at") - 1) > over(F.col("_at"))), F.col("_at") - 1).otherwise(F.col("_at"))
+    return down.withColumn("r", up).drop("_at")
+
+
 def grid_words(words: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts of the printed cells: words by their middle strictly inside a row and a column, in reading order."""
-    mid_y, mid_x = F.col("y") + F.col("h") / 2, F.col("x") + F.col("w") / 2
-    at = lambda es, v: F.size(F.filter(es, lambda e: e < v)) - 1
-    placed = words.join(edges, keys).select(*keys, "word_ix", "text", "x", "y", at(F.col("rows"), mid_y).alias("r"), at(F.col("cols"), mid_x).alias("c"), F.size("rows").alias("n_r"), F.size("cols").alias("n_c"))
-    inside = placed.where("r >= 0 and c >= 0 and r < n_r - 1 and c < n_c - 1")
-    return inside.groupBy(*keys, "r", "c").agg(T.clean(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "word_ix", "text"))), lambda w: w["text"]), " ")).alias("text"))
+    """Texts of the printed cells: words by their line's row, so that raised signs and second lines stay with it, and by
+    their middle strictly inside a column; line by line, from left to right.
+    """
+    in_rows = line_bands(L.lines(words, keys), edges, keys).where("r >= 0")
+    mid_x = F.col("w.x") + F.col("w.w") / 2
+    each = in_rows.select(*keys, "r", "line_ix", "cols", F.explode("words").alias("w")).withColumn("c", F.size(F.filter("cols", lambda e: e < mid_x)) - 1)
+    inside = each.where((F.col("c") >= 0) & (F.col("c") < F.size("cols") - 1) & (mid_x < F.get("cols", F.col("c") + 1)))
+    word = F.struct("line_ix", F.col("w.x").alias("x"), F.col("w.word_ix").alias("word_ix"), F.col("w.text").alias("text"))
+    return inside.groupBy(*keys, "r", "c").agg(T.clean(F.array_join(F.transform(F.sort_array(F.collect_list(word)), lambda x: x["text"]), " ")).alias("text"))
 
 
 def label_columns(matrix: DataFrame, keys: list[str]) -> DataFrame:
