@@ -31,3 +31,14 @@ def test_stages_keep_columns_and_decisions_take_effect(spark, tmp_path):
     assert sum(r["n_tokens"] for r in run) == max(r["start"] + r["n_tokens"] for r in run)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert tokenizer_file() and all((language_id, simhash, decontaminate, mixing, token_output))
+
+
+def test_an_empty_table_runs_through(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone_id long, slot string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    assert decontaminate.clean(none, bench).collect() == [] and mixing.mixed(none, {"a": 1}).collect() == []
+    assert decontaminate.clean(none, bench).columns == none.columns
