@@ -218,11 +218,14 @@ def links(heads: DataFrame, docs: DataFrame, size: int, share: tuple[int, int])
         return of.join(parts.withColumnsRenamed({"node": "h", "component": "part"}), "h", "left").withColumn("part", F.coalesce("part", "h"))
 
     def apart(entries: DataFrame, by: Column | None = None) -> DataFrame:
-        """The entries of keys whose sets aren't all connected yet, each with one of its key's sets, the least (``by``),
-        and whether it is to be compared with that: not connected, and sizes and places allow it.
+        """The entries of keys whose sets aren't all connected yet, each with one of its key's sets (the least ``by``, or
+        by component), and whether it is to be compared with that: not connected, and sizes and places allow it.
         """
-        first = F.min(F.struct(*([] if by is None else [by.alias("by")]), F.col("h").alias("one"), F.col("part").alias("one_part"), F.col("n").alias("m"), F.col("at").alias("m_at"))).alias("first")
-        mixed = entries.groupBy("key").agg(first, F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "first.one", "first.one_part", "first.m", "first.m_at")
+        told = [F.col("part").alias("one_part"), F.col("h").alias("one"), F.col("n").alias("m"), F.col("at").alias("m_at")]
+        first, last = F.min(F.struct(*([] if by is None else [by.alias("by")]), *told)).alias("first"), F.max("part").alias("hi")
+        # Of the least component, no least one has to be carried beside the greatest.
+        lo = [] if by is None else [F.min("part").alias("lo")]
+        mixed = entries.groupBy("key").agg(first, last, *lo).where("first.one_part != hi" if by is None else "lo != hi").select("key", "first.one", "first.one_part", "first.m", "first.m_at")
         asked = (F.col("part") != F.col("one_part")) & sizes_fit(F.col("n"), F.col("m"), share) & places_fit(F.col("n"), F.col("at"), F.col("m"), F.col("m_at"), share)
         return common.written(entries.join(mixed, "key").select("h", "key", "n", "at", F.when(asked, F.col("one")).alias("one")), "near-apart")
 
@@ -240,7 +243,7 @@ def links(heads: DataFrame, docs: DataFrame, size: int, share: tuple[int, int])
     # on only those of keys with several components are left.
     sized = in_parts(found, heads.select("h", "n", "prefix"))
     entries = sized.select("h", F.col("n").cast("int").alias("n"), "part", F.posexplode("prefix").alias("at", "key"))
-    # The first time, the least set of all: it is the same for most keys of a crowd.  Then one that is the key's own.
+    # The first time, the least of all: it is the same for most keys of a crowd.  Then one that is the key's own.
     first = apart(entries)
     found = found.unionByName(similar(to_one(first)))
     second = apart(in_parts(found, first.select("h", "key", "n", "at")), F.xxhash64("h", "key"))
