@@ -1,11 +1,14 @@
-"""Small inline relations that Spark and DuckDB read from the same VALUES."""
+"""Relations that Spark and DuckDB read from the same SQL: what is derived from the tables, and a few rows of rare cases."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridframe.plans import derived
+from gridframe.sources import layout
+
 DUCK = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN", "long": "BIGINT"}
 
 
@@ -19,25 +22,47 @@ def literal(x) -> str:
     return repr(x)
 
 
+#: The documents' lines in DuckDB; for Spark they are ``layout.doc_lines``.
+LINES = "(select doc_id, cast(ix - 1 as integer) as line_ix, text from (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as ix from documents))"
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The given tables of a session's data folder."""
+
+    spark: SparkSession
+    folder: str
+
+    def read(self, sql: str) -> DataFrame:
+        """``sql`` over the tables whose names it has in braces."""
+        used = {n: layout.table(self.spark, self.folder, n) for n in ("lineitem", "orders") if "{" + n + "}" in sql}
+        if "{lines}" in sql:
+            used["lines"] = layout.doc_lines(layout.table(self.spark, self.folder, "documents"))
+        return self.spark.sql(sql, **used)
+
+
 @dataclass(frozen=True)
 class Fixture:
-    """``columns``: "name type, ..."; strings must not hold quotes or backslashes."""
+    """``columns``: "name type, ..."; strings must not hold quotes or backslashes.  ``derived``: SQL over the tables."""
 
     columns: str
     rows: list[tuple]
+    derived: str = ""
 
     def _typed(self, kind, quote: str) -> str:
         pairs = [(quote + n + quote, kind(t)) for n, t in (c.split() for c in self.columns.split(","))]
         names = ", ".join(n for n, _ in pairs)
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        return "select " + ", ".join(f"cast({n} as {t}) as {n}" for n, t in pairs) + f" from (values {values}) as t({names})"
+        typed = "select " + ", ".join(f"cast({n} as {t}) as {n}" for n, t in pairs)
+        rare = f"{typed} from (values {values}) as t({names})"
+        return f"{rare} union all {typed} from ({self.derived}) as d" if self.derived else rare
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.sql(self._typed(lambda t: {"long": "bigint"}.get(t, t), "`"))
+    def frame(self, data: Tables) -> DataFrame:
+        return data.read(self._typed(lambda t: {"long": "bigint"}.get(t, t), "`"))
 
     @property
     def sql(self) -> str:
-        return f"({self._typed(DUCK.__getitem__, '"')})"
+        return f"({self._typed(DUCK.__getitem__, '"')})".format(lineitem="lineitem", orders="orders", lines=LINES)
 
 
 K = "doc_id string, cand int"
@@ -47,7 +72,7 @@ PATHS = Fixture("doc_id string, page int, path_ix int, min_x double, max_x doubl
     ("a", 1, 6, 0, 50, 0, 50), ("b", 2, 0, 10, 22, 10, 12.5), ("b", 2, 1, 10, 12.5, 10, 22), ("b", 2, 2, 10, 90, 400, 400), ("b", 2, 3, 171, 240, 402.5, 402.5), ("b", 2, 4, 10, 60, 406, 406),
 ])
 
-BOXES = Fixture("box int, a double, b double, c double, d double, e double, f double, min_x double, max_x double, min_y double, max_y double", [
+BOXES = Fixture("box long, a double, b double, c double, d double, e double, f double, min_x double, max_x double, min_y double, max_y double", [
     (1, 1, 0, 0, 1, 0, 0, 1, 2, 3, 4), (2, 0, 1, -1, 0, 100, 0, 10, 20, 30, 40), (3, 2, 0, 0, -2, 0, 792, 5, 6, 7, 9), (4, 1, 0, 0, 1, None, 0, 1, 2, 3, 4), (5, 0.5, 0.5, -0.5, 0.5, 8, 16, 0, 4, 0, 8),
 ])
 
@@ -56,7 +81,7 @@ ITEMS = Fixture("doc_id string, page int, word_ix int, text string, m0 double, m
     ("a", 1, 4, "zero", 3, 4, 0, 12, 10.005, 20.5, 0, 0, 2, 12), ("a", 1, 5, "half", 1, 0, 3, 4, -2.125, 1.375, 2, 0, 9, 5),
 ])
 
-HEADINGS = Fixture("line_ix int, text string", [
+HEADINGS = Fixture("line_ix long, text string", [
     (1, "Table 3. Schedule of Activities"), (2, "Schedule of Events ........ 14"), (3, "see the Schedule of Events in Attachment 1"), (4, "Study Flow Chart"), (5, "The overview of study assessments is described in Section 5"),
     (6, "TIME AND EVENTS"), (7, "Schedule   of    Assessments"), (8, "Foresee the trial schedule"), (9, "a" * 111), (10, "visit schedule"), (11, "Assessment schedule and a great many other words that make this line much longer than any heading would be in print"),
     (12, "Statistical methods"), (13, "Refer to Table of Events"),
@@ -117,7 +142,7 @@ HEADER_VALUES = Fixture("doc_id string, cand int, row_ix int, role string, band_
     ("a", 0, 4, None, 0, "clinic"), ("a", 0, 5, None, 0, "fasting"), ("a", 0, 4, None, 2, "phone"), ("a", 0, 2, "studyWeek", 3, "12"),
 ])
 
-CAPTIONS = Fixture("ix int, label string, numeric boolean", [
+CAPTIONS = Fixture("ix long, label string, numeric boolean", [
     (1, "Visit Number", True), (2, "Visit", False), (3, "Visits", True), (4, "Visits", False), (5, "Study Day", True), (6, "Days", True), (7, "ACTIVITY WEEK", True), (8, "Month", False), (9, "Visit Window (days)", False), (10, "Study Period", False),
     (11, "Cycle 1", False), (12, "Vital signs", False), (13, "Timepoint", False), (14, "Phase", False), (15, "Weekly weight", False), (16, "Physical exam day", False),
 ])
@@ -205,13 +230,13 @@ SPLIT_ROWS = Fixture("doc_id string, cand int, ord int, label string, n_cells in
 
 DRAWN_LABELS = Fixture("doc_id string, cand int, label string", [("a", 0, "Physical examination"), ("a", 0, "medication review"), ("a", 0, "Concomitant medication review"), ("b", 0, "Physical examination")])
 
-USAGE = Fixture("use_ix int, model string, tokens_in long, tokens_out long", [(1, "large", 41250, 18844), (2, "medium", 40000, 4501), (3, "small", 1, 1), (4, "unknown", 10, 10)])
+USAGE = Fixture("use_ix long, model string, tokens_in long, tokens_out long", [(1, "large", 41250, 18844), (2, "medium", 40000, 4501), (3, "small", 1, 1), (4, "unknown", 10, 10)])
 #: Dollars per million tokens in and out.
 RATES = Fixture("model string, rate_in double, rate_out double", [("large", 5, 25), ("medium", 2, 10), ("small", 1, 5)])
 
-PAIRS = Fixture("grp int, pos int, at int", [(1, 0, 3), (1, 1, 1), (1, 2, 2), (1, 3, 5), (1, 4, 4), (2, 0, 9), (2, 1, 8)])
+PAIRS = Fixture("grp long, pos int, at int", [(1, 0, 3), (1, 1, 1), (1, 2, 2), (1, 3, 5), (1, 4, 4), (2, 0, 9), (2, 1, 8)])
 
-BAGS = Fixture("ix int, printed string, ours string, spanned boolean", [
+BAGS = Fixture("ix long, printed string, ours string, spanned boolean", [
     (1, "X a", "X", False), (2, "3X weekly", "weekly 3X", False), (3, "Day 4", "Day 5", False), (4, "Day 4", "Day 5", True), (5, "12 12", "12", False), (6, "prior to day 4", "prior to", False), (7, "", "X", False),
 ])
 
@@ -265,3 +290,6 @@ PRINTED = Fixture("doc_id string, page int, row int, text string", [("a", 1, 1,
 GRIDS = Fixture("doc_id string, page int, n_drawn int, n_paired int, starts_another boolean", [("a", 1, 8, 3, False), ("a", 2, 8, 4, False), ("a", 3, 3, 0, False), ("a", 4, 9, 9, True)])
 
 RANKED = Fixture("doc_id string, cand_ix int, score double", [("a", 0, 9.5), ("a", 1, 9.4), ("b", 0, 20), ("b", 1, 14), ("b", 2, 12), ("b", 3, 12), ("c", 0, 30), ("c", 1, 11.9)])
+
+for _name, _sql in derived.SQL.items():
+    globals()[_name] = replace(globals()[_name], derived=_sql)
