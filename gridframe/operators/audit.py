@@ -116,7 +116,7 @@ def missing_rows(printed: DataFrame, ours: DataFrame, keys: list[str]) -> DataFr
     Pairs are formed through shared words.
     """
     p = printed.where(~F.col("label").rlike(r"(?i)^\s*(x|✓|●|•)\s*[=:-]")).select(*keys, "row", "label", F.array_distinct(tokens(F.col("label"), 2)).alias("ws")).where("size(ws) > 0")
-    o = ours.select(*keys, F.col("label").alias("own"), F.array_distinct(tokens(F.col("label"), 2)).alias("own_ws")).where("size(own_ws) > 0")
+    o = ours.select(*keys, F.col("label").alias("own"), F.array_distinct(tokens(F.col("label"), 2)).alias("own_ws")).where("size(own_ws) > 0").distinct()
     a = p.select(*keys, "row", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     b = o.select(*keys, "own", F.size("own_ws").alias("own_n"), F.explode("own_ws").alias("w"))
     hits = a.join(b, [*keys, "w"]).groupBy(*keys, "row", "n", "own", "own_n").agg(F.count(F.lit(1)).alias("both")).where("both >= 0.7 * least(n, own_n)")

@@ -18,10 +18,16 @@ def no_pages() -> Column:
     return F.array().cast("array<int>")
 
 
+def is_named() -> Column:
+    """Whether a column has a fact, or a label of at most 14 characters that isn't a mere number of a column."""
+    fact = T.nonempty(F.col("visit_number"), F.col("study_day"), F.col("study_week"), F.col("visit_window")).isNotNull()
+    label = F.coalesce("label", F.lit(""))
+    return fact | ((label != "") & (F.length(label) <= 14) & ~label.rlike(r"(?i)^column\s*\d+$"))
+
+
 def unidentified(columns: DataFrame) -> DataFrame:
     """Columns without a fact or a short label."""
-    named = T.nonempty(F.col("visit_number"), F.col("study_day"), F.col("study_week"), F.col("visit_window")).isNotNull() | ((F.length("label") <= 20) & ~F.col("label").rlike(r"^Column \d+$"))
-    sums = columns.where("not divider").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(~named).alias("bad"), F.array_sort(F.collect_set(F.when(~named, F.col("page")))).alias("bad_pages")).where("bad > 0")
+    sums = columns.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_named()).alias("bad"), F.array_sort(F.collect_set(F.when(~is_named(), F.col("page")))).alias("bad_pages")).where("bad > 0")
     share = F.col("bad") / F.col("n")
     return sums.select(*KEYS, *finding("unidentified-columns", share > 0.4, F.least(F.lit(0.55), 0.8 * share), F.col("bad_pages"), F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("columns"))))
 
@@ -44,18 +50,19 @@ def duplicates(columns: DataFrame, cells: DataFrame) -> DataFrame:
     """Columns with the same cells as an earlier one; high if either of a pair has no name.  No column is paired with
     more than the first of its group.
     """
-    unnamed = F.col("label").rlike(r"^Column \d+$")
-    groups = signatures(columns, cells).groupBy(*KEYS, "signature").agg(F.count(F.lit(1)).alias("n"), F.bool_or(unnamed).alias("unnamed"), F.collect_set("page").alias("pages")).where("n > 1")
+    groups = signatures(columns, cells).groupBy(*KEYS, "signature").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~is_named()).alias("unnamed"), F.collect_set("page").alias("pages")).where("n > 1")
     sums = groups.groupBy(*KEYS).agg(F.sum(F.col("n") - 1).alias("pairs"), F.bool_or("unnamed").alias("unnamed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("all"))
     return sums.select(*KEYS, *finding("duplicate-columns", F.col("unnamed"), F.least(F.lit(0.4), 0.15 * F.col("pairs")), F.col("all"), F.concat_ws(" ", "pairs", F.lit("pairs"))))
 
 
-def unlabelled(rows: DataFrame, cells: DataFrame) -> DataFrame:
+def unlabelled(rows: DataFrame, cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows with cells and no label, among all rows; the pages are the table's."""
     with_cells = cells.select(*KEYS, F.col("row_id").alias("id")).distinct().withColumn("has", F.lit(True))
-    bad = F.coalesce(F.col("has"), F.lit(False)) & (F.trim("label") == "")
-    sums = rows.where("kind = 'assessment'").join(with_cells, [*KEYS, "id"], "left").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).where("bad > 0")
+    pages = columns.groupBy(*KEYS).agg(F.array_sort(F.collect_set("page")).alias("of_table"))
+    bad = F.coalesce(F.col("has"), F.lit(False)) & (F.trim(F.coalesce("label", F.lit(""))) == "")
+    sums = rows.join(with_cells, [*KEYS, "id"], "left").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).where("bad > 0").join(pages, KEYS, "left")
     share = F.col("bad") / F.col("n")
-    return sums.select(*KEYS, *finding("unlabelled-rows", share > 0.15, F.least(F.lit(0.3), 1.5 * share), no_pages(), F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("rows"))))
+    return sums.select(*KEYS, *finding("unlabelled-rows", share > 0.15, F.least(F.lit(0.3), 1.5 * share), F.coalesce("of_table", no_pages()), F.concat_ws(" ", "bad", F.lit("of"), "n", F.lit("rows"))))
 
 
 def unlinked(targets: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def sparse(columns: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def findings(columns: DataFrame, rows: DataFrame, cells: DataFrame, targets: DataFrame) -> DataFrame:
-    parts = [unidentified(columns), column_counts(columns), duplicates(columns, cells), unlabelled(rows, cells), unlinked(targets), sparse(columns, rows, cells)]
+    parts = [unidentified(columns), column_counts(columns), duplicates(columns, cells), unlabelled(rows, cells, columns), unlinked(targets), sparse(columns, rows, cells)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -102,4 +109,7 @@ def assess(tables: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def summarise(assessments: DataFrame) -> DataFrame:
-    return assessments.select(*KEYS, F.format_string("%s (%.2f): %s", "verdict", "confidence", F.when(F.col("checks") == "", "no findings").otherwise(F.col("checks"))).alias("summary"))
+    """One line a table: the confidence in its shortest form, and the verdict with the first finding, if there is one."""
+    shown = F.regexp_replace(F.format_string("%.2f", "confidence"), r"\.?0+$", "")
+    rest = F.when(F.col("verdict") == "trust", "self-checks passed").otherwise(F.concat_ws(": ", "verdict", F.substring_index("checks", ",", 1)))
+    return assessments.select(*KEYS, F.concat(F.lit("confidence "), shown, F.lit(" — "), rest).alias("summary"))

@@ -24,7 +24,7 @@ def glossary(line: Column) -> tuple[Column, Column]:
     """
     label = F.regexp_extract(line, T.GLOSSARY_LABEL, 0)
     rest = F.substr(line, F.length(label) + 1)
-    parts = F.filter(F.transform(F.split(F.regexp_replace(rest, r"[.;]\s*$", ""), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(rest, r"[.;]\s*$", ""), ";"), lambda p: F.trim(p)), lambda p: p != "")
     fits = (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(r"^\S{1,20}(\s\S{1,20})?\s*=\s*\S"))
     return fits & ((label != "") | (F.size(parts) >= 2)), F.lower(F.regexp_replace(label, r"[:\s]+$", ""))
 

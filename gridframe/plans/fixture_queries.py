@@ -292,7 +292,9 @@ def divider_columns(data):
     return columns.divide(X.VALUES.frame(data), dividers, ["doc_id", "cand"]).select("row_id", "col_id", "value")
 
 
-@query("glossary_parse")
+@query("glossary_parse", f"""with l as (select *, regexp_extract(text, '{T.GLOSSARY_LABEL}') as head from {X.DEFS.sql}),
+  p as (select *, list_filter(list_transform(string_split(regexp_replace(substring(text, length(head) + 1), '[.;]\\s*$', ''), ';'), lambda x: trim(x)), lambda x: x <> '') as parts from l)
+  select doc_id, line_ix, len(parts) > 0 and len(list_filter(parts, lambda x: not regexp_matches(x, '^\\S{{1,20}}(\\s\\S{{1,20}})?\\s*=\\s*\\S'))) = 0 and (head <> '' or len(parts) >= 2) as glossary, lower(regexp_replace(head, '[:\\s]+$', '')) as label from p""")
 def glossary_parse(data):
     fits, label = footnotes.glossary(F.col("text"))
     return X.DEFS.frame(data).select("doc_id", "line_ix", fits.alias("glossary"), label.alias("label"))
@@ -359,57 +361,79 @@ def _short(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "cand", "severity", T.round2(F.col("cost") * 100).alias("cost"), joined("pages").alias("pages"))
 
 
-SHORT = "floor((cost) * 10000 + 0.5) / 100 as cost"
+NAMED_COLUMN = "(coalesce(nullif(visit_number, ''), nullif(study_day, ''), nullif(study_week, ''), nullif(visit_window, '')) is not null or (coalesce(label, '') <> '' and length(label) <= 14 and not regexp_matches(label, '(?i)^column\\s*[0-9]+$')))"
 
-
-@query("check_unidentified", f"""with n as (select *, coalesce(nullif(visit_number, ''), nullif(study_day, ''), nullif(study_week, ''), nullif(visit_window, '')) is not null or (length(label) <= 20 and not regexp_matches(label, '^Column [0-9]+$')) as named from {X.T_COLUMNS.sql} where not divider),
+#: The findings of each check: doc_id, cand, severity, cost and pages.
+CHECK_SQL = {
+    "unidentified-columns": f"""with n as (select *, {NAMED_COLUMN} as named from {X.T_COLUMNS.sql}),
   s as (select doc_id, cand, count(*) as n, count(*) filter (not named) as bad, string_agg(distinct page::varchar, ',' order by page::varchar) filter (not named) as pages from n group by 1, 2)
-  select doc_id, cand, case when bad / n > 0.4 then 'high' else 'low' end as severity, floor(least(0.55, 0.8 * bad / n) * 10000 + 0.5) / 100 as cost, pages from s where bad > 0""")
+  select doc_id, cand, case when bad / n > 0.4 then 'high' else 'low' end as severity, least(0.55, 0.8 * (bad / n)) as cost, pages from s where bad > 0""",
+    "column-count-disagrees": f"""with p as (select doc_id, cand, page, count(*) as n from {X.T_COLUMNS.sql} where page is not null group by 1, 2, 3), s as (select doc_id, cand, max(n) as most, min(n) as fewest, string_agg(page::varchar, ',' order by page) as pages from p group by 1, 2 having count(*) >= 2 and max(n) - min(n) > 1)
+  select doc_id, cand, case when most >= 2 * fewest then 'high' else 'low' end as severity, least(0.4, (most - fewest) / most * 0.6) as cost, pages from s""",
+    "duplicate-columns": f"""with g as (select doc_id, cand, col_id as id, string_agg(row_id || '=' || value, '|' order by row_id || '=' || value) as s from {X.T_CELLS.sql} group by 1, 2, 3 having count(*) >= 6),
+  c as (select doc_id, cand, s, page, not {NAMED_COLUMN} as unnamed, count(*) over (partition by doc_id, cand, s) as n, row_number() over (partition by doc_id, cand, s order by id) as nth from g join {X.T_COLUMNS.sql} using (doc_id, cand, id))
+  select doc_id, cand, case when bool_or(unnamed) then 'high' else 'low' end as severity, least(0.4, 0.15 * count(*) filter (nth > 1)) as cost, string_agg(distinct page::varchar, ',' order by page::varchar) as pages from c where n > 1 group by 1, 2""",
+    "unlabelled-rows": f"""with r as (select doc_id, cand, trim(coalesce(label, '')) = '' and exists (select 1 from {X.T_CELLS.sql} x where x.doc_id = r.doc_id and x.cand = r.cand and x.row_id = r.id) as bad from {X.T_ROWS.sql} r),
+  s as (select doc_id, cand, count(*) as n, count(*) filter (bad) as bad from r group by 1, 2), p as (select doc_id, cand, string_agg(distinct page::varchar, ',' order by page::varchar) as pages from {X.T_COLUMNS.sql} group by 1, 2)
+  select doc_id, cand, case when bad / n > 0.15 then 'high' else 'low' end as severity, least(0.3, 1.5 * (bad / n)) as cost, coalesce(pages, '') as pages from s left join p using (doc_id, cand) where bad > 0""",
+    "unlinked-footnotes": f"""with m as (select doc_id, cand, marker, bool_and(target = 'table') as loose from {X.T_TARGETS.sql} group by 1, 2, 3), s as (select doc_id, cand, count(*) as n, count(*) filter (loose) as bad from m group by 1, 2)
+  select doc_id, cand, case when bad / n >= 0.55 then 'high' else 'low' end as severity, least(0.35, 0.45 * (bad / n)) as cost, '' as pages from s where bad >= 2 and bad / n >= 0.5""",
+    "sparse-grid": f"""with c as (select doc_id, cand, count(*) as cols from {X.T_COLUMNS.sql} group by 1, 2), r as (select doc_id, cand, count(*) as rows from {X.T_ROWS.sql} where kind = 'assessment' group by 1, 2), x as (select doc_id, cand, count(*) as n from {X.T_CELLS.sql} group by 1, 2)
+  select doc_id, cand, 'low' as severity, 0.2::double as cost, '' as pages from c join r using (doc_id, cand) left join x using (doc_id, cand) where coalesce(n, 0) / (cols * rows) < 0.08""",
+}
+
+
+def short_sql(check: str) -> str:
+    return f"select doc_id, cand, severity, floor(cost * 100 * 100 + 0.5) / 100 as cost, pages from ({CHECK_SQL[check]})"
+
+
+@query("check_unidentified", short_sql("unidentified-columns"))
 def check_unidentified(data):
     return _short(confidence.unidentified(_tables(data)[0]))
 
 
-@query("check_column_counts", f"""with p as (select doc_id, cand, page, count(*) as n from {X.T_COLUMNS.sql} where page is not null group by 1, 2, 3), s as (select doc_id, cand, max(n) as most, min(n) as fewest, string_agg(page::varchar, ',' order by page) as pages from p group by 1, 2 having count(*) >= 2 and max(n) - min(n) > 1)
-  select doc_id, cand, case when most >= 2 * fewest then 'high' else 'low' end as severity, floor(least(0.4, (most - fewest) / most * 0.6) * 10000 + 0.5) / 100 as cost, pages from s""")
+@query("check_column_counts", short_sql("column-count-disagrees"))
 def check_column_counts(data):
     return _short(confidence.column_counts(_tables(data)[0]))
 
 
-@query("check_duplicates", f"""with g as (select doc_id, cand, col_id as id, string_agg(row_id || '=' || value, '|' order by row_id || '=' || value) as s from {X.T_CELLS.sql} group by 1, 2, 3 having count(*) >= 6),
-  d as (select doc_id, cand, s, count(*) as n, bool_or(regexp_matches(label, '^Column [0-9]+$')) as unnamed, min(page) as page from g join {X.T_COLUMNS.sql} using (doc_id, cand, id) group by 1, 2, 3 having count(*) > 1)
-  select doc_id, cand, case when bool_or(unnamed) then 'high' else 'low' end as severity, floor(least(0.4, 0.15 * sum(n - 1)) * 10000 + 0.5) / 100 as cost, string_agg(distinct page::varchar, ',' order by page::varchar) as pages from d group by 1, 2""")
+@query("check_duplicates", short_sql("duplicate-columns"))
 def check_duplicates(data):
     c, _, x, _ = _tables(data)
     return _short(confidence.duplicates(c, x))
 
 
-@query("check_unlabelled", f"""with r as (select doc_id, cand, trim(label) = '' and exists (select 1 from {X.T_CELLS.sql} x where x.doc_id = r.doc_id and x.cand = r.cand and x.row_id = r.id) as bad from {X.T_ROWS.sql} r where kind = 'assessment'),
-  s as (select doc_id, cand, count(*) as n, count(*) filter (bad) as bad from r group by 1, 2) select doc_id, cand, case when bad / n > 0.15 then 'high' else 'low' end as severity, floor(least(0.3, 1.5 * bad / n) * 10000 + 0.5) / 100 as cost, '' as pages from s where bad > 0""")
+@query("check_unlabelled", short_sql("unlabelled-rows"))
 def check_unlabelled(data):
-    _, r, x, _ = _tables(data)
-    return _short(confidence.unlabelled(r, x))
+    c, r, x, _ = _tables(data)
+    return _short(confidence.unlabelled(r, x, c))
 
 
-@query("check_unlinked", f"""with m as (select doc_id, cand, marker, bool_and(target = 'table') as loose from {X.T_TARGETS.sql} group by 1, 2, 3), s as (select doc_id, cand, count(*) as n, count(*) filter (loose) as bad from m group by 1, 2)
-  select doc_id, cand, case when bad / n >= 0.55 then 'high' else 'low' end as severity, floor(least(0.35, 0.45 * bad / n) * 10000 + 0.5) / 100 as cost, '' as pages from s where bad >= 2 and bad / n >= 0.5""")
+@query("check_unlinked", short_sql("unlinked-footnotes"))
 def check_unlinked(data):
     return _short(confidence.unlinked(_tables(data)[3]))
 
 
-@query("check_sparse", f"""with c as (select doc_id, cand, count(*) as cols from {X.T_COLUMNS.sql} group by 1, 2), r as (select doc_id, cand, count(*) as rows from {X.T_ROWS.sql} where kind = 'assessment' group by 1, 2), x as (select doc_id, cand, count(*) as n from {X.T_CELLS.sql} group by 1, 2)
-  select doc_id, cand, 'low' as severity, 20.0::double as cost, '' as pages from c join r using (doc_id, cand) left join x using (doc_id, cand) where coalesce(n, 0) / (cols * rows) < 0.08""")
+@query("check_sparse", short_sql("sparse-grid"))
 def check_sparse(data):
     c, r, x, _ = _tables(data)
     return _short(confidence.sparse(c, r, x))
 
 
-@query("assess")
+ASSESS_SQL = f"""with f as ({" union all ".join(f"select {o} as o, '{name}' as name, doc_id, cand, severity, cost, pages from ({sql})" for o, (name, sql) in enumerate(CHECK_SQL.items()))}),
+  g as (select doc_id, cand, list_reduce(list_prepend(1.0::double, list(1 - cost order by o)), lambda a, x: a * x) as product, bool_or(severity = 'high') as high, string_agg(name, ',' order by o) as checks,
+    list_sort(list_filter(list_distinct(flatten(list(string_split(pages, ',')) filter (severity = 'high'))), lambda p: p <> '')) as fallback from f group by 1, 2)
+  select doc_id, cand, floor(coalesce(product, 1.0) * 100 + 0.5) / 100 as confidence, case when high then 'fallback' when high is not null then 'check' else 'trust' end as verdict,
+    coalesce(array_to_string(fallback, ','), '') as fallback_pages, coalesce(checks, '') as checks from (select distinct doc_id, cand from {X.T_COLUMNS.sql}) left join g using (doc_id, cand)"""
+
+
+@query("assess", ASSESS_SQL)
 def assess(data):
     c, r, x, t = _tables(data)
     return confidence.assess(c, confidence.findings(c, r, x, t))
 
 
-@query("assess_summary")
+@query("assess_summary", f"""select doc_id, cand, 'confidence ' || regexp_replace(printf('%.2f', confidence), '\\.?0+$', '') || ' — ' || case verdict when 'trust' then 'self-checks passed' else verdict || ': ' || string_split(checks, ',')[1] end as summary from ({ASSESS_SQL})""")
 def assess_summary(data):
     c, r, x, t = _tables(data)
     return confidence.summarise(confidence.assess(c, confidence.findings(c, r, x, t)))
@@ -462,7 +486,12 @@ def audit_ascending(data):
     return audit.uncrossed(X.PAIRS.frame(data), ["grp"])
 
 
-@query("audit_bag_contains")
+TOKEN_BAG = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+HOLDS = "list_bool_and(list_transform(list_filter({a}, lambda t: not regexp_matches(t, '^[a-z]$')), lambda t: len(list_filter({a}, lambda x: x = t)) <= len(list_filter({b}, lambda x: x = t))))"
+
+
+@query("audit_bag_contains", f"""with b as (select *, {TOKEN_BAG.format('printed')} as p, {TOKEN_BAG.format('ours')} as o from {X.BAGS.sql})
+  select ix, coalesce({HOLDS.format(a='p', b='o')}, true) or coalesce({HOLDS.format(a='o', b='p')}, true) or spanned as fine from b""")
 def audit_bag_contains(data):
     return audit.check_cells(X.BAGS.frame(data)).select("ix", "fine")
 
