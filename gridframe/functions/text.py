@@ -6,6 +6,8 @@ names that such tables, their header rows and their periods go by.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,9 +103,18 @@ PERIOD_WORDS = [
 ]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: White space that isn't one plain space alone: only this has to be replaced.  Printed ASCII is passed over first.
+LOOSE_SPACE = f"(?![!-~])(?:(?! ){SPACE}| {SPACE})"
+
+
 def clean(s: Column) -> Column:
     """White space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(s, SPACE, " "))
+    return F.trim(F.regexp_replace(s, LOOSE_SPACE, " "))
 
 
 def norm(s: Column) -> Column:

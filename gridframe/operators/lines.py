@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.functions.text import clean, round2
+from gridframe.functions.text import clean, let, round2
 
 
 def project_words(items: DataFrame) -> DataFrame:
@@ -20,36 +20,71 @@ def project_words(items: DataFrame) -> DataFrame:
     return kept.select("doc_id", "page", "word_ix", "text", round2(F.col("m4")).alias("x"), round2(F.col("m5") - h).alias("y"), round2(w).alias("w"), round2(h).alias("h"))
 
 
-def assign_lines(words: DataFrame, keys: list[str]) -> DataFrame:
-    """Words with the number of their line.
+def page_runs(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Words of each page in order of (y, x, word_ix), as runs of neighbours of one y and one height."""
+    ws = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "word_ix", "w", "h", "text"))).alias("ws"))
+    differs = lambda i, c: ~F.get("ws", i)[c].eqNullSafe(F.get("ws", i - 1)[c])
+    starts = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (i == 0) | differs(i, "y") | differs(i, "h"))
+    own = lambda starts, s, k: F.slice("ws", s + 1, F.coalesce(F.get(starts, k + 1), F.size("ws")) - s)
+    word = lambda w: F.struct(*[w[c].alias(c) for c in ("x", "word_ix", "text", "w")])
+    run = lambda starts: F.transform(starts, lambda s, k: F.struct(F.get("ws", s)["y"].alias("y"), F.get("ws", s)["h"].alias("h"), F.transform(own(starts, s, k), word).alias("words")))
+    return ws.select(*keys, let(starts, run).alias("runs"))
+
+
+def run_lines(pages: DataFrame, keys: list[str], words: bool = True) -> DataFrame:
+    """A row for each page: its lines, in order of their tops, with their text and, if asked for, their words by x.
 
-    In order of (y, x, word_ix) a word joins the first line whose centre (that of its first word) is within 0.6 of
-    the greater of both heights; the line's height grows.
+    ``runs`` are the page's, in order: y, h and words (x, word_ix, text, w), by x.  A run joins the first line whose
+    centre (that of its first word) is within 0.6 of the greater of both heights; the line's height grows.  The words of
+    a run all do what its first does.  Lines that are too far above for the page's greatest height are closed, so few are
+    looked at.
     """
-    rows = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "word_ix", "w", "h", "text"))).alias("ws"))
-    start = F.struct(F.array().cast("array<struct<centre:double,height:double>>").alias("lines"), F.array().cast("array<int>").alias("of"))
+    line = "struct<top:double,no:int,centre:double,height:double,bottom:double,of:array<int>>"
+    none = F.array().cast(f"array<{line}>")
+
+    def step(s: Column, i: Column) -> Column:
+        r = F.get("runs", i)
+        mid, end, reach = r["y"] + r["h"] / 2, r["y"] + r["h"], F.col("tall") * 0.6
+        new = F.struct(r["y"].alias("top"), s["n"].alias("no"), mid.alias("centre"), r["h"].alias("height"), end.alias("bottom"), F.array(i).alias("of"))
+        grown = lambda l: F.struct(l["top"].alias("top"), l["no"].alias("no"), l["centre"].alias("centre"), F.greatest(l["height"], r["h"]).alias("height"), F.greatest(l["bottom"], end).alias("bottom"), F.concat(l["of"], F.array(i)).alias("of"))
+
+        def place(near: Column) -> Column:
+            at = F.array_position(F.transform(near, lambda l: F.abs(l["centre"] - mid) <= F.greatest(r["h"], l["height"]) * 0.6), True)
+            put = lambda at: F.when(at == 0, F.concat(near, F.array(new))).otherwise(F.transform(near, lambda l, k: F.when(k + 1 == at, grown(l)).otherwise(l)))
+            return let(at, put)
+
+        opened = let(F.filter(s["open"], lambda l: r["y"] - l["centre"] <= reach), place)
+        done = F.concat(s["done"], F.filter(s["open"], lambda l: r["y"] - l["centre"] > reach))
+        return let(opened, lambda o: F.struct(F.greatest(s["n"], F.get(o, F.size(o) - 1)["no"] + 1).alias("n"), o.alias("open"), done.alias("done")))
+
+    start = F.struct(F.lit(0).alias("n"), none.alias("open"), none.alias("done"))
+    each = F.filter(F.sequence(F.lit(0), F.size("runs")), lambda i: i < F.size("runs"))
+    tall = pages.withColumn("tall", F.array_max(F.transform("runs", lambda r: r["h"])))
+    found = tall.withColumn("ls", F.aggregate(each, start, step, lambda s: F.sort_array(F.concat(s["done"], s["open"]))))
+    own = lambda r: F.transform(r["words"], lambda w: F.struct(*[w[c].alias(c) for c in ("x", "word_ix", "text")], r["y"].alias("y"), w["w"].alias("w"), r["h"].alias("h"))) if words else r["words"]
+    flat = lambda l: F.flatten(F.transform(l["of"], lambda i: own(F.get("runs", i))))
+    sorted_words = lambda l: F.when(F.size(l["of"]) == 1, flat(l)).otherwise(F.sort_array(flat(l)))
+    text = lambda ws: clean(F.array_join(F.transform(ws, lambda w: w["text"]), " "))
+    whole = lambda l, ws: F.struct(*[l[c].alias(c) for c in ("no", "top", "bottom", "centre", "height")], F.size(ws).alias("n_words"), text(ws).alias("text"), *([ws.alias("words")] if words else []))
+    return found.select(*keys, F.transform("ls", lambda l: let(sorted_words(l), lambda ws: whole(l, ws))).alias("ls"))
 
-    def step(state: Column, w: Column) -> Column:
-        lines, mid = state["lines"], w["y"] + w["h"] / 2
-        at = F.array_position(F.transform(lines, lambda l: F.abs(l["centre"] - mid) <= F.greatest(w["h"], l["height"]) * 0.6), True)
-        new = F.concat(lines, F.array(F.struct(mid.alias("centre"), w["h"].alias("height"))))
-        grown = F.transform(lines, lambda l, i: F.when(i + 1 == at, F.struct(l["centre"].alias("centre"), F.greatest(l["height"], w["h"]).alias("height"))).otherwise(l))
-        return F.struct(F.when(at == 0, new).otherwise(grown).alias("lines"), F.concat(state["of"], F.array(F.when(at == 0, F.size(lines) + 1).otherwise(at).cast("int"))).alias("of"))
 
-    found = rows.withColumn("of", F.aggregate("ws", start, step, lambda s: s["of"]))
-    return found.select(*keys, F.explode(F.arrays_zip("ws", "of")).alias("z")).select(*keys, F.col("z.of").alias("line"), "z.ws.*")
+def assign_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Words with the number of their line, from 1 in the order in which the lines begin."""
+    found = run_lines(page_runs(words, keys), keys).select(*keys, F.explode_outer("ls").alias("l")).where("l is not null")
+    return found.select(*keys, (F.col("l.no") + 1).alias("line"), F.explode_outer("l.words").alias("w")).where("w is not null").select(*keys, "line", *[f"w.{c}" for c in ("y", "x", "word_ix", "w", "h", "text")])
 
 
 def lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """Lines in order of their tops: top, bottom, centre, height, text, number of words and the words by x."""
-    got = assign_lines(words, keys)
-    first = F.min_by(F.col("y") + F.col("h") / 2, F.struct("y", "x", "word_ix"))
-    joined = F.sort_array(F.collect_list(F.struct("x", "word_ix", "text", "y", "w", "h")))
-    out = got.groupBy(*keys, "line").agg(F.min("y").alias("top"), F.max(F.col("y") + F.col("h")).alias("bottom"), first.alias("centre"), F.max("h").alias("height"), joined.alias("words"))
-    order = Window.partitionBy(*keys).orderBy("top", "line")
-    return out.select(
-        *keys, (F.row_number().over(order) - 1).alias("line_ix"), "top", "bottom", "centre", "height", F.size("words").alias("n_words"), clean(F.array_join(F.transform("words", lambda w: w["text"]), " ")).alias("text"), "words"
-    )
+    return lines_of(page_runs(words, keys), keys)
+
+
+def lines_of(pages: DataFrame, keys: list[str], words: bool = True) -> DataFrame:
+    """``lines`` of pages whose words are in runs."""
+    # An inner explode would compute the array once more, for a filter on its size.
+    got = run_lines(pages, keys, words).select(*keys, F.posexplode_outer("ls").alias("line_ix", "l")).where("l is not null")
+    return got.select(*keys, "line_ix", *[f"l.{c}" for c in ("top", "bottom", "centre", "height", "n_words", "text", *(["words"] if words else []))])
 
 
 def page_text(found: DataFrame, keys: list[str]) -> DataFrame:

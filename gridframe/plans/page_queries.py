@@ -93,8 +93,7 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = layout.doc_words(layout.table(spark, sf_dir, "documents")).withColumn("word_ix", F.col("line_ix") * 100_000 + F.col("part_ix"))
-    out = L.lines(words, ["doc_id"])
+    out = L.lines_of(layout.doc_runs(layout.table(spark, sf_dir, "documents")), ["doc_id"], words=False)
     return out.select("doc_id", F.col("line_ix").cast("long").alias("line_ix"), "top", "bottom", "centre", "height", F.col("n_words").cast("long").alias("n_words"), "text")
 
 

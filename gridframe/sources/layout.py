@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridframe.functions.text import let
+
 #: Schemas of the native inputs.
 PAGES = "doc_id string, page int, width int, height int, rotated boolean"
 WORDS = "doc_id string, page int, word_ix int, text string, x double, y double, w double, h double, font string"
@@ -21,18 +23,40 @@ def doc_lines(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lit(1).alias("page"), "line_ix", "text", F.filter(F.split("text", " "), lambda t: t != "").alias("tokens"))
 
 
+def ends(lengths: Column) -> Column:
+    """Sums up to each element of an array: each adds the sum that ends 1, 2, 4, ... before it, so no array is copied for
+    an element.
+    """
+    steps = lambda xs: F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda s: s < F.size(xs))
+    add = lambda xs, s: F.transform(xs, lambda x, k: F.when(k < s, x).otherwise(x + F.get(xs, k - s)))
+    return let(lengths, lambda xs: F.aggregate(steps(xs), xs, add))
+
+
+def line_words(line: Column, line_ix: Column) -> Column:
+    """Words of a printed line on a grid of characters: x = 5 characters along, w = 5 a character; ``word_ix`` counts what
+    is between spaces, blank or not.
+    """
+
+    def placed(parts: Column) -> Column:
+        word = lambda at: F.transform(parts, lambda p, k: F.struct((5.0 * (F.get(at, k) - F.length(p))).alias("x"), (line_ix * 100_000 + k).alias("word_ix"), p.alias("text"), (5.0 * F.length(p)).alias("w")))
+        words = let(ends(F.transform(parts, lambda p, k: F.length(p) + F.least(k, F.lit(1)))), word)
+        return F.when(F.array_contains(parts, ""), F.filter(words, lambda w: w["text"] != "")).otherwise(words)
+
+    return let(F.split(line, " "), placed)
+
+
 def doc_words(documents: DataFrame) -> DataFrame:
-    """Words on a grid of characters: y = 12 lines down, h = 10, x = 5 characters along, w = 5 a character."""
+    """Words of texts, a line for each line feed: y = 12 lines down, h = 10."""
     rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
-    parts = rows.select("doc_id", "line_ix", F.split("line", " ").alias("parts"))
-    ends = F.aggregate(
-        "parts", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1) + 1, F.lit(0)) + F.length(p)))
-    )
-    words = parts.select("doc_id", "line_ix", F.posexplode(F.arrays_zip("parts", ends.alias("ends"))).alias("part_ix", "p")).where("p.parts != ''")
-    return words.select(
-        "doc_id", F.lit(1).alias("page"), "line_ix", "part_ix", F.col("p.parts").alias("text"), (5.0 * (F.col("p.ends") - F.length("p.parts"))).alias("x"), (12.0 * F.col("line_ix")).alias("y"),
-        (5.0 * F.length("p.parts")).alias("w"), F.lit(10.0).alias("h"),
-    )
+    words = rows.select("doc_id", "line_ix", F.explode_outer(line_words(F.col("line"), F.col("line_ix"))).alias("p")).where("p is not null")
+    return words.select("doc_id", F.lit(1).alias("page"), "line_ix", (F.col("p.word_ix") - F.col("line_ix") * 100_000).alias("part_ix"), "p.text", "p.x", (12.0 * F.col("line_ix")).alias("y"), "p.w", F.lit(10.0).alias("h"))
+
+
+def doc_runs(documents: DataFrame) -> DataFrame:
+    """The same words, a row for each text: a run for each printed line that has any."""
+    run = lambda line, i: F.struct((12.0 * i).alias("y"), F.lit(10.0).alias("h"), line_words(line, i).alias("words"))
+    runs = F.filter(F.transform(F.split("text", "\n"), run), lambda r: F.size(r["words"]) > 0)
+    return documents.where("text is not null").select("doc_id", runs.alias("runs"))
 
 
 def star_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
