@@ -91,10 +91,16 @@ def candidates(scores: DataFrame, seed: float = 9.0, most_pages: int = 8, spill:
     """Ranges of pages around seeds, the best first.
 
     Seeds are taken by score (earlier pages first on a tie); a range grows over grid pages that aren't taken yet,
-    back and then forward, and then over at most ``spill`` footnote pages.  Greedy, so one fold per document.
+    back and then forward, and then over at most ``spill`` footnote pages.  Greedy, so one fold for each run of
+    neighbouring pages that are seeds, grids or notes: no range reaches over another page.
     """
-    pages = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "score", has_grid().alias("grid"), is_footnote_block().alias("notes")))).alias("ps"))
-    seeds = F.transform(F.sort_array(F.transform(F.filter("ps", lambda p: p["score"] >= seed), lambda p: F.struct((-p["score"]).alias("neg"), p["page"].alias("page")))), lambda s: s["page"])
+    first = F.min(F.struct("score", has_grid().alias("grid"), is_footnote_block().alias("notes")))
+    each = scores.groupBy("doc_id", "page").agg(first.alias("p"), F.max("score").alias("best"), F.sum("score").alias("sum"))
+    each = each.where((F.col("best") >= seed) | F.col("p.grid") | F.col("p.notes"))
+    run = F.col("page") - F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    pages = each.withColumn("run", run).groupBy("doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("page", "best", "sum", "p.grid", "p.notes"))).alias("ps")).where(F.exists("ps", lambda p: p["best"] >= seed))
+    at = lambda page: F.get("ps", page - F.get("ps", F.lit(0))["page"])
+    seeds = F.transform(F.sort_array(F.transform(F.filter("ps", lambda p: p["best"] >= seed), lambda p: F.struct((-p["best"]).alias("neg"), p["page"].alias("page")))), lambda s: s["page"])
     kind = "struct<used:array<int>,out:array<struct<seed:int,pages:array<int>>>>"
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<seed:int,pages:array<int>>>").alias("out"))
 
@@ -103,8 +109,7 @@ def candidates(scores: DataFrame, seed: float = 9.0, most_pages: int = 8, spill:
 
         def one(acc: Column, i: Column) -> Column:
             edge = F.array_max(acc["own"]) if step > 0 else F.array_min(acc["own"])
-            page = F.get(F.filter("ps", lambda p: p["page"] == edge + step), F.lit(0))
-            fits = acc["open"] & F.coalesce(page[flag], F.lit(False)) & ~F.array_contains(used, edge + step) & (F.size(acc["own"]) < (most_pages if room is None else 10**6))
+            fits = acc["open"] & F.coalesce(at(edge + step)[flag], F.lit(False)) & ~F.array_contains(used, edge + step) & (F.size(acc["own"]) < (most_pages if room is None else 10**6))
             return F.struct(F.when(fits, F.concat(acc["own"], F.array(edge + step))).otherwise(acc["own"]).alias("own"), fits.alias("open"))
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.struct(own.alias("own"), F.lit(True).alias("open")), one, lambda a: a["own"])
@@ -124,11 +129,9 @@ def candidates(scores: DataFrame, seed: float = 9.0, most_pages: int = 8, spill:
         )
         return F.when(F.array_contains(state["used"], page), state).otherwise(done)
 
-    found = pages.select("doc_id", "ps", F.explode(F.aggregate(seeds, start.cast(kind), take, lambda s: s["out"])).alias("c"))
-    own = F.filter("ps", lambda p: F.array_contains(F.col("c.pages"), p["page"]))
-    out = found.select(
-        "doc_id", F.col("c.seed").alias("seed_page"), F.col("c.pages").alias("pages"), F.array_max(F.transform(F.filter("ps", lambda p: p["page"] == F.col("c.seed")), lambda p: p["score"])).alias("score"),
-        T.round2(F.aggregate(F.transform(own, lambda p: p["score"]), F.lit(0.0), lambda a, x: a + x)).alias("total"),
-    )
+    total = lambda c: T.round2(F.aggregate(c["pages"], F.lit(0.0), lambda a, page: a + at(page)["sum"]))
+    summed = lambda c: F.struct(c["seed"].alias("seed_page"), c["pages"].alias("pages"), at(c["seed"])["best"].alias("score"), total(c).alias("total"))
+    found = pages.withColumn("cs", F.aggregate(seeds, start.cast(kind), take, lambda s: s["out"]))
+    out = found.select("doc_id", F.explode_outer(F.transform("cs", summed)).alias("c")).select("doc_id", "c.*")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("total"), "seed_page"))
     return out.withColumn("cand_ix", rank - 1)
