@@ -8,19 +8,34 @@ from pyspark.sql import functions as F
 from gridframe.functions import text as T
 
 
+def is_short(line: Column) -> Column:
+    return F.length(F.trim(line)) <= 110
+
+
+def is_no_reference(line: Column) -> Column:
+    """Neither a contents entry nor a cross-reference."""
+    s = F.trim(line)
+    return ~s.rlike(T.TOC_LEADER) & ~(s.rlike(T.TOC_NUMBER) & (F.length(s) < 80)) & ~s.rlike(T.CROSS_REFERENCE)
+
+
 def is_heading(line: Column) -> Column:
     """Short enough, no contents entry and no cross-reference."""
-    s = F.trim(line)
-    return (F.length(s) <= 110) & ~s.rlike(T.TOC_LEADER) & ~(s.rlike(T.TOC_NUMBER) & (F.length(s) < 80)) & ~s.rlike(T.CROSS_REFERENCE)
+    return is_short(line) & is_no_reference(line)
 
 
 def names_table(line: Column, low: Column | None = None) -> Column:
-    """A heading that has one of the table's names; ``low`` is the normalised line where it is at hand."""
-    low = T.norm(line) if low is None else low
-    out = F.lit(False)
-    for name in T.TITLE_WORDS:
-        out = out | low.contains(name)
-    return out & is_heading(line)
+    """A heading that has one of the table's names; ``low`` is the normalised line where it is at hand.
+
+    The cheapest test comes first: long lines aren't normalised, and no line is more than once.
+    """
+
+    def named(low: Column) -> Column:
+        out = F.lit(False)
+        for name in T.TITLE_WORDS:
+            out = out | low.contains(name)
+        return out
+
+    return is_short(line) & (T.let(T.norm(line), named) if low is None else named(low)) & is_no_reference(line)
 
 
 def heads_row(low: Column) -> Column:

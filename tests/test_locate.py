@@ -3,6 +3,9 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
+from gridframe.functions import text as T
 from gridframe.operators import locate
 
 SCORES = "doc_id string, page int, score double, marks int, mark_lines int, footnote_lines int"
@@ -53,3 +56,18 @@ def test_a_file_of_many_pages(spark):
     got = found(spark, rows)
     assert time.time() - began < 60
     assert got == {"long": plain(rows)}
+
+
+def test_long_lines_arent_searched_for_names(spark):
+    lines = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 1000 == 7, F.concat(F.lit("TABLE 2   Study  Schedule "), "id")).otherwise(F.concat(F.repeat(F.lit("visit schedule and more "), 300), "id")).alias("text"))
+    began = time.time()
+    got = lines.where(locate.names_table(F.col("text"))).collect()
+    assert time.time() - began < 30
+    assert sorted(r["text"] for r in got) == sorted(f"TABLE 2   Study  Schedule {i}" for i in range(7, 20_000, 1000))
+
+
+def test_names_of_tables(spark):
+    texts = ["Schedule of  Events", "the study flow chart", "Schedule of Events ..... 14", "Schedule of Events    14", "see Schedule of Events", "Foresee the visit schedule", "Schedule", "x" * 100 + " flowchart", "x" * 101 + " flowchart", "  " + "x" * 100 + " flowchart  ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r["text"] for r in df.where(locate.names_table(F.col("text"))).collect()] == [texts[i] for i in (0, 1, 5, 7, 9)]
+    assert [r["text"] for r in df.withColumn("low", T.norm(F.col("text"))).where(locate.names_table(F.col("text"), F.col("low"))).collect()] == [texts[i] for i in (0, 1, 5, 7, 9)]
