@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridframe.operators import confidence
 from gridframe.plans import derived
 from gridframe.sources import layout
 
@@ -60,6 +61,9 @@ class Fixture:
     def frame(self, data: Tables) -> DataFrame:
         return data.read(self._typed(lambda t: {"long": "bigint"}.get(t, t), "`"))
 
+    def rare(self, data: Tables) -> DataFrame:
+        return replace(self, derived="").frame(data)
+
     @property
     def sql(self) -> str:
         return f"({self._typed(DUCK.__getitem__, '"')})".format(lineitem="lineitem", orders="orders", lines=LINES)
@@ -291,5 +295,12 @@ GRIDS = Fixture("doc_id string, page int, n_drawn int, n_paired int, starts_anot
 
 RANKED = Fixture("doc_id string, cand_ix int, score double", [("a", 0, 9.5), ("a", 1, 9.4), ("b", 0, 20), ("b", 1, 14), ("b", 2, 12), ("b", 3, 12), ("c", 0, 30), ("c", 1, 11.9)])
 
+
+def packed_tables(data: Tables) -> DataFrame:
+    """T_COLUMNS, T_ROWS, T_CELLS and T_TARGETS, a row for each table: orders are dealt out once, the rare ones packed."""
+    rare = confidence.pack(cols=T_COLUMNS.rare(data), rows=T_ROWS.rare(data), cells=T_CELLS.rare(data), targets=T_TARGETS.rare(data))
+    return rare.unionByName(derived.packed_tables(layout.table(data.spark, data.folder, "lineitem")))
+
+
 for _name, _sql in derived.SQL.items():
     globals()[_name] = replace(globals()[_name], derived=_sql)
