@@ -12,7 +12,7 @@ COLUMNS = "doc_id string, cand int, id string, label string, visit_number string
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["assess"])
+@pytest.mark.parametrize("name", ["assess", "assess_summary"])
 def test_items_are_read_and_shuffled_once(spark, name):
     plan = catalog.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
